@@ -1,0 +1 @@
+"""Empty on purpose: all work of this package is finite and batch."""
