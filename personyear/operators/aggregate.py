@@ -47,25 +47,6 @@ def share_of_total(df: DataFrame, keys: list[str]) -> DataFrame:
     return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
-def numeric_summary(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
-    """Exact summary of a column (quartiles by linear interpolation).
-
-    Rows are first counted per distinct value, which combines on the map side;
-    the percentile aggregate then holds one entry per distinct value.
-    """
-    keys = by or []
-    counts = df.where(F.col(name).isNotNull()).groupBy(*keys, name).agg(F.count("*").alias("__n"))
-    weight = F.col("__n")
-    return counts.groupBy(*keys).agg(
-        F.min(name).alias("minimum"),
-        F.percentile(name, 0.25, weight).alias("p25"),
-        F.percentile(name, 0.5, weight).alias("median"),
-        (F.sum(F.col(name) * weight) / F.sum(weight)).alias("mean"),
-        F.percentile(name, 0.75, weight).alias("p75"),
-        F.max(name).alias("maximum"),
-    )
-
-
 def top_labels(df: DataFrame, label: str, k: int) -> DataFrame:
     """The k most frequent labels, ties in label order, NULL last."""
     return (
