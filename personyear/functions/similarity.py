@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PREFIX_WEIGHT = 0.1
 PREFIX_LENGTH = 4
@@ -50,7 +51,7 @@ def similarity(left: pd.Series, right: pd.Series) -> np.ndarray:
     return np.where(jaro > 0.7, jaro + PREFIX_WEIGHT * prefix * (1 - jaro), jaro)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_winkler(left: pd.Series, right: pd.Series) -> pd.Series:
     if len(left) == 0:
         return pd.Series([], dtype="float64")
