@@ -18,7 +18,6 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -232,66 +231,46 @@ class PairCounts:
         self.agreements = agreements
         known = F.col("id") if "id" in left.columns else F.lit(None).cast("long")
         keys = [*within, *self.names]
-        self.cached: list[DataFrame] = []
-        self.left = self._keep(
+        self.left = written(
             left.groupBy(*keys)
             .agg(F.count("*").alias("n1"), F.max(F.struct("index", known.alias("id"))).alias("one"))
-            .withColumn("mask1", _mask(self.names))
+            .withColumn("mask1", _mask(self.names)),
+            "combinations",
         )
-        self.right = self._keep(
+        self.right = written(
             right.groupBy(*keys)
             .agg(
                 F.count("*").alias("n2"),
                 F.sum(F.col("index").cast("decimal(20,0)")).cast("decimal(38,0)").alias("partner"),
             )
-            .withColumn("mask2", _mask(self.names))
+            .withColumn("mask2", _mask(self.names)),
+            "combinations",
         )
-        self._agreeing: dict[tuple[str, ...], DataFrame] = {}
 
-    def _keep(self, df: DataFrame) -> DataFrame:
-        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-        self.cached.append(kept)
-        return kept
+    def agreeing(self, ours: DataFrame, names: tuple[str, ...]) -> DataFrame:
+        """Rows of ``ours`` with the right records that agree with them on all of ``names``.
 
-    def release(self) -> None:
-        for frame in self.cached:
-            frame.unpersist()
-
-    def agreeing(self, names: tuple[str, ...]) -> DataFrame:
-        """Right records that agree with each left value combination on all of ``names``.
-
-        Left combinations are replaced field by field by their similar values,
-        kept only while the right side knows the combination so far, and then
-        meet the right side in an equi join: a row is made per similar
-        combination, never per pair of records.
+        Values are replaced field by field by their similar values and then
+        meet the right side, added up per value combination, in an equi join: a
+        row is made per similar combination, never per pair of records.  Once
+        two fields are replaced only combinations known on the right go on.
         """
-        if names in self._agreeing:
-            return self._agreeing[names]
-        keys = _both(self.within, names)
-        reached = self.left.where(_present(names)).select(*keys).distinct()
-        present = self.right.where(_present(names))
         target = {name: f"__{name}" for name in names}
+        present = self.right.where(_present(names)).select(
+            *self.within, *[F.col(name).alias(target[name]) for name in names], "mask2", "n2", "partner"
+        )
         for i, name in enumerate(names):
             similar = self.agreements[name].select(
                 F.col("v").alias(name), F.col("w").alias(target[name]), F.col("level").alias(f"level_{name}")
             )
-            reached = reached.join(similar, name)
-            if 1 <= i < len(names) - 1:
-                so_far = names[: i + 1]
-                known = present.select(*self.within, *[F.col(n).alias(target[n]) for n in so_far]).distinct()
-                reached = reached.join(known, [*self.within, *[target[n] for n in so_far]], "left_semi")
-        side = (
-            present.groupBy(*keys, "mask2")
-            .agg(F.sum("n2").alias("n2"), F.sum("partner").cast("decimal(38,0)").alias("partner"))
-            .withColumnsRenamed(target)
-        )
-        levels = [f"level_{name}" for name in names]
-        joined = reached.join(side, [*self.within, *target.values()])
-        result = joined.groupBy(*keys, *levels, "mask2").agg(
+            ours = ours.join(similar, name)
+            if i == 1 and len(names) > 2:
+                so_far = [*self.within, *[target[n] for n in names[:2]]]
+                ours = ours.join(present.select(*so_far).distinct(), so_far, "left_semi")
+        side = present.groupBy(*self.within, *target.values(), "mask2").agg(
             F.sum("n2").alias("n2"), F.sum("partner").cast("decimal(38,0)").alias("partner")
         )
-        self._agreeing[names] = self._keep(result)
-        return self._agreeing[names]
+        return ours.join(side, [*self.within, *target.values()])
 
     def _agree_text(self, names: tuple[str, ...]) -> Column:
         """One character per field: the level, or ``*`` where anything goes."""
@@ -306,7 +285,7 @@ class PairCounts:
             ours = self.left.where(_present(names)).groupBy(*keys, "mask1").agg(F.sum("n1").alias("n1"))
             pairs = F.sum(F.col("n1").cast("decimal(19,0)") * F.col("n2").cast("decimal(18,0)"))
             parts.append(
-                ours.join(self.agreeing(names), keys)
+                self.agreeing(ours, names)
                 .groupBy(
                     *self.within,
                     self._agree_text(names).alias("agree"),
@@ -327,7 +306,7 @@ class PairCounts:
             smaller = [part for part in sets if set(part) <= set(names)]
             if not smaller:
                 continue
-            rows = self.left.where(_present(names)).join(self.agreeing(names), _both(self.within, names))
+            rows = self.agreeing(self.left.where(_present(names)), names)
             missing = F.col("mask1").bitwiseOR(F.col("mask2"))
             marks = []
             for part in smaller:
@@ -440,15 +419,20 @@ def fit_mixture(
 
 def pattern_posteriors(counts: PairCounts) -> DataFrame:
     """(within, pattern, pairs, posterior), one model per ``within`` value."""
-    within = counts.within
+    within, width = counts.within, len(counts.names)
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values("pattern")
-        posterior, _ = fit_mixture(list(ordered["pattern"]), ordered["pairs"].astype(float).to_numpy())
-        return ordered.assign(posterior=posterior)[[*within, "pattern", "pairs", "posterior"]]
+        exact = _exact_patterns(rows, width)
+        patterns = sorted(exact)
+        pairs = [exact[pattern] for pattern in patterns]
+        posterior, _ = fit_mixture(patterns, np.array(pairs, dtype=float))
+        result = pd.DataFrame({"pattern": patterns, "pairs": pairs, "posterior": posterior})
+        for name in within:
+            result[name] = rows[name].iloc[0]
+        return result[[*within, "pattern", "pairs", "posterior"]]
 
     fields = ", ".join(f"`{name}` string" for name in within)
-    return pattern_counts(counts).groupBy(*within).applyInPandas(
+    return counts.totals().groupBy(*within).applyInPandas(
         fit, f"{fields}, pattern string, pairs decimal(38,0), posterior double"
     )
 
@@ -498,7 +482,6 @@ def probable_links(
     scored = written(pattern_posteriors(counts), "patterns")
     accepted = scored.where(F.col("posterior") >= threshold)
     if not accepted.take(1):
-        counts.release()
         return left.sparkSession.createDataFrame([], "index1 long, index2 long, id long, rule string")
     options = counts.per_combination(accepted)
     first = (
@@ -520,9 +503,7 @@ def probable_links(
         F.coalesce("best.one.id", "best.one.index").alias("id"),
         F.lit("probable").alias("rule"),
     )
-    result = written(links.select(*LINK), "links")
-    counts.release()
-    return result
+    return written(links.select(*LINK), "links")
 
 
 def open_records(left: DataFrame, right: DataFrame, links: DataFrame, period: int, year: str = "year"):

@@ -7,7 +7,8 @@ many states at once: the ``within`` columns are part of every key.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,29 +82,23 @@ def cascade(
     """Links found by trying the rules in order on the records still open.
 
     The id of a link is the id of its left record, or that record's index if
-    it has none yet.  Links and open records of every rule are cached while the
-    next rule runs, so each rule reads only what is left; one write at the end
-    runs the whole chain.
+    it has none yet.  The links of each rule are written, so the next rule
+    starts from data and not from a longer plan.  The open records are written
+    too after the first rule, which takes most of them, and after every third
+    rule from then on; in between they are the last written ones less the links
+    found since.
     """
     names = [*within, *rule_columns(rules)]
     rows = _sides(left, right, names)
-    cached: list[DataFrame] = []
     found = []
     for number, rule in enumerate(rules, start=1):
         links = _single_pairs(rows, [*within, *rule]).withColumn("rule", F.lit(str(number)))
-        links = links.persist(StorageLevel.MEMORY_AND_DISK)
-        cached.append(links)
-        found.append(links)
+        found.append(written(links.select(*LINK), "links"))
         if number < len(rules):
-            rows = without_linked(rows, links).persist(StorageLevel.MEMORY_AND_DISK)
-            cached.append(rows)
-    united = found[0]
-    for links in found[1:]:
-        united = united.unionByName(links)
-    result = written(united.select(*LINK), "links")
-    for frame in cached:
-        frame.unpersist()
-    return result
+            rows = without_linked(rows, found[-1])
+            if number % 3 == 1:
+                rows = written(rows, "open")
+    return reduce(lambda a, b: a.unionByName(b), found)
 
 
 def linked_indexes(links: DataFrame) -> DataFrame:

@@ -39,12 +39,12 @@ def prepare(panel: DataFrame, unlinked: list[str] = UNLINKED_STATES) -> DataFram
 def by_year(panel: DataFrame, names: list[str]) -> tuple[DataFrame, list[int]]:
     """The linking columns written once by year, so each step reads only its years.
 
-    Rows are spread over many files per year by their index.
+    Rebalancing makes files of even size, also where one year is large.
     """
     columns = list(dict.fromkeys([*WITHIN, "year", "index", *names]))
     spark = panel.sparkSession
     path = new_folder(spark, "linkrows")
-    panel.select(*columns).write.partitionBy("year").parquet(path)
+    panel.select(*columns).hint("rebalance", "year").write.partitionBy("year").parquet(path)
     rows = spark.read.parquet(path).withColumn("id", F.lit(None).cast("long"))
     years = [row.year for row in rows.select("year").distinct().orderBy("year").collect()]
     return rows, years

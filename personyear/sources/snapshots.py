@@ -11,14 +11,10 @@ from .delimited import read_csv
 def save_snapshot(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     """Write a stage result; with ``by`` only the partitions present are replaced.
 
-    Rows are first spread by the partition columns and a hash of the row, so a
-    big state is written by many tasks and a small one gives few files.
+    Rebalancing gives files of even size, whether a partition is big or small.
     """
-    writer = df
-    if by:
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(16))
-        writer = df.repartition(*by, salt)
-    output = writer.write.mode("overwrite")
+    source = df.hint("rebalance", *by) if by else df
+    output = source.write.mode("overwrite")
     if by:
         output = output.partitionBy(*by).option("partitionOverwriteMode", "dynamic")
     output.parquet(path)
