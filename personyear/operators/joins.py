@@ -164,7 +164,7 @@ def pattern_matches(labels: DataFrame, label: str, patterns: DataFrame, pattern:
         .distinct()
     )
     found = cut.join(literal, "pattern").select("label", "pattern")
-    fits = F.col("label").rlike(F.col("pattern"))
+    fits = F.rlike("label", F.col("pattern"))
     count = special.count()
     if count == 0:
         return found

@@ -113,15 +113,15 @@ def read_csv_folder(
     return united
 
 
-def file_name(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]+)$", 1)
+def path_piece(path: Column, folder: bool = False) -> Column:
+    """Name of a file, or of the folder it lies in."""
+    return F.regexp_extract(path, r"([^/]+)/[^/]+$" if folder else r"([^/]+)$", 1)
 
 
-def with_file_year(df: DataFrame, rule: str = "leading", name: str = "year") -> DataFrame:
-    """Derive the spring year of every row from the name of its file."""
-    base = file_name(F.col(FILE))
+def with_file_year(df: DataFrame, rule: str = "leading", name: str = "year", folder: bool = False) -> DataFrame:
+    """Derive the spring year of every row from the name of its file or folder."""
     rules = {"fiscal": fiscal_file_year, "leading": leading_file_year}
-    return df.withColumn(name, rules[rule](base))
+    return df.withColumn(name, rules[rule](path_piece(F.col(FILE), folder)))
 
 
 def with_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
