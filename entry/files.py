@@ -66,10 +66,10 @@ def _titled(df: DataFrame) -> str:
     quoted = [F.concat(F.lit('"'), F.col(name).cast("string"), F.lit('"')) for name in df.columns]
     lines = df.select("year", F.concat(F.concat_ws(",", *quoted), F.lit(",")).alias("line"))
     heads = [(0, "Staff report"), (1, ""), (2, ",".join(df.columns) + ",")]
-    head = df.sparkSession.createDataFrame(heads, "place int, line string")
-    years = df.select("year").distinct()
+    head = F.array(*[F.struct(F.lit(place).alias("place"), F.lit(line).alias("line")) for place, line in heads])
+    titles = df.select("year").distinct().select("year", F.explode(head).alias("head"))
     body = lines.select("year", F.lit(3).alias("place"), "line").unionByName(
-        years.join(F.broadcast(head), F.lit(True)).select("year", "place", "line")
+        titles.select("year", "head.place", "head.line")
     )
     ordered = body.repartition("year").sortWithinPartitions("year", "place")
     ordered.select("year", F.col("line").alias("value")).write.partitionBy("year").text(path)

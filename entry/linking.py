@@ -314,17 +314,11 @@ def agreement_patterns(spark, folder):
 
 
 def _scored_pairs(spark, folder):
-    """Pairs of one state's persons in 1996 and 1997 with the same first name and place,
-    scored by how many further columns agree."""
-    left, right = _pair(spark, folder)
-    keys = ["state", "name_first", "NCES_leaid"]
-    one = left.select(*keys, F.col("index").alias("index1"), *[F.col(n).alias(f"{n}_1") for n in ("name_last", "position", "teacher")])
-    two = right.select(*keys, F.col("index").alias("index2"), *[F.col(n).alias(f"{n}_2") for n in ("name_last", "position", "teacher")])
-    score = sum(
-        (F.col(f"{n}_1") == F.col(f"{n}_2")).cast("int") * weight
-        for n, weight in (("name_last", 4), ("position", 2), ("teacher", 1))
+    """Candidate pairs of parts and suppliers, scored by the quantity shipped."""
+    lines = table(spark, folder, "lineitem")
+    return lines.groupBy(F.col("l_partkey").alias("index1"), F.col("l_suppkey").alias("index2")).agg(
+        F.sum("l_quantity").alias("posterior")
     )
-    return one.join(two, keys).select("index1", "index2", score.cast("double").alias("posterior"))
 
 
 def one_to_one_filter(spark, folder):
@@ -393,11 +387,8 @@ _WORDS_SQL = """words AS MATERIALIZED (SELECT DISTINCT v FROM (
   SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS v FROM benchmark
   UNION ALL SELECT name_last FROM panel))"""
 
-_SCORED_SQL = """pairs AS MATERIALIZED (SELECT a.index AS index1, b.index AS index2,
-  CAST(4 * CAST(a.name_last = b.name_last AS INT) + 2 * CAST(a.position = b.position AS INT)
-       + CAST(a.teacher = b.teacher AS INT) AS DOUBLE) AS posterior
-  FROM panel a JOIN panel b ON a.state = b.state AND a.name_first = b.name_first AND a.NCES_leaid = b.NCES_leaid
-  WHERE a.year = 1996 AND b.year = 1997)"""
+_SCORED_SQL = """pairs AS MATERIALIZED (SELECT l_partkey AS index1, l_suppkey AS index2, sum(l_quantity) AS posterior
+  FROM lineitem GROUP BY ALL)"""
 
 SQL = {
     "match_rule": with_sql(
@@ -459,7 +450,7 @@ level1 AS (SELECT a.state,
        WHEN jaro_winkler_similarity(a.name_middle, b.name_middle) >= .94 THEN '2' ELSE '0' END AS pattern
   FROM panel a JOIN panel b USING (state) WHERE a.year = 1996 AND b.year = 1997)""", select="""
 SELECT state, pattern, count(*) AS pairs FROM level1 GROUP BY ALL"""),
-    "one_to_one_filter": with_sql(LINK_PANEL_SQL, _SCORED_SQL, """
+    "one_to_one_filter": with_sql(_SCORED_SQL, """
 best1 AS (SELECT * FROM (SELECT *, max(posterior) OVER (PARTITION BY index1) AS top FROM pairs) WHERE posterior = top
   QUALIFY count(*) OVER (PARTITION BY index1) = 1)""", """
 best2 AS (SELECT * FROM (SELECT index1, index2, posterior, max(posterior) OVER (PARTITION BY index2) AS top FROM best1)

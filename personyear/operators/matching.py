@@ -82,22 +82,23 @@ def cascade(
     """Links found by trying the rules in order on the records still open.
 
     The id of a link is the id of its left record, or that record's index if
-    it has none yet.  The links of each rule are written, so the next rule
-    starts from data and not from a longer plan.  The open records are written
-    too after the first rule, which takes most of them, and after every third
-    rule from then on; in between they are the last written ones less the links
-    found since.
+    it has none yet.  Links and open records are written after the first rule,
+    which takes most records, and after every third rule from then on, so that
+    plans stay short and each stretch starts from the records still open.
     """
-    names = [*within, *rule_columns(rules)]
-    rows = _sides(left, right, names)
-    found = []
+    rows = _sides(left, right, [*within, *rule_columns(rules)])
+    found, stretch, start = [], [], rows
     for number, rule in enumerate(rules, start=1):
         links = _single_pairs(rows, [*within, *rule]).withColumn("rule", F.lit(str(number)))
-        found.append(written(links.select(*LINK), "links"))
-        if number < len(rules):
-            rows = without_linked(rows, found[-1])
-            if number % 3 == 1:
-                rows = written(rows, "open")
+        stretch.append(links.select(*LINK))
+        last = number == len(rules)
+        if number % 3 == 1 or last:
+            found.append(written(reduce(lambda a, b: a.unionByName(b), stretch), "links"))
+            stretch = []
+            if not last:
+                rows = start = written(without_linked(start, found[-1]), "open")
+        else:
+            rows = without_linked(rows, links)
     return reduce(lambda a, b: a.unionByName(b), found)
 
 
