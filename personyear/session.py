@@ -17,6 +17,7 @@ def local_session(app: str = "personyear", cores: str = "*", partitions: int = 8
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.driver.extraJavaOptions", "-XX:ReservedCodeCacheSize=512m")
         .getOrCreate()
