@@ -382,37 +382,38 @@ def fit_mixture(
     Fields are independent given the class; missing comparisons carry no
     information.  The input has at most 4^K rows.
     """
-    width = len(patterns[0])
-    levels = np.array([["012".find(mark) for mark in pattern] for pattern in patterns])
+    marks = np.array([["012".find(mark) for mark in pattern] for pattern in patterns])
+    seen = (marks >= 0).astype(float)
+    # One 0/1 column per field and level; a missing comparison is 0 in all three.
+    shown = np.concatenate([marks == level for level in range(3)], axis=1).astype(float)
+    fields = np.tile(np.eye(marks.shape[1]), 3)
+    possible = shown.any(axis=0)
     pairs = pairs / pairs.sum()
-    share = 0.1
-    match = np.tile([0.05, 0.15, 0.80], (width, 1))
-    other = np.tile([0.80, 0.15, 0.05], (width, 1))
-    for table in (match, other):
-        for k in range(width):
-            table[k, ~np.isin([0, 1, 2], levels[:, k])] = 0.0
-            table[k] /= max(table[k].sum(), 1e-12)
-    posterior = np.zeros(len(patterns))
+
+    def start(chances: list[float]) -> np.ndarray:
+        table = np.repeat(chances, marks.shape[1]) * possible
+        return table / np.maximum(table @ fields.T @ fields, 1e-12)
+
+    def fitted(weight: np.ndarray, before: np.ndarray) -> np.ndarray:
+        total = weight @ seen @ fields
+        return np.where(total > 0, weight @ shown / np.maximum(total, 1e-300), before)
+
+    share, match, other = 0.1, start([0.05, 0.15, 0.80]), start([0.80, 0.15, 0.05])
     for _ in range(rounds):
-        log_m = np.full(len(patterns), math.log(max(share, 1e-300)))
-        log_u = np.full(len(patterns), math.log(max(1 - share, 1e-300)))
-        for k in range(width):
-            seen = levels[:, k] >= 0
-            log_m[seen] += np.log(np.maximum(match[k, levels[seen, k]], 1e-12))
-            log_u[seen] += np.log(np.maximum(other[k, levels[seen, k]], 1e-12))
-        posterior = 1 / (1 + np.exp(np.clip(log_u - log_m, -700, 700)))
-        before = np.concatenate([match.ravel(), other.ravel(), [share]])
-        share = float((pairs * posterior).sum())
-        for k in range(width):
-            seen = levels[:, k] >= 0
-            for table, weight in ((match, pairs * posterior), (other, pairs * (1 - posterior))):
-                total = weight[seen].sum()
-                if total > 0:
-                    table[k] = [weight[levels[:, k] == level].sum() / total for level in range(3)]
-        after = np.concatenate([match.ravel(), other.ravel(), [share]])
-        if np.abs(after - before).max() < tolerance:
+        odds = (
+            math.log(max(1 - share, 1e-300))
+            - math.log(max(share, 1e-300))
+            + shown @ (np.log(np.maximum(other, 1e-12)) - np.log(np.maximum(match, 1e-12)))
+        )
+        posterior = 1 / (1 + np.exp(np.clip(odds, -700, 700)))
+        weight = pairs * posterior
+        new = (float(weight.sum()), fitted(weight, match), fitted(pairs - weight, other))
+        change = max(abs(new[0] - share), np.abs(new[1] - match).max(), np.abs(new[2] - other).max())
+        share, match, other = new
+        if change < tolerance:
             break
-    if match[:, 2].sum() < other[:, 2].sum():
+    full = slice(2 * marks.shape[1], None)
+    if match[full].sum() < other[full].sum():
         return 1 - posterior, 1 - share
     return posterior, share
 
@@ -432,7 +433,9 @@ def pattern_posteriors(counts: PairCounts) -> DataFrame:
         return result[[*within, "pattern", "pairs", "posterior"]]
 
     fields = ", ".join(f"`{name}` string" for name in within)
-    return counts.totals().groupBy(*within).applyInPandas(
+    # A stated number of partitions, or the few rows would all meet in one task.
+    tasks = counts.left.sparkSession.sparkContext.defaultParallelism
+    return counts.totals().repartition(tasks, *within).groupBy(*within).applyInPandas(
         fit, f"{fields}, pattern string, pairs decimal(38,0), posterior double"
     )
 
