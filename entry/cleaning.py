@@ -159,7 +159,7 @@ def parse_numbers(spark, folder):
             numbers.to_number("pay").alias("pay"),
             numbers.to_boolean("flag").alias("flag"),
             numbers.scaled_text(F.lit("0.5"), 100.0).alias("scaled"),
-            F.bround(F.col("o_totalprice") / 1000, 2).alias("thousands"),
+            numbers.half_even(F.col("o_totalprice") / 1000, 2).alias("thousands"),
         )
     )
 

@@ -25,9 +25,15 @@ def to_boolean(value: ColumnLike) -> Column:
     return column(value).try_cast("boolean")
 
 
+def half_even(value: ColumnLike, digits: int = 0) -> Column:
+    """Round ties to even on the binary value; ``bround`` rounds its decimal print-out."""
+    scale = F.lit(10.0**digits)
+    return F.rint(column(value) * scale) / scale
+
+
 def half_even_bucket(value: ColumnLike, width: int) -> Column:
     """Round to the nearest multiple of ``width``, ties to the even multiple."""
-    return F.bround(column(value) / F.lit(float(width))) * F.lit(float(width))
+    return F.rint(column(value) / F.lit(float(width))) * F.lit(float(width))
 
 
 def scaled_text(value: ColumnLike, factor: float) -> Column:

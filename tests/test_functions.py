@@ -57,6 +57,8 @@ def test_numbers(spark):
     assert one(spark, numbers.to_number("v"), "12d") is None
     assert one(spark, numbers.half_even_bucket("v", 5000), 12500.0, "double") == 10000.0
     assert one(spark, numbers.half_even_bucket("v", 5000), 17500.0, "double") == 20000.0
+    assert one(spark, numbers.half_even("v", 2), 69.195, "double") == 69.19
+    assert one(spark, numbers.half_even("v", 1), 0.25, "double") == 0.2
     assert one(spark, numbers.scaled_text("v", 100.0), "0.5") == "50"
     assert one(spark, numbers.leading_file_year("v"), "2012-2013_salary.csv") == 2013
     assert one(spark, numbers.leading_file_year("v"), "2008_Teacher_Salary.csv") == 2008
