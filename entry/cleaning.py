@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from personyear.functions import labels, names, numbers, text
 from personyear.operators.aggregate import crosstab as cross
 from personyear.operators.aggregate import top_labels
+from personyear.operators.joins import classify_labels
 from personyear.operators.project import banded, first_present, recode_exact, recode_sets
 from personyear.operators.quantiles import numeric_summary as summary
 from personyear.operators.sets import union_labeled
@@ -206,11 +207,11 @@ def classify_exact(spark, folder):
     )
 
 
-def classify_dictionary(spark, folder):
+def by_dictionary(spark, folder):
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     part = table(spark, folder, "part").select("p_partkey", "p_name")
     rows = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
-    flagged = labels.classify_labels(rows, "p_name", labels.keyword_flag("p_name", INCLUDE, EXCLUDE, EXACT), "flag")
+    flagged = classify_labels(rows, "p_name", labels.keyword_flag("p_name", INCLUDE, EXCLUDE, EXACT), "flag")
     return tidy(flagged.select("l_orderkey", "l_linenumber", "l_partkey", "flag"))
 
 
@@ -280,13 +281,27 @@ def numeric_summary(spark, folder):
 
 
 QUERIES = {
-    name: globals()[name]
-    for name in (
-        "names_fml names_lcfm names_dispatch names_three_part split_name_parts string_functions parse_numbers "
-        "pad_identifier recode_values classify_keywords classify_exact classify_dictionary regex_filter "
-        "not_in_keeps_null school_year coalesce_variants banded_coalesce label_dictionary sorted_top_labels "
-        "crosstab numeric_summary"
-    ).split()
+    "names_fml": names_fml,
+    "names_lcfm": names_lcfm,
+    "names_dispatch": names_dispatch,
+    "names_three_part": names_three_part,
+    "split_name_parts": split_name_parts,
+    "string_functions": string_functions,
+    "parse_numbers": parse_numbers,
+    "pad_identifier": pad_identifier,
+    "recode_values": recode_values,
+    "classify_keywords": classify_keywords,
+    "classify_exact": classify_exact,
+    "classify_dictionary": by_dictionary,
+    "regex_filter": regex_filter,
+    "not_in_keeps_null": not_in_keeps_null,
+    "school_year": school_year,
+    "coalesce_variants": coalesce_variants,
+    "banded_coalesce": banded_coalesce,
+    "label_dictionary": label_dictionary,
+    "sorted_top_labels": sorted_top_labels,
+    "crosstab": crosstab,
+    "numeric_summary": numeric_summary,
 }
 
 _FLAG = """(regexp_matches(label, 'ring|bolt') OR coalesce(label IN ('hot rod', 'old gizmo'), FALSE))

@@ -84,7 +84,7 @@ def _overlap_factors(cut: float) -> list[float]:
 
 def _character_tokens(value: Column) -> Column:
     """Characters with their occurrence number, rare ones first."""
-    chars = F.split(value, "")
+    chars = F.filter(F.split(value, ""), lambda char: char != "")
     numbered = F.transform(
         chars,
         lambda char, i: F.concat(
@@ -99,18 +99,34 @@ def _character_tokens(value: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda pair: pair["t"])
 
 
-def _needed(factor: Column, a: Column, b: Column) -> Column:
-    return F.ceil(factor * a * b / (a + b) - 1e-9).cast("int")
+def _signatures(tokens: Column, needed: Column) -> Column:
+    """Keys on which texts meet that share at least ``needed`` tokens.
+
+    The first two shared tokens of a text with n tokens are among its first
+    n - needed + 2, the only one among all; without a need every text meets.
+    """
+    reach = F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - needed + 2, F.lit(0)))
+    twos = F.flatten(
+        F.transform(
+            reach,
+            lambda one, i: F.transform(
+                F.slice(reach, i + 2, F.size(reach)),
+                lambda two: F.struct(one.alias("t1"), two.alias("t2")),
+            ),
+        )
+    )
+    ones = F.transform(tokens, lambda one: F.struct(one.alias("t1"), F.lit("").alias("t2")))
+    none = F.array(F.struct(F.lit("").alias("t1"), F.lit("").alias("t2")))
+    return F.when(needed >= 2, twos).when(needed == 1, ones).otherwise(none)
 
 
 def similar_texts(values: DataFrame, cut: float) -> DataFrame:
     """Pairs (v, w, similarity) of different texts at least ``cut`` alike, both ways round.
 
-    The search is exact.  For each possible common prefix length, texts meet on
-    that prefix, their two lengths, and one of their rarest characters: two
-    texts with m common characters of lengths a and b share one among the
-    a - m + 1 and b - m + 1 rarest.  The overlap bound is checked in the join,
-    and a pair is emitted only for its first common character.
+    The search is exact.  For each possible length of the common beginning,
+    texts meet on that beginning, their two lengths, and the two rarest
+    characters shared by what follows.  The bound on shared characters is
+    checked in the join, and a pair is emitted for its first two alone.
     """
     factors = F.array(*[F.lit(value) for value in _overlap_factors(cut)])
     level = F.col("prefix")
@@ -120,9 +136,9 @@ def similar_texts(values: DataFrame, cut: float) -> DataFrame:
         .where("v is not null and v <> ''")
         .distinct()
         .withColumn("length", F.length("v"))
-        .withColumn("tokens", _character_tokens(F.col("v")))
         .withColumn("prefix", F.explode(F.sequence(F.lit(0), F.least(F.lit(PREFIX_LENGTH), F.col("length")))))
         .withColumn("head", F.expr("substring(v, 1, prefix)"))
+        .withColumn("tokens", _character_tokens(F.expr("substring(v, prefix + 1)")))
     )
     # The shorter (or equal) text is the left one; its partner is at most
     # length / (factor - 1) long, and the other way round.
@@ -130,28 +146,31 @@ def similar_texts(values: DataFrame, cut: float) -> DataFrame:
     shortest = F.greatest(F.ceil(F.col("length") * (factor - 1) - 1e-9).cast("int"), F.lit(1))
     own, other = F.col("length"), F.col("other")
 
-    def role(lengths: Column, names: dict[str, Column], suffix: str) -> DataFrame:
-        spread = base.withColumn("other", F.explode(lengths)).withColumn(
-            "needed", _needed(factor, own.cast("double"), other.cast("double"))
-        )
-        keys = spread.withColumn(
-            "token", F.explode(F.slice("tokens", F.lit(1), F.greatest(own - F.col("needed") + 1, F.lit(1))))
-        )
-        return keys.select(
-            "prefix", "head", "token", "needed",
-            *[column.alias(name) for name, column in names.items()],
-            F.col("v").alias(f"v{suffix}"), F.col("tokens").alias(f"tokens{suffix}"),
+    def role(lengths: Column, a: Column, b: Column, suffix: str) -> DataFrame:
+        total = F.ceil(factor * a * b / (a + b) - 1e-9).cast("int")
+        return (
+            base.withColumn("other", F.explode(lengths))
+            .withColumn("needed", total - level)
+            .select(
+                "prefix", "head", "needed", a.alias("a"), b.alias("b"),
+                F.col("v").alias(f"v{suffix}"), F.col("tokens").alias(f"tokens{suffix}"),
+                F.explode(_signatures(F.col("tokens"), F.col("needed"))).alias("key"),
+            )
+            .select("*", "key.t1", "key.t2")
+            .drop("key")
         )
 
-    left = role(F.sequence(own, longest), {"a": own, "b": other}, "1").drop("needed")
-    right = role(F.sequence(F.least(shortest, own), own), {"a": other, "b": own}, "2")
+    left = role(F.sequence(own, longest), own, other, "1").drop("needed")
+    right = role(F.sequence(F.least(shortest, own), own), other, own, "2")
     shared = F.array_intersect("tokens1", "tokens2")
     next_head = lambda name: F.expr(f"substring({name}, 1, prefix + 1)")
+    first = (F.col("t1") == "") | (F.get(shared, F.lit(0)) == F.col("t1"))
+    second = (F.col("t2") == "") | (F.get(shared, F.lit(1)) == F.col("t2"))
     pairs = (
-        left.join(right, ["prefix", "head", "token", "a", "b"])
+        left.join(right, ["prefix", "head", "a", "b", "t1", "t2"])
         .where((F.col("a") < F.col("b")) | (F.col("v1") < F.col("v2")))
         .where((level == PREFIX_LENGTH) | (next_head("v1") != next_head("v2")))
-        .where((F.size(shared) >= F.col("needed")) & (F.get(shared, F.lit(0)) == F.col("token")))
+        .where((F.size(shared) >= F.col("needed")) & first & second)
         .select("v1", "v2", jaro_winkler("v1", "v2").alias("similarity"))
         .where(F.col("similarity") >= cut)
     )
@@ -327,8 +346,10 @@ class PairCounts:
                          (F.col("partner") * F.col("mark.sign")).cast("decimal(38,0)").alias("partner"))
             )
         rows = reduce(lambda a, b: a.unionByName(b), parts)
+        # Partitioned by combination once, for this count and the choice that follows.
         return (
             rows.join(accepted.select(*self.within, "pattern", "posterior"), [*self.within, "pattern"])
+            .repartition("one")
             .groupBy("one", "n1", "posterior")
             .agg(F.sum("n2").alias("n2"), F.sum("partner").cast("decimal(38,0)").alias("partner"))
             .where("n2 > 0")
@@ -443,22 +464,31 @@ def pattern_posteriors(counts: PairCounts) -> DataFrame:
 # ---------------------------------------------------------------- links
 
 
+def _single_best(options: DataFrame, key: str, score: str, values: list[str]) -> DataFrame:
+    """Per key the values of the option with the highest score, if no other has that score.
+
+    The largest and the smallest option among the highest scored are the same
+    exactly when there is one; both come from one aggregate.
+    """
+    high = F.max(F.struct(score, *values)).alias("high")
+    low = F.min(F.struct((-F.col(score)).alias(score), *values)).alias("low")
+    same = [F.col(f"high.{name}").eqNullSafe(F.col(f"low.{name}")) for name in values]
+    return (
+        options.groupBy(key)
+        .agg(high, low)
+        .where(reduce(lambda a, b: a & b, same))
+        .select(key, f"high.{score}", *[f"high.{name}" for name in values])
+    )
+
+
 def best_pairs(pairs: DataFrame, score: str = "posterior") -> DataFrame:
-    """One-to-one choice from (index1, index2, score).
+    """One-to-one choice from distinct (index1, index2, score).
 
     Each left record keeps its best right record, then each right record its
     best left one among those; a tie for the best drops the record.
     """
-    chosen = pairs
-    for side, partner in (("index1", "index2"), ("index2", "index1")):
-        ranked = chosen.groupBy(side, score).agg(
-            F.count("*").alias("__n"), F.max(partner).alias(partner)
-        )
-        best = ranked.groupBy(side).agg(F.max(F.struct(score, "__n", partner)).alias("__best"))
-        chosen = best.where("__best.__n = 1").select(
-            side, F.col(f"__best.{partner}").alias(partner), F.col(f"__best.{score}").alias(score)
-        )
-    return chosen.select("index1", "index2", score)
+    chosen = _single_best(pairs, "index1", score, ["index2"])
+    return _single_best(chosen, "index2", score, ["index1"]).select("index1", "index2", score)
 
 
 def drop_repeated(pairs: DataFrame) -> DataFrame:
@@ -487,23 +517,13 @@ def probable_links(
     if not accepted.take(1):
         return left.sparkSession.createDataFrame([], "index1 long, index2 long, id long, rule string")
     options = counts.per_combination(accepted)
-    first = (
-        options.groupBy("one", "n1")
-        .agg(F.max(F.struct("posterior", "n2", "partner")).alias("best"))
-        .where("best.n2 = 1")
-        .select("one", "n1", "best.posterior", F.col("best.partner").cast("long").alias("index2"))
-    )
-    second = (
-        first.groupBy("index2", "posterior")
-        .agg(F.sum("n1").alias("n1"), F.max("one").alias("one"))
-        .groupBy("index2")
-        .agg(F.max(F.struct("posterior", "n1", "one")).alias("best"))
-        .where("best.n1 = 1")
-    )
+    first = _single_best(options, "one", "posterior", ["n2", "partner", "n1"]).where("n2 = 1")
+    chosen = first.select(F.col("partner").cast("long").alias("index2"), "posterior", "n1", "one")
+    second = _single_best(chosen, "index2", "posterior", ["n1", "one"]).where("n1 = 1")
     links = second.select(
-        F.col("best.one.index").alias("index1"),
+        F.col("one.index").alias("index1"),
         "index2",
-        F.coalesce("best.one.id", "best.one.index").alias("id"),
+        F.coalesce("one.id", "one.index").alias("id"),
         F.lit("probable").alias("rule"),
     )
     return written(links.select(*LINK), "links")

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import measured
+
 # A pattern table up to this many rows may be sent to every task.
 BROADCAST_PATTERNS = 5_000
 # Characters that make a pattern more than a literal.
@@ -210,3 +212,9 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key, the first by ``order``; reference-sized tables only."""
     ranked = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__rank", F.row_number().over(ranked)).where("__rank = 1").drop("__rank")
+
+
+def classify_labels(df: DataFrame, label: str, flag: Column, name: str) -> DataFrame:
+    """Evaluate a costly classifier once per distinct label and attach the result."""
+    dictionary = df.select(label).distinct().withColumn(name, flag)
+    return attach(df, measured(dictionary, "labels"), [label])

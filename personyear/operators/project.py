@@ -78,10 +78,13 @@ def recode_sets(value: ColumnLike, codes: dict[str, list[str]], default: Column
 
 
 def recode_exact(df: DataFrame, name: str, mapping: dict[str, str]) -> DataFrame:
-    """Replace listed values, keep all others; the list is hash-joined, not a CASE chain."""
+    """Replace listed values, keep all others; the list is hash-joined, not a CASE chain.
+
+    The list stands in the calling code, so its size is bounded.
+    """
     lookup = df.sparkSession.createDataFrame(list(mapping.items()), "__old string, __new string")
     return (
-        df.join(lookup, F.col(name) == F.col("__old"), "left")
+        df.join(F.broadcast(lookup), F.col(name) == F.col("__old"), "left")
         .withColumn(name, F.coalesce("__new", name))
         .drop("__old", "__new")
     )

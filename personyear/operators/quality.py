@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import measured
 from .reshape import transposed
 from .sets import union_labeled
 
@@ -32,8 +33,9 @@ def confusion(df: DataFrame, official: str, constructed: str, year: str = "year"
     that many records share, is gathered anywhere.
     """
     value = F.struct(F.col(constructed).alias("constructed"))
+    pairs = measured(year_pairs(df, year), "pairs")
     officials = (
-        df.join(year_pairs(df, year), F.col(year) == F.col("__year"))
+        df.join(pairs, F.col(year) == F.col("__year"))
         .groupBy("pair_year", official)
         .agg(F.count("*").alias("same"), F.min(value).alias("a"), F.max(value).alias("b"))
         .where("same <= 2")
@@ -53,7 +55,7 @@ def confusion(df: DataFrame, official: str, constructed: str, year: str = "year"
         kept(single & pair).alias("false_match"),
         kept(single & alone).alias("true_non_match"),
     )
-    named = year_pairs(df, year).select("pair_year").distinct()
+    named = pairs.select("pair_year").distinct()
     return named.join(counts, "pair_year", "left").select(
         "pair_year", *[F.coalesce(name, F.lit(0)).alias(name) for name in CLASSES]
     )

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from .ranks import running_before
 
 
 def numeric_summary(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """Minimum, quartiles (linear interpolation), mean and maximum.
 
     The percentile aggregate gathers all distinct values of a group in one
-    task.  Here values are counted, sorted into ranges, and ranked by a running
-    sum within each range plus the totals of the ranges before it, so no task
-    holds more than its range.
+    task.  Here values are counted and ranked by a distributed running sum, and
+    quantiles are the largest values that start at or below their ranks.
     """
     keys = by or ["__all"]
     counts = (
@@ -22,21 +21,9 @@ def numeric_summary(df: DataFrame, name: str, by: list[str] | None = None) -> Da
         .where(F.col(name).isNotNull())
         .groupBy(*keys, name)
         .agg(F.count("*").alias("__n"))
-        .repartitionByRange(*keys, name)
-        .withColumn("__range", F.spark_partition_id())
     )
-    ranged = written(counts, "ranges")
     order = [F.col(key) for key in [*keys, name]]
-    inside = Window.partitionBy("__range").orderBy(*order)
-    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy("__range")
-        .agg(F.sum("__n").alias("__total"))
-        .select("__range", F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias("__offset"))
-    )
-    ranked = ranged.join(offsets, "__range").withColumn(
-        "__before", F.col("__offset") + F.sum("__n").over(inside) - F.col("__n")
-    )
+    ranked = running_before(counts, order, F.col("__n"), "__before")
     groups = ranked.groupBy(*keys).agg(
         F.min("__before").alias("__start"),
         F.sum("__n").alias("__rows"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import measured
 from .joins import attach
 
 # Two survival values closer than this are the same.
@@ -26,7 +27,7 @@ def _finished(spells: DataFrame, observed: DataFrame, state: str) -> DataFrame:
         F.lit(")"),
     )
     return (
-        attach(spells, observed, [state])
+        attach(spells, measured(observed, "observed"), [state])
         .withColumn("status", (F.col("year_last") < F.col("state_end")).cast("int"))
         .where(F.col("year_first") != F.col("state_start"))
         .withColumn("state_fmt", label)
@@ -130,14 +131,19 @@ def median_survival(curve: DataFrame, strata: list[str]) -> DataFrame:
 
 
 def risk_table(df: DataFrame, strata: list[str], length: str = "length") -> DataFrame:
-    """Spells still running at every whole time from 0 to the longest one."""
+    """Spells still running at every whole time from 0 to the longest one.
+
+    The number at risk is constant between two observed lengths, so each
+    length fills the whole times since the one before it.
+    """
     counts = df.groupBy(*strata, F.floor(length).alias("time")).agg(F.count("*").alias("n"))
-    grid = (
-        counts.groupBy(*strata)
-        .agg(F.max("time").alias("__end"))
-        .select(*strata, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__end"))).alias("time"))
-    )
+    ordered = Window.partitionBy(*strata).orderBy("time")
     later = Window.partitionBy(*strata).orderBy(F.col("time").desc())
-    return attach(grid, counts, [*strata, "time"]).select(
-        *strata, "time", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("n_risk")
+    steps = counts.withColumns(
+        {
+            "n_risk": F.sum("n").over(later),
+            "__after": F.coalesce(F.lag("time").over(ordered) + 1, F.lit(0).cast("long")),
+        }
     )
+    times = F.explode(F.sequence("__after", "time")).alias("time")
+    return steps.select(*strata, times, "n_risk")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import measured
 from .joins import attach
+from .ranks import running_before
 
 
 def collapse(
@@ -78,10 +80,14 @@ def hashed_key(names: list[str]) -> Column:
 def group_index(df: DataFrame, names: list[str], within: list[str], index: str) -> DataFrame:
     """Dense number of each distinct combination, counted separately ``within`` a key.
 
-    Distinct combinations are numbered on their own and joined back, so the
-    window holds one row per combination instead of one per record.
+    Distinct combinations get their position in the sort order of the whole
+    table, less the first position of their ``within`` key.
     """
-    ranked = Window.partitionBy(*within).orderBy(*[F.col(name).asc_nulls_last() for name in names])
     keys = [*within, *names]
-    numbers = df.select(*keys).distinct().withColumn(index, F.row_number().over(ranked).cast("long"))
+    order = [F.col(name).asc_nulls_last() for name in keys]
+    placed = running_before(df.select(*keys).distinct(), order, F.lit(1).cast("long"), "__place")
+    first = measured(placed.groupBy(*within).agg(F.min("__place").alias("__first")), "first")
+    numbers = attach(placed, first, within).select(
+        *keys, (F.col("__place") - F.col("__first") + 1).alias(index)
+    )
     return attach(df, numbers, keys)

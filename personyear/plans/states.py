@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import classify_labels, keyword_flag, lacks_pattern, member, mentions, not_member
+from ..functions.labels import keyword_flag, lacks_pattern, member, mentions, not_member
 from ..functions.numbers import leading_file_year, scaled_text, school_year_label
 from ..functions.text import (
     blank_to_null,
@@ -20,11 +20,22 @@ from ..functions.text import (
     repair_bytes,
     replace_each,
 )
-from ..operators.joins import attach, attach_common, attach_first_match, correct, first_by, pattern_matches, stitch, unique_rows
+from ..operators.joins import (
+    attach,
+    attach_common,
+    attach_first_match,
+    classify_labels,
+    correct,
+    first_by,
+    pattern_matches,
+    stitch,
+    unique_rows,
+)
 from ..operators.project import banded, code_titles, recode_exact, recode_sets
 from ..operators.reshape import unpivot_aliases, unpivot_years
 from ..operators.sets import union_labeled
 from ..operators.windows import group_index
+from ..session import measured
 from . import fixed_values as v
 from .standardize import Collapse, District, SourceSpec, standardize
 
@@ -125,7 +136,7 @@ def clean_ga(raw: DataFrame, dim: DataFrame) -> DataFrame:
         teacher=lambda: keyword_flag("position", v.GA_TEACH_WORDS, v.GA_NOT_TEACH_WORDS),
     )
     rows = standardize(raw, None, spec)
-    matched = attach(rows, ga_districts(rows, dim), ["location"])
+    matched = attach(rows, measured(ga_districts(rows, dim), "districts"), ["location"])
     return matched.withColumnRenamed("localid", "NCES_localid")
 
 
@@ -364,7 +375,7 @@ def ny_districts(labels: DataFrame, links: DataFrame, dim: DataFrame) -> DataFra
 
 def clean_ny(raw: DataFrame, links: DataFrame, dim: DataFrame) -> DataFrame:
     rows = standardize(raw, None, NY)
-    matched = attach(rows, ny_districts(rows, links, dim), ["school_district"])
+    matched = attach(rows, measured(ny_districts(rows, links, dim), "districts"), ["school_district"])
     return matched.where(not_member("year", v.NY_BAD_YEARS))
 
 
