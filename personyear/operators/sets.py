@@ -50,4 +50,4 @@ def sample_groups(df: DataFrame, group: str, row_key: str, draws: int, seed: int
         .select(group)
         .distinct()
     )
-    return df.join(drawn, group, "left_semi")
+    return df.join(drawn, group, "left_semi").select(*df.columns)
