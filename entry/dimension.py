@@ -190,6 +190,9 @@ FROM j LEFT JOIN nation ON nation = n_nationkey AND n_regionkey <> 2""",
     "apply_corrections": """
 SELECT o_orderkey, o_custkey, o_orderstatus, NULL AS note FROM orders WHERE o_orderstatus <> 'P'
 UNION ALL SELECT o_orderkey, o_custkey, NULL, 'corrected' FROM orders WHERE o_orderstatus = 'P'""",
+    "sample_groups": """
+SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, round(p_retailprice, 6) AS p_retailprice FROM part
+WHERE p_brand IN (SELECT p_brand FROM part ORDER BY md5('351129:' || p_partkey) LIMIT 5)""",
     "distinct_dimension": "SELECT DISTINCT upper(p_name) AS p_name, p_type FROM part WHERE p_type <> 'SMALL'",
     "union_labeled": f"WITH {_PARTIES} SELECT source, name, nation, segment, round(balance, 6) AS balance FROM rows",
     "match_rate": f"WITH {_UNIQUE} SELECT nation, count(*) AS n, round(avg(CAST(s_name IS NOT NULL AS INT)), 6) AS rate_s_name FROM j GROUP BY 1",

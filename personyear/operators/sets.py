@@ -41,10 +41,11 @@ def sample_groups(df: DataFrame, group: str, row_key: str, draws: int, seed: int
     """All records of the groups met in a seeded draw of rows.
 
     Rows are drawn, not groups: a big group is likelier, and may be drawn twice.
-    The draw takes the rows with the smallest seeded hash, a distributed top-k.
+    The draw takes the rows with the smallest seeded digest, a distributed top-k.
     """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row_key).cast("string")).cast("binary"))
     drawn = (
-        df.select(group, F.xxhash64(F.lit(seed), F.col(row_key)).alias("__draw"), row_key)
+        df.select(group, digest.alias("__draw"), row_key)
         .orderBy("__draw", row_key)
         .limit(draws)
         .select(group)
