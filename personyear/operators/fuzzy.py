@@ -339,11 +339,18 @@ class PairCounts:
                 )
                 sign = F.lit((-1) ** (len(names) - len(part)))
                 marks.append(F.struct(pattern.alias("pattern"), sign.alias("sign")))
+            marked = rows.select(
+                *self.within, "one", "n1", "n2", "partner", F.explode(F.array(*marks)).alias("mark")
+            )
             parts.append(
-                rows.select(
-                    *self.within, "one", "n1", "n2", "partner", F.explode(F.array(*marks)).alias("mark")
-                ).select(*self.within, "one", "n1", "mark.pattern", (F.col("n2") * F.col("mark.sign")).alias("n2"),
-                         (F.col("partner") * F.col("mark.sign")).cast("decimal(38,0)").alias("partner"))
+                marked.select(
+                    *self.within,
+                    "one",
+                    "n1",
+                    "mark.pattern",
+                    (F.col("n2") * F.col("mark.sign")).alias("n2"),
+                    (F.col("partner") * F.col("mark.sign")).cast("decimal(38,0)").alias("partner"),
+                )
             )
         rows = reduce(lambda a, b: a.unionByName(b), parts)
         # Partitioned by combination once, for this count and the choice that follows.
