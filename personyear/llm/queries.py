@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from personyear.llm import buckets, chunks, decontaminate, near_duplicates, sql, toxicity
+from personyear.llm import (
+    buckets, chunks, decontaminate, near_duplicates, sharding, sql, token_counts, token_files, tool_calls, toxicity,
+)
+from personyear.session import new_folder
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,6 +26,16 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    calls, results = tool_calls.calls_and_results(_table(spark, folder, "conversations"))
+    linked = tool_calls.link_tool_calls(calls, results, tool_calls.SCHEMAS)
+    return linked.withColumn("errors", F.array_join("errors", "; "))
+
+
+def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.round_trip(_table(spark, folder, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return buckets.pack(_table(spark, folder, "documents"))
 
@@ -26,6 +45,26 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
 
 
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    # A cache of its own, so that each run encodes what its table has.
+    cache = new_folder(spark, "token-cache")
+    return token_counts.token_counts(_table(spark, folder, "documents"), cache, _tokenizer("piece_bpe_32k.model"))
+
+
+def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_folder(spark, "shards")
+    schema = sharding.write_shards(_table(spark, folder, "documents"), path)
+    return sharding.read_shards(spark, path, schema).select(
+        "doc_id",
+        sharding.record_bytes("text").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit(sharding.LAW).alias("law"),
+        "shard",
+        "slot",
+        "grown_shard",
+    )
+
+
 def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, folder, "documents"))
 
@@ -39,8 +78,12 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_tool_calls": op2_tool_calls,
+    "op3_token_files": op3_token_files,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
+    "op7_token_counts": op7_token_counts,
+    "op8_sharding": op8_sharding,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_substring_dedup": op10_substring_dedup,
 }

@@ -98,7 +98,56 @@ SELECT doc_id, segment, start, length, bucket_length, (place // per_batch)::BIGI
 FROM ranked
 """
 
+TOOL_CALLS = """
+WITH RECURSIVE calls AS (
+    SELECT conv_id, turn, 'call_' || turn AS call_id, ['note', 'search', 'translate'][turn % 3 + 1] AS name, text,
+           length(text) AS size, CASE WHEN turn > 0 THEN turn // 2 END AS half
+    FROM conversations WHERE role = 'assistant'
+),
+results AS (
+    SELECT conv_id, turn, 'call_' || (turn - 1) AS call_id, text AS output FROM conversations WHERE role = 'user'
+),
+answers AS (SELECT conv_id, call_id, min({'turn': turn, 'output': output}) AS answer, count(*) AS n FROM results GROUP BY ALL),
+levels AS (
+    SELECT DISTINCT c.conv_id, c.turn, 0 AS level FROM calls c
+    WHERE NOT EXISTS (SELECT 1 FROM calls d WHERE d.conv_id = c.conv_id AND d.turn = c.half)
+    UNION ALL
+    SELECT DISTINCT c.conv_id, c.turn, l.level + 1 FROM levels l JOIN calls c ON c.conv_id = l.conv_id AND c.half = l.turn
+),
+checked AS (
+    SELECT c.*, l.level, a.answer, coalesce(a.n, 0) AS n_results,
+           CASE WHEN a.answer IS NULL THEN 'unanswered' ELSE 'answered' END AS status,
+           CASE WHEN c.half IS NOT NULL AND NOT EXISTS (SELECT 1 FROM calls d WHERE d.conv_id = c.conv_id AND d.turn = c.half)
+                THEN 'depends_on: unknown call' END AS fault0,
+           CASE WHEN name = 'search' AND size < 20 THEN 'query: missing' END AS fault1,
+           CASE WHEN name = 'search' AND size % 12 > 10 THEN 'top: beyond maximum' END AS fault2,
+           CASE WHEN name = 'search' AND size % 12 < 1 THEN 'top: beyond minimum' END AS fault3,
+           CASE WHEN name = 'translate' AND size % 5 = 4 THEN 'target: not listed' END AS fault4
+    FROM calls c LEFT JOIN levels l USING (conv_id, turn) LEFT JOIN answers a ON a.conv_id = c.conv_id AND a.call_id = c.call_id
+),
+rows_ AS (
+    SELECT conv_id, call_id, turn, name, status, level, concat_ws('; ', fault0, fault1, fault4, fault2, fault3) AS errors, n_results,
+           '{"arguments":' || CASE name
+               WHEN 'search' THEN CASE WHEN size < 20 THEN '{"top":' || size % 12 || '}'
+                                       ELSE '{"query":' || to_json(text) || ',"top":' || size % 12 || '}' END
+               WHEN 'translate' THEN '{"target":"' || ['fr', 'es', 'de', 'en', '??'][size % 5 + 1] || '","text":' || to_json(text) || '}'
+               ELSE '{"body":' || to_json(text) || ',"pinned":' || (size % 2 = 0) || '}' END
+           || ',"depends_on":[' || coalesce('"call_' || half || '"', '') || '],"id":"' || call_id || '","name":"' || name || '"'
+           || coalesce(',"result":' || to_json(answer.output), '') || ',"status":"' || status || '"}' AS json,
+           level AS rank
+    FROM checked
+    UNION ALL
+    SELECT conv_id, call_id, turn, NULL, 'orphan', NULL, '', 0,
+           '{"id":"' || call_id || '","result":' || to_json(output) || ',"status":"orphan"}', 2147483647
+    FROM results r WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = r.conv_id AND c.call_id = r.call_id)
+)
+SELECT conv_id, call_id, turn, name, status, level, errors, n_results, json,
+       row_number() OVER (PARTITION BY conv_id ORDER BY rank, turn, call_id, json) - 1 AS position
+FROM rows_
+"""
+
 SQL = {
     "op1_decontaminate": DECONTAMINATE,
+    "op2_tool_calls": TOOL_CALLS,
     "op5_packing": PACKING,
 }
