@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from personyear.llm import (
-    buckets, chunks, decontaminate, near_duplicates, sharding, sql, token_counts, token_files, tool_calls, toxicity,
+    bm25, buckets, chunks, decontaminate, near_duplicates, sharding, sql, token_counts, token_files, tool_calls, toxicity,
 )
 from personyear.session import new_folder
 
@@ -36,6 +36,11 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.round_trip(_table(spark, folder, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op4_search(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return bm25.search(docs, docs.where("doc_id % 20 = 0"))
+
+
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return buckets.pack(_table(spark, folder, "documents"))
 
@@ -80,6 +85,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_tool_calls": op2_tool_calls,
     "op3_token_files": op3_token_files,
+    "op4_search": op4_search,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,

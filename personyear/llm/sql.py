@@ -41,6 +41,30 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM doc LEFT JOIN words_hit USING (r) LEFT JOIN items_hit USING (r)
 """
 
+SEARCH = rf"""
+WITH words AS (
+    SELECT r, doc_id, unnest(w) AS word
+    FROM (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_SMALL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents)
+),
+postings AS (SELECT r, doc_id, word, count(*) AS n FROM words GROUP BY ALL),
+lengths AS (SELECT r, sum(n) AS length FROM postings GROUP BY r),
+statistics AS (SELECT (SELECT count(*) FROM documents) AS n_docs, (SELECT count(*) FROM words) / (SELECT count(*) FROM documents) AS mean),
+terms AS (SELECT word, ln(1 + (n_docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM postings, statistics GROUP BY word, n_docs),
+impacts AS (
+    SELECT doc_id, r, word, n * 2.2 / (n + 1.2 * (0.25 + 0.75 * length / mean)) AS impact
+    FROM postings JOIN lengths USING (r), statistics
+),
+scored AS (
+    SELECT q.doc_id AS query, i.r, i.doc_id, round(sum(q.n * idf * impact), 6) AS score
+    FROM postings q JOIN terms USING (word) JOIN impacts i USING (word)
+    WHERE q.doc_id % 20 = 0
+    GROUP BY ALL
+)
+SELECT query, doc_id, score, rank
+FROM (SELECT query, doc_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM scored)
+WHERE rank <= 10
+"""
+
 _STEPS = ",\n".join(
     f"""best{k} AS MATERIALIZED (
     SELECT h.j, min({{'cost': p.cost + h.length * (h.total - p.total), 'from_j': p.j}}) AS pick
@@ -149,5 +173,6 @@ FROM rows_
 SQL = {
     "op1_decontaminate": DECONTAMINATE,
     "op2_tool_calls": TOOL_CALLS,
+    "op4_search": SEARCH,
     "op5_packing": PACKING,
 }
