@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -86,14 +87,28 @@ class Piece:
     def rows(self) -> int:
         return len(self.offsets) - 1
 
-    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A hash of the bytes of each span."""
+    @cached_property
+    def _sums(self) -> np.ndarray:
         self.powers.reach(len(self.data) + 1)
         sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * self.powers.up[: len(self.data)], out=sums[1:])
+        return sums
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A hash of the bytes of each span."""
+        sums = self._sums
         lengths = (ends - starts).astype(np.uint64)
         return mix((sums[ends] - sums[starts]) * self.powers.down[starts] + lengths)
 
+    def beginnings(self, characters: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words with at least so many characters, and a hash of each one's first ones."""
+        begins = np.flatnonzero((self.data & 0xC0) != 0x80)
+        begins = np.concatenate((begins, [len(self.data)]))
+        at = np.searchsorted(begins, self.starts) + characters
+        ends = begins[np.minimum(at, len(begins) - 1)]
+        words = np.flatnonzero((at < len(begins)) & (ends <= self.ends))
+        return words, mix(self.spans(self.starts[words], ends[words]) + np.uint64(characters))
+
     def hashes(self) -> np.ndarray:
         """A hash of each word."""
         return self.spans(self.starts, self.ends)

@@ -160,8 +160,10 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     # Conversations of any size: positions come from a running count over ranges of the order.
     group = F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))
     last = F.when(F.col("status") == "orphan", F.lit(2**31 - 1)).otherwise(F.coalesce("level", F.lit(2**31 - 2)))
-    every = every.withColumns({"group": group, "rank": last})
-    order = [F.col("group"), F.col("rank"), F.col("turn"), F.col("call_id"), F.col("json")]
+    every = written(every.withColumns({"group": group, "rank": last}), "linked")
+    # Equal rows need an order too; any will do, as they are equal.
+    every = every.withColumn("row", F.monotonically_increasing_id())
+    order = [F.col("group"), F.col("rank"), F.col("turn"), F.col("call_id"), F.col("json"), F.col("row")]
     counted = running_before(every, order, F.lit(1), "before")
     starts = counted.groupBy("group").agg(F.min("before").alias("start"))
     return counted.join(starts, "group").select(
