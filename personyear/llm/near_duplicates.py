@@ -210,7 +210,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, per
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     joined = (
         pairs.select("a", "b")
+        .hint("merge")
         .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+        .hint("merge")
         .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         .select("a", "b", "text_a", "text_b")
     )
@@ -271,7 +273,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The distinct texts of the ids that are in a pair."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    found = docs.join(ids, "id", "left_semi")
+    # One plan whatever the number of ids: broadcast would hold all of a small table's.
+    found = docs.join(ids.hint("merge"), "id", "left_semi")
     return found.groupBy("id", F.xxhash64("text")).agg(F.first("text").alias("text")).select("id", "text")
 
 
