@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,25 +26,46 @@ from personyear.llm import hashing
 from personyear.session import new_folder, written
 
 END_ID = 1
-#: Words that a task remembers before it begins anew.
+#: Units that a task remembers before it begins anew.
 REMEMBERED = 1 << 21
-_TAIL = ".,;:!?"
+#: Units of plain letters that are encoded as one line of text.
+LINE_UNITS = 256
 #: Bytes of each of the four numbers of a control byte.
 _LENGTHS = ((np.arange(256)[:, None] >> np.arange(0, 8, 2)) & 3).astype(np.uint8) + 1
+_MARKS = np.isin(np.arange(256), np.frombuffer(b".,;:!?", dtype=np.uint8))
+
+
+def _plain_letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes belong to letters of ASCII or Latin-1 written as C3 xx, and the bytes in lower case."""
+    after = np.zeros(len(data), dtype=bool)
+    after[1:] = data[:-1] == 0xC3
+    second = after & (data >= 0x80) & (data <= 0xBF) & (data != 0x97) & (data != 0xB7)
+    lower = hashing.LOWER[data]
+    letter = ((lower >= 97) & (lower <= 122)) | second
+    # A lead byte is a letter's if its second byte is.
+    lead = np.zeros(len(data), dtype=bool)
+    lead[:-1] = second[1:]
+    return letter | lead, np.where(second & (data <= 0x9E), lower + 0x20, lower)
 
 
 class WordEncoder:
     """Ids of texts whose vocabulary never joins characters across white space.
 
-    Each distinct word is encoded once by the library and remembered under a 64-bit
-    hash.  A word of plain letters and closing marks is encoded as these two parts,
-    which the vocabulary keeps apart; every other word is encoded as it stands.
+    A word of plain letters and closing marks is two units, the letters in lower
+    case and the marks, which the vocabulary keeps apart; every other word is one
+    unit as it stands.  Each distinct unit is encoded once by the library and
+    remembered under a 64-bit hash.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Lower-case letters with blanks between them are what normalising and splitting would make of them.
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        by_blanks = [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence(by_blanks)
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(names.values()) + 1, dtype=bool)
         for name, number in names.items():
@@ -51,9 +73,10 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.word_of: dict[int, int] = {}
-        self.unit_of: dict[str, int] = {"": 0}
-        self.parts = np.zeros((1024, 2), dtype=np.int64)  # units of each word
+        # Unit 0 is empty; keys are sorted and name the other units.
+        self.keys = np.zeros(0, dtype=np.uint64)
+        self.units = np.zeros(0, dtype=np.int64)
+        self.count = 1
         self.unit_from = np.zeros(1025, dtype=np.int64)
         self.ids = np.zeros(1 << 14, dtype=np.uint32)
 
@@ -64,80 +87,96 @@ class WordEncoder:
         wider[: len(array)] = array
         return wider
 
-    def _add(self, first: int, units: list[np.ndarray]) -> None:
-        ends = self.unit_from[first] + np.cumsum([len(u) for u in units])
-        self.unit_from = self._grown(self.unit_from, first + len(units) + 1)
-        self.unit_from[first + 1 : first + len(units) + 1] = ends
-        self.ids = self._grown(self.ids, int(ends[-1]))
-        self.ids[self.unit_from[first] : ends[-1]] = np.concatenate(units)
-
-    def _learn(self, words: list[str]) -> None:
-        """Remember new words; they get the next numbers in order."""
-        base = len(self.word_of) - len(words)
-        self.parts = self._grown(self.parts, base + len(words))
-        first = len(self.unit_of)
-        plain, other = [], []
-        for place, word in enumerate(words, base):
-            core = word.rstrip(_TAIL)
-            if core.isalpha() and max(core) <= "\xff":
-                both, kind = (core.lower(), word[len(core) :]), plain
-            else:
-                both, kind = (word, ""), other
-            for side, unit in enumerate(both):
-                number = self.unit_of.get(unit)
-                if number is None:
-                    number = self.unit_of[unit] = len(self.unit_of)
-                    kind.append((number, unit))
-                self.parts[place, side] = number
-        if len(self.unit_of) > first:
-            found: list[np.ndarray | None] = [None] * (len(self.unit_of) - first)
-            self._encode_plain(plain, found, first)
-            self._encode_other(other, found, first)
-            self._add(first, found)
-
-    def _encode_plain(self, units: list[tuple[int, str]], found: list, first: int) -> None:
-        """Units that are one word of the vocabulary's splitting: a line of them is cut at word ends."""
-        lines = [units[i : i + 256] for i in range(0, len(units), 256)]
-        encoded = self.tokenizer.encode_batch_fast([" ".join(u for _, u in line) for line in lines], add_special_tokens=False)
-        for line, result in zip(lines, encoded, strict=True):
-            ids = np.array(result.ids, dtype=np.uint32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+    def _learn(self, keys: np.ndarray, texts: list[str], plain: np.ndarray) -> None:
+        """Remember new units, plain ones first in the order of units."""
+        order = np.argsort(~plain, kind="stable")
+        letters = int(plain.sum())
+        lengths, ids = [], []
+        for first in range(0, letters, LINE_UNITS):
+            line = [texts[i] for i in order[first : min(first + LINE_UNITS, letters)]]
+            found = np.array(self.letters.encode(" ".join(line), add_special_tokens=False).ids, dtype=np.uint32)
+            cuts = np.flatnonzero(self.ends[found]) + 1
             if len(cuts) == len(line):
-                for (number, _), part in zip(line, np.split(ids, cuts[:-1]), strict=True):
-                    found[number - first] = part
+                lengths.append(np.diff(cuts, prepend=0))
+                ids.append(found)
             else:
-                self._encode_other(line, found, first)
-
-    def _encode_other(self, units: list[tuple[int, str]], found: list, first: int) -> None:
-        encoded = self.tokenizer.encode_batch_fast([u for _, u in units], add_special_tokens=False)
-        for (number, _), result in zip(units, encoded, strict=True):
-            found[number - first] = np.array(result.ids, dtype=np.uint32)
+                self._whole(line, lengths, ids)
+        self._whole([texts[i] for i in order[letters:]], lengths, ids)
+        size = np.concatenate(lengths)
+        ends = self.unit_from[self.count] + np.cumsum(size)
+        last = self.count + len(keys)
+        self.unit_from = self._grown(self.unit_from, last + 1)
+        self.unit_from[self.count + 1 : last + 1] = ends
+        self.ids = self._grown(self.ids, int(ends[-1]))
+        self.ids[ends[0] - size[0] : ends[-1]] = np.concatenate(ids)
+        keys = np.concatenate((self.keys, keys[order]))
+        units = np.concatenate((self.units, np.arange(self.count, last)))
+        turn = np.argsort(keys, kind="stable")
+        self.keys, self.units, self.count = keys[turn], units[turn], last
+
+    def _whole(self, texts: list[str], lengths: list[np.ndarray], ids: list[np.ndarray]) -> None:
+        """Encode units with all that the vocabulary's file says."""
+        for result in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids.append(np.array(result.ids, dtype=np.uint32))
+            lengths.append(np.array([len(ids[-1])]))
 
     def encode(self, piece: hashing.Piece) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a piece in a row, and how many each text has."""
-        if len(self.word_of) > REMEMBERED:
+        if self.count > REMEMBERED:
             self.forget()
-        hashes, first_at, place = np.unique(piece.hashes(), return_index=True, return_inverse=True)
-        known, new = self.word_of, []
-        numbers = np.empty(len(hashes), dtype=np.int64)
-        for i, key in enumerate(hashes.tolist()):
-            number = known.get(key)
-            if number is None:
-                number = known[key] = len(known)
-                at = first_at[i]
-                new.append(piece.data[piece.starts[at] : piece.ends[at]].tobytes().decode())
-            numbers[i] = number
-        if new:
-            self._learn(new)
-        units = self.parts[numbers[place]].ravel()
-        starts, ends = self.unit_from[units], self.unit_from[units + 1]
-        lengths = ends - starts
+        starts, ends = piece.starts, piece.ends
+        letter, lower = _plain_letters(piece.data)
+        # Where the closing marks of a word begin, and whether all before them is letters.
+        held = np.maximum.accumulate(np.where(_MARKS[piece.data], 0, np.arange(1, len(piece.data) + 1))) if len(starts) else starts
+        core = np.maximum(held[ends - 1], starts) if len(starts) else starts
+        others = np.concatenate(([0], np.cumsum(~letter)))
+        plain = (core > starts) & (others[core] == others[starts])
+        folded = replace(piece, data=lower)
+        # An ordinary word differs from the same bytes in lower case; both kinds and marks have hashes of their own.
+        first = np.where(plain, folded.spans(starts, core), piece.spans(starts, ends) ^ np.uint64(0x5555555555555555))
+        marks = np.flatnonzero(plain & (core < ends))
+        second = folded.spans(core[marks], ends[marks])
+        hashes, at, place = np.unique(np.concatenate((first, second)), return_index=True, return_inverse=True)
+        found = np.minimum(np.searchsorted(self.keys, hashes), max(len(self.keys) - 1, 0))
+        new = np.flatnonzero(self.keys[found] != hashes) if len(self.keys) else np.arange(len(hashes))
+        if len(new):
+            word = at[new]
+            is_mark = word >= len(starts)
+            word = np.where(is_mark, marks[np.maximum(word - len(starts), 0)] if len(marks) else 0, word)
+            letters = plain[word] & ~is_mark
+            begin = np.where(is_mark, core[word], starts[word])
+            end = np.where(letters, core[word], ends[word])
+            texts = _texts(np.where(letters, 1, 0), begin, end, piece.data, lower)
+            self._learn(hashes[new], texts, letters)
+            found = np.searchsorted(self.keys, hashes)
+        units = np.zeros((len(starts), 2), dtype=np.int64)
+        if len(starts):
+            known = self.units[found][place]
+            units[:, 0] = known[: len(starts)]
+            units[marks, 1] = known[len(starts) :]
+        units = units.ravel()
+        low, high = self.unit_from[units], self.unit_from[units + 1]
+        lengths = high - low
         total = np.concatenate(([0], np.cumsum(lengths)))
-        ids = self.ids[np.repeat(starts - total[:-1], lengths) + np.arange(total[-1])]
+        ids = self.ids[np.repeat(low - total[:-1], lengths) + np.arange(total[-1])]
         words = np.concatenate(([0], np.cumsum(piece.counts())))
         return ids, np.diff(total[2 * words])
 
 
+def _texts(which: np.ndarray, begin: np.ndarray, end: np.ndarray, *buffers: np.ndarray) -> list[str]:
+    """The text of each span of one of the buffers; spans hold no blank and are whole characters."""
+    lengths = end - begin
+    after = np.cumsum(lengths + 1)
+    joined = np.full(int(after[-1]), 0x20, dtype=np.uint8)
+    source = np.repeat(begin - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+    target = np.repeat(after - lengths - 1 - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+    own = np.repeat(which, lengths)
+    for number, buffer in enumerate(buffers):
+        some = own == number
+        joined[target[some]] = buffer[source[some]]
+    return joined[:-1].tobytes().decode().split(" ")
+
+
 def pack_numbers(values: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     """Control and data bytes of consecutive records; ``counts`` are their sizes."""
     lengths = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
