@@ -126,6 +126,13 @@ def km_curve(spark, folder):
     return tidy(_curve(spark, folder))
 
 
+def km_any_job(spark, folder):
+    """Survival in the records at all, whatever the job after the first year."""
+    panel = customer_panel(spark, folder)
+    any_job = survival.spells_any_job(panel, survival.observation_window(panel), ["state", "id"])
+    return tidy(survival.kaplan_meier(any_job, ["state_fmt"]))
+
+
 def km_median(spark, folder):
     return tidy(survival.median_survival(_curve(spark, folder), ["state_fmt"]))
 
@@ -166,6 +173,7 @@ QUERIES = {
     "spells_any_job": spells_any_job,
     "spells_district": spells_district,
     "km_curve": km_curve,
+    "km_any_job": km_any_job,
     "km_median": km_median,
     "km_risk_table": km_risk_table,
     "median_reference": median_reference,
@@ -243,6 +251,15 @@ med AS (SELECT {strata}, CASE WHEN abs(max(top) - .5) < 1.5e-8 AND count(*) FILT
   THEN (min(time) + min(time) FILTER (survival < top)) / 2 ELSE min(time) END AS median FROM kept GROUP BY ALL),
 medians AS (SELECT s.*, CAST(median AS DOUBLE) AS median FROM (SELECT DISTINCT {strata} FROM counts) s LEFT JOIN med USING ({strata}))"""
 
+_ANY_JOB = """
+SELECT s.*, year_last - year_first + 1 AS length, state_start, state_end, CAST(year_last < state_end AS BIGINT) AS status,
+  s.state || ' (' || (state_start + 1) || '-' || state_end || ')' AS state_fmt
+FROM (SELECT state, id, min(year) AS year_first, max(year) AS year_last FROM (
+  SELECT *, min(year) OVER (PARTITION BY state, id) AS first FROM panel)
+  WHERE teacher = 'TRUE' OR year > first GROUP BY ALL) s
+JOIN (SELECT state, min(year) AS state_start, max(year) AS state_end FROM panel GROUP BY 1) e ON s.state = e.state
+WHERE year_first <> state_start"""
+
 _STATE_KM = [*spells_sql(CUSTOMER_PANEL_SQL, "state, id"), _KM.format(strata="state_fmt")]
 
 SQL = {
@@ -284,16 +301,12 @@ FROM series WHERE n >= {SIZE} AND year BETWEEN {SPAN[0]} AND {SPAN[1]}"""),
 SELECT state, year, CAST(floor(turnover / {STEP}::DOUBLE) AS BIGINT) AS bin, count(*) AS n
 FROM series WHERE n >= {SIZE} AND year BETWEEN {SPAN[0]} AND {SPAN[1]} AND turnover < {LIMIT} GROUP BY ALL"""),
     "spells": with_sql(*spells_sql(CUSTOMER_PANEL_SQL, "state, id"), select="SELECT * FROM spell"),
-    "spells_any_job": with_sql(CUSTOMER_PANEL_SQL, select="""
-SELECT s.*, year_last - year_first + 1 AS length, state_start, state_end, CAST(year_last < state_end AS BIGINT) AS status,
-  s.state || ' (' || (state_start + 1) || '-' || state_end || ')' AS state_fmt
-FROM (SELECT state, id, min(year) AS year_first, max(year) AS year_last FROM (
-  SELECT *, min(year) OVER (PARTITION BY state, id) AS first FROM panel)
-  WHERE teacher = 'TRUE' OR year > first GROUP BY ALL) s
-JOIN (SELECT state, min(year) AS state_start, max(year) AS state_end FROM panel GROUP BY 1) e ON s.state = e.state
-WHERE year_first <> state_start"""),
+    "spells_any_job": with_sql(CUSTOMER_PANEL_SQL, select=_ANY_JOB),
     "spells_district": with_sql(*spells_sql(DISTRICT_PANEL_SQL, "state, NCES_leaid, id"), select="SELECT * EXCLUDE (state_fmt) FROM spell"),
     "km_curve": with_sql(*_STATE_KM, select="""
+SELECT state_fmt, time, n_risk, n_event, n_censor, round(survival, 6) AS survival,
+  CASE WHEN survival > 0 THEN round(survival * sqrt(variance), 6) END AS std_error FROM curve"""),
+    "km_any_job": with_sql(CUSTOMER_PANEL_SQL, f"spell AS ({_ANY_JOB})", _KM.format(strata="state_fmt"), select="""
 SELECT state_fmt, time, n_risk, n_event, n_censor, round(survival, 6) AS survival,
   CASE WHEN survival > 0 THEN round(survival * sqrt(variance), 6) END AS std_error FROM curve"""),
     "km_median": with_sql(*_STATE_KM, select="SELECT state_fmt, median FROM medians"),

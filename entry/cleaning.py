@@ -103,7 +103,7 @@ def names_three_part(spark, folder):
         "last_first_suffix": lambda name: names.last_first_suffix(F.upper(F.col(name))),
         "last_first_other": names.last_first_other,
     }
-    rows = _people(spark, folder).where("id >= 0")
+    rows = _people(spark, folder)
     parsed = {
         form: rows.select("id", parse("name").alias("n")).select("id", "n.*") for form, parse in writings.items()
     }
@@ -152,6 +152,7 @@ def parse_numbers(spark, folder):
         F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("money"),
         F.when(F.col("o_orderstatus") == "P", "Not Provided").otherwise(F.col("o_totalprice").cast("string")).alias("pay"),
         F.when(F.col("o_orderstatus") == "F", "TRUE").when(F.col("o_orderstatus") == "O", "FALSE").otherwise("?").alias("flag"),
+        F.format_string("%.2f", F.col("o_orderkey") % 400 / 4).alias("share"),
     )
     return tidy(
         orders.select(
@@ -159,7 +160,7 @@ def parse_numbers(spark, folder):
             numbers.parse_money("money").alias("money"),
             numbers.to_number("pay").alias("pay"),
             numbers.to_boolean("flag").alias("flag"),
-            numbers.scaled_text(F.lit("0.5"), 100.0).alias("scaled"),
+            numbers.scaled_text("share", 100.0).alias("scaled"),
             numbers.half_even(F.col("o_totalprice") / 1000, 2).alias("thousands"),
         )
     )
@@ -268,7 +269,7 @@ def sorted_top_labels(spark, folder):
 
 def crosstab(spark, folder):
     orders = table(spark, folder, "orders").withColumn("year", F.year("o_orderdate"))
-    return tidy(cross(orders, "year", "o_orderstatus", ["F", "O", "P"]))
+    return tidy(cross(orders, "year", "o_orderstatus", ["F", "O"]))
 
 
 def numeric_summary(spark, folder):
@@ -319,12 +320,12 @@ SQL = {
 SELECT {_PARTS} FROM fml WHERE NOT contains(name, ',') UNION ALL SELECT {_PARTS} FROM lcfm WHERE contains(name, ',')"""),
     "names_three_part": with_sql(PEOPLE_SQL, f"""
 s1 AS (SELECT id, string_split(name, ', ') AS p, string_split(replace(replace(replace(coalesce(p[3], p[2]), '  ', ' '),
-   ' S R', ' SR'), ' J R', ' JR'), ' ') AS g FROM (SELECT id, name, string_split(name, ', ') AS p FROM people WHERE id >= 0))""", """
-u AS (SELECT id, string_split(upper(name), ',') AS p FROM people WHERE id >= 0)""", """
+   ' S R', ' SR'), ' J R', ' JR'), ' ') AS g FROM (SELECT id, name, string_split(name, ', ') AS p FROM people))""", """
+u AS (SELECT id, string_split(upper(replace(name, 'ß', 'SS')), ',') AS p FROM people)""", """
 s2 AS (SELECT id, trim(p[1]) AS last, trim(p[2]) AS b, trim(p[3]) AS c, trim(p[4]) AS d FROM u)""", """
 s3 AS (SELECT *, coalesce(b IN ('JR','SR','II','III'), FALSE) AS bs, coalesce(c IN ('JR','SR','II','III'), FALSE) AS cs FROM s2)""", """
 s4 AS (SELECT *, string_split(trim(concat_ws(' ', CASE WHEN NOT bs THEN b END, CASE WHEN NOT cs THEN c END, d)), ' ') AS g FROM s3)""", """
-o AS (SELECT id, p, trim(p[2]) AS given FROM (SELECT id, string_split(lower(replace(name, ',,', ',')), ',') AS p FROM people WHERE id >= 0))""",
+o AS (SELECT id, p, trim(p[2]) AS given FROM (SELECT id, string_split(lower(replace(name, ',,', ',')), ',') AS p FROM people))""",
         select=f"""
 SELECT 'last_suffix_first' AS form, id, g[1] AS name_first, {_GIVEN.format(end=5)} AS name_middle, p[1] AS name_last,
   CASE WHEN p[3] IS NOT NULL THEN p[2] END AS name_other FROM s1
@@ -349,7 +350,7 @@ SELECT page_id, upper(url) AS upper, url AS trimmed, regexp_matches(url, '/\d+\.
 FROM x""",
     "parse_numbers": """
 SELECT o_orderkey, round(o_totalprice, 6) AS money, CASE WHEN o_orderstatus <> 'P' THEN round(o_totalprice, 6) END AS pay,
-  CASE o_orderstatus WHEN 'F' THEN TRUE WHEN 'O' THEN FALSE END AS flag, '50' AS scaled,
+  CASE o_orderstatus WHEN 'F' THEN TRUE WHEN 'O' THEN FALSE END AS flag, CAST(o_orderkey % 400 * 25 AS VARCHAR) AS scaled,
   round_even(o_totalprice / 1000, 2) AS thousands FROM orders""",
     "pad_identifier": """
 SELECT o_orderkey, CASE WHEN o_orderkey < 1000 THEN lpad(CAST(o_orderkey AS VARCHAR), 4, '0') ELSE CAST(o_orderkey AS VARCHAR) END AS padded FROM orders""",
@@ -384,7 +385,7 @@ SELECT nullif(p_name, 'red plate') AS label, count(*) AS n FROM lineitem JOIN pa
 GROUP BY 1 ORDER BY n DESC, label ASC NULLS LAST LIMIT 20""",
     "crosstab": """
 SELECT CAST(year(o_orderdate) AS BIGINT) AS year, count(*) FILTER (o_orderstatus = 'F') AS "F",
-  count(*) FILTER (o_orderstatus = 'O') AS "O", count(*) FILTER (o_orderstatus = 'P') AS "P" FROM orders GROUP BY 1""",
+  count(*) FILTER (o_orderstatus = 'O') AS "O", count(*) FILTER (o_orderstatus = 'P') AS other FROM orders GROUP BY 1""",
     "numeric_summary": f"""
 SELECT 'all' AS scope, NULL AS l_returnflag, {_SUMMARY} FROM (SELECT l_extendedprice AS v FROM lineitem)
 UNION ALL SELECT 'by flag', l_returnflag, {_SUMMARY} FROM (SELECT l_returnflag, l_extendedprice AS v FROM lineitem) GROUP BY l_returnflag""",

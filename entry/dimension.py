@@ -66,13 +66,20 @@ def join_guard(spark, folder):
 
 def fallback_match(spark, folder):
     unique = joins.unique_rows(_suppliers(spark, folder), ["nation", "bucket"]).withColumnRenamed("s_name", "label")
-    nation = table(spark, folder, "nation").where("n_regionkey <> 2").select(
-        F.col("n_nationkey").alias("place"), F.col("n_name").alias("label")
+    # Some first hits have no label, and nations with negative balances alone are not listed.
+    unique = unique.withColumn("label", F.when(F.col("nation") % 3 != 0, F.col("label")))
+    listed = table(spark, folder, "supplier").groupBy("s_nationkey").agg(F.max("s_acctbal").alias("top")).where("top > 0")
+    nation = (
+        table(spark, folder, "nation")
+        .join(listed, F.col("n_nationkey") == F.col("s_nationkey"))
+        .select(F.col("n_nationkey").alias("place"), F.col("n_name").alias("label"))
     )
-    matched = joins.attach_first_match(
-        _customers(spark, folder), [(unique, ["nation", "bucket"]), (nation, {"nation": "place"})], ["label"], source="pass"
+    passes = [(unique, ["nation", "bucket"]), (nation, {"nation": "place"})]
+    first = joins.attach_first_match(_customers(spark, folder), passes, ["label"], source="pass").select(
+        "c_custkey", "label", "pass"
     )
-    return tidy(matched.select("c_custkey", "label", "pass"))
+    filled = joins.attach_first_match(_customers(spark, folder), passes, ["label"], per_column=True)
+    return tidy(first.join(filled.select("c_custkey", F.col("label").alias("filled")), "c_custkey"))
 
 
 def apply_corrections(spark, folder):
@@ -184,9 +191,12 @@ WITH rules AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS rule FROM part UNIO
 SELECT p_partkey, rule FROM part LEFT JOIN (SELECT * FROM rules WHERE rule <> 'ring') ON regexp_matches(p_name, rule)""",
     "unique_key_join": f"WITH {_UNIQUE} SELECT * FROM j",
     "join_guard": "SELECT o_orderkey, c_custkey, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
-    "fallback_match": f"""WITH {_UNIQUE}
-SELECT c_custkey, coalesce(s_name, n_name) AS label, CAST(CASE WHEN s_name IS NOT NULL THEN 1 WHEN n_name IS NOT NULL THEN 2 END AS BIGINT) AS pass
-FROM j LEFT JOIN nation ON nation = n_nationkey AND n_regionkey <> 2""",
+    "fallback_match": f"""WITH {_UNIQUE},
+k AS (SELECT c_custkey, s_name, CASE WHEN nation % 3 <> 0 THEN s_name END AS one, n_name AS two FROM j
+  LEFT JOIN (SELECT * FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier GROUP BY 1 HAVING max(s_acctbal) > 0))
+  ON nation = n_nationkey)
+SELECT c_custkey, CASE WHEN s_name IS NOT NULL THEN one ELSE two END AS label, coalesce(one, two) AS filled,
+  CAST(CASE WHEN s_name IS NOT NULL THEN 1 WHEN two IS NOT NULL THEN 2 END AS BIGINT) AS pass FROM k""",
     "apply_corrections": """
 SELECT o_orderkey, o_custkey, o_orderstatus, NULL AS note FROM orders WHERE o_orderstatus <> 'P'
 UNION ALL SELECT o_orderkey, o_custkey, NULL, 'corrected' FROM orders WHERE o_orderstatus = 'P'""",

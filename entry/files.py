@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from personyear.functions.labels import keyword_flag
 from personyear.operators.joins import stitch
 from personyear.operators.project import clean_headers, clean_names
-from personyear.operators.reshape import split_column
 from personyear.operators.reshape import unpivot_aliases as long_aliases
 from personyear.operators.reshape import unpivot_years as long_years
 from personyear.operators.sets import union_labeled
@@ -17,7 +16,7 @@ from personyear.plans.standardize import Collapse, District, SourceSpec, standar
 from personyear.session import new_folder
 from personyear.sources import delimited, fixed_width, snapshots
 
-from .panels import CUSTOMER_PANEL_SQL, YEARS, customer_panel, table, tidy, with_sql
+from .panels import CUSTOMER_PANEL_SQL, customer_panel, order_years, table, tidy, with_sql
 
 
 def _csv(df: DataFrame, label: str) -> str:
@@ -68,11 +67,16 @@ def _titled(df: DataFrame) -> str:
     heads = [(0, "Staff report"), (1, ""), (2, ",".join(df.columns) + ",")]
     head = F.array(*[F.struct(F.lit(place).alias("place"), F.lit(line).alias("line")) for place, line in heads])
     titles = df.select("year").distinct().select("year", F.explode(head).alias("head"))
-    body = lines.select("year", F.lit(3).alias("place"), "line").unionByName(
-        titles.select("year", "head.place", "head.line")
+    # A year is several files, so that no task writes a whole year; each has its own titles.
+    parts = F.pmod(F.xxhash64("line"), F.lit(4)).cast("int")
+    spread = lines.withColumn("part", parts)
+    heads = titles.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    heads = heads.join(spread.select("year", "part").distinct(), ["year", "part"], "left_semi")
+    body = spread.select("year", "part", F.lit(3).alias("place"), "line").unionByName(
+        heads.select("year", "part", "head.place", "head.line")
     )
-    ordered = body.repartition("year").sortWithinPartitions("year", "place")
-    ordered.select("year", F.col("line").alias("value")).write.partitionBy("year").text(path)
+    ordered = body.repartition("year", "part").sortWithinPartitions("year", "part", "place")
+    ordered.select("year", "part", F.col("line").alias("value")).write.partitionBy("year", "part").text(path)
     return path
 
 
@@ -82,10 +86,12 @@ def scan_dir_union(spark, folder):
     pay = _pay(spark, folder)
     old = pay.where("year < 1998").select("o_orderkey", "pay")
     new = pay.where("year >= 1998").select("o_orderkey", F.col("pay").alias("Total Pay"), "position")
-    old.write.option("header", True).csv(f"{base}/a")
-    new.write.option("header", True).csv(f"{base}/b")
-    rows = delimited.read_csv_folder(spark, base, recursive=True)
-    return tidy(rows.withColumn("o_orderkey", F.col("o_orderkey").cast("long")))
+    old.write.option("header", True).csv(f"{base}/kind=a")
+    new.write.option("header", True).csv(f"{base}/kind=b")
+    new.write.option("header", True).csv(f"{base}/draft")
+    rows = delimited.read_csv_folder(spark, base, recursive=True, label="path", without="/draft/")
+    keyed = rows.withColumn("kind", delimited.path_key(F.col("path"), "kind")).drop("path")
+    return tidy(keyed.withColumn("o_orderkey", F.col("o_orderkey").cast("long")))
 
 
 def scan_file_year(spark, folder):
@@ -96,7 +102,7 @@ def scan_file_year(spark, folder):
         "vintage"
     ).option("header", True).csv(fiscal)
     ranged = new_folder(spark, "ranged")
-    for year in YEARS:
+    for year in order_years(spark, folder):
         pay.where(F.col("year") == year).select("o_orderkey").write.option("header", True).csv(
             f"{ranged}/{year - 1}-{year}"
         )
@@ -129,6 +135,25 @@ def roundtrip_partitioned(spark, folder):
     return tidy(snapshots.load_snapshot(spark, path).select("state", "id", "year", "position", "salary"))
 
 
+def export_by_state(spark, folder):
+    """One folder of CSV files per state, read back as text with the state from the path."""
+    path = new_folder(spark, "export")
+    snapshots.export_csv(customer_panel(spark, folder).select("state", "id", "year", "teacher"), path)
+    rows = delimited.read_csv_folder(spark, path, recursive=True, label="path")
+    keyed = rows.withColumn("state", delimited.path_key(F.col("path"), "state"))
+    return tidy(keyed.select("state", F.col("id").cast("long").alias("id"), F.col("year").cast("long").alias("year"), "teacher"))
+
+
+def curated_roundtrip(spark, folder):
+    """A dictionary written for curation, and the curated file cut to its first columns."""
+    part = table(spark, folder, "part")
+    counted = snapshots.label_dictionary(part, F.lower("p_type").alias("position"), F.col("p_brand").alias("brand"))
+    path = new_folder(spark, "dictionary")
+    snapshots.write_dictionary(counted.withColumn("remark", F.lit("by hand")), path)
+    curated = snapshots.read_curated(spark, path, 3)
+    return tidy(curated.withColumn("n", F.col("n").cast("long")))
+
+
 def positional_stitch(spark, folder):
     """Orders split by columns into files in the same order, put back together by position."""
     orders = table(spark, folder, "orders").orderBy("o_orderkey")
@@ -146,7 +171,7 @@ def _wide(spark, folder):
         F.concat(F.lit("sum_wag_amt_"), F.year("o_orderdate").cast("string")).alias("name"),
         "o_totalprice",
     )
-    return orders.groupBy("deid").pivot("name", [f"sum_wag_amt_{year}" for year in YEARS]).agg(F.sum("o_totalprice"))
+    return orders.groupBy("deid").pivot("name", [f"sum_wag_amt_{year}" for year in order_years(spark, folder)]).agg(F.sum("o_totalprice"))
 
 
 def unpivot_years(spark, folder):
@@ -271,6 +296,8 @@ QUERIES = {
     "scan_file_year": scan_file_year,
     "scan_fixed_width": scan_fixed_width,
     "roundtrip_partitioned": roundtrip_partitioned,
+    "export_by_state": export_by_state,
+    "curated_roundtrip": curated_roundtrip,
     "positional_stitch": positional_stitch,
     "unpivot_years": unpivot_years,
     "unpivot_aliases": unpivot_aliases,
@@ -289,7 +316,8 @@ SQL = {
     ),
     "scan_dir_union": """
 SELECT o_orderkey, CASE WHEN year(o_orderdate) < 1998 THEN m END AS pay, CASE WHEN year(o_orderdate) >= 1998 THEN m END AS "Total Pay",
-  CASE WHEN year(o_orderdate) >= 1998 THEN CASE WHEN o_orderstatus = 'P' THEN 'NDR' ELSE o_orderpriority END END AS position
+  CASE WHEN year(o_orderdate) >= 1998 THEN CASE WHEN o_orderstatus = 'P' THEN 'NDR' ELSE o_orderpriority END END AS position,
+  CASE WHEN year(o_orderdate) < 1998 THEN 'a' ELSE 'b' END AS kind
 FROM (SELECT *, '$' || format('{:,.2f}', o_totalprice) AS m FROM orders)""",
     "scan_file_year": """
 SELECT 'fiscal' AS rule, o_orderkey, CAST(year(o_orderdate) + 6 AS BIGINT) AS year FROM orders
@@ -298,10 +326,12 @@ UNION ALL SELECT 'leading', o_orderkey, CAST(year(o_orderdate) AS BIGINT) FROM o
 SELECT c_custkey AS cust_key, c_name AS name, CAST(c_nationkey AS VARCHAR) AS nation, c_mktsegment AS segment FROM customer""",
     "roundtrip_partitioned": with_sql(CUSTOMER_PANEL_SQL, select="""
 SELECT state, id, year, CASE WHEN state = 'NATION_1' THEN lower(position) ELSE position END AS position, round(salary, 6) AS salary FROM panel"""),
+    "export_by_state": with_sql(CUSTOMER_PANEL_SQL, select="SELECT state, id, year, teacher FROM panel"),
+    "curated_roundtrip": "SELECT lower(p_type) AS position, p_brand AS brand, count(*) AS n FROM part GROUP BY ALL",
     "positional_stitch": "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders",
     "unpivot_years": """
 SELECT c.deid, CAST(y AS BIGINT) AS year, round(s, 6) AS salary FROM (SELECT DISTINCT o_custkey AS deid FROM orders) c
-CROSS JOIN range(1995, 2002) t(y) LEFT JOIN (SELECT o_custkey, year(o_orderdate) AS oy, sum(o_totalprice) AS s FROM orders GROUP BY ALL)
+CROSS JOIN (SELECT DISTINCT year(o_orderdate) AS y FROM orders) t LEFT JOIN (SELECT o_custkey, year(o_orderdate) AS oy, sum(o_totalprice) AS s FROM orders GROUP BY ALL)
 ON o_custkey = deid AND oy = y""",
     "unpivot_aliases": """
 SELECT DISTINCT c_custkey, X FROM (SELECT c_custkey, c_name AS X FROM customer

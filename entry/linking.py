@@ -25,18 +25,26 @@ LINKERS = {
 ID_NAMES = {"deterministic": "detid", "probabilistic": "flid", "ensemble": "ensemble_id"}
 
 # Linking is a stage of its own: its links are written once per session and
-# folder, and the queries that evaluate them read the written table.
-_stages: dict[tuple[str, str, str], DataFrame] = {}
+# panel, and the queries that evaluate them read the written table.  A panel is
+# known by its number of records and a digest of all of them, so that other data
+# in the same folder has links of its own.
+_stages: dict[tuple, DataFrame] = {}
+
+
+def _stage(spark: SparkSession, folder: str, method: str) -> tuple:
+    panel = link_panel(spark, folder)
+    digest = F.sum(F.xxhash64(*panel.columns).cast("decimal(38,0)"))
+    return (spark.sparkContext.applicationId, method, *panel.agg(F.count("*"), digest).first())
 
 
 def run_links(spark: SparkSession, folder: str, method: str) -> DataFrame:
     links = written(LINKERS[method](link_panel(spark, folder)), f"links-{method}")
-    _stages[(spark.sparkContext.applicationId, folder, method)] = links
+    _stages[_stage(spark, folder, method)] = links
     return links
 
 
 def stage_links(spark: SparkSession, folder: str, method: str) -> DataFrame:
-    known = _stages.get((spark.sparkContext.applicationId, folder, method))
+    known = _stages.get(_stage(spark, folder, method))
     return run_links(spark, folder, method) if known is None else known
 
 
@@ -250,19 +258,37 @@ def link_methods_joined(spark, folder):
     return tidy(_methods(spark, folder).select("source_id", "year", "state", "detid", "flid", "ensemble_id"))
 
 
-def turnover_by_method(spark, folder):
-    rows = linked(spark, folder, "deterministic").withColumn("detid", F.col("detid").cast("string"))
+def _method_series(rows, methods):
+    """Yearly turnover by each of the ids, unrounded."""
     series = {
-        label: turnover_by(turnover_counts(rows, [], name), ["year"])
-        for label, name in (("Official ID", "source_id"), ("Deterministic", "detid"))
+        label: turnover_by(turnover_counts(rows.withColumn(name, F.col(name).cast("string")), [], name), ["year"])
+        for label, name in methods
     }
-    return tidy(union_labeled(series, "turnover_type"))
+    return union_labeled(series, "turnover_type")
+
+
+EXACT_METHODS = (("Official ID", "source_id"), ("Deterministic", "detid"))
+ALL_METHODS = (*EXACT_METHODS, ("Probabilistic", "flid"), ("Ensemble", "ensemble_id"))
+
+
+def turnover_by_method(spark, folder):
+    return tidy(_method_series(linked(spark, folder, "deterministic"), EXACT_METHODS))
+
+
+def turnover_all_methods(spark, folder):
+    """Turnover by the official id and by all three linkers; the ids differ, the records do not."""
+    return tidy(_method_series(_methods(spark, folder), ALL_METHODS))
 
 
 def series_gap(spark, folder):
-    return tidy(
-        series_difference(turnover_by_method(spark, folder), "turnover_type", "Deterministic", "Official ID")
-    )
+    series = _method_series(linked(spark, folder, "deterministic"), EXACT_METHODS)
+    return tidy(series_difference(series, "turnover_type", "Deterministic", "Official ID"))
+
+
+def ensemble_gap(spark, folder):
+    """The ensemble's yearly turnover minus that by the official id, summarised."""
+    series = _method_series(linked(spark, folder, "ensemble"), (EXACT_METHODS[0], ALL_METHODS[3]))
+    return tidy(series_difference(series, "turnover_type", "Ensemble", "Official ID"))
 
 
 def fill_downup(spark, folder):
@@ -289,7 +315,8 @@ def _name_words(spark, folder):
         F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("v")
     )
     names = link_panel(spark, folder).select(F.col("name_last").alias("v"))
-    return words.unionByName(names).distinct()
+    titles = table(spark, folder, "part").select(F.lower(F.concat_ws(" ", "p_type", "p_brand")).alias("v"))
+    return words.unionByName(names).unionByName(titles).distinct()
 
 
 def string_similarity_join(spark, folder):
@@ -354,7 +381,9 @@ QUERIES = {
     "id_fragmentation": id_fragmentation,
     "link_methods_joined": link_methods_joined,
     "turnover_by_method": turnover_by_method,
+    "turnover_all_methods": turnover_all_methods,
     "series_difference": series_gap,
+    "ensemble_difference": ensemble_gap,
     "fill_downup": fill_downup,
     "bucket_round": bucket_round,
     "surrogate_key": surrogate_key,
@@ -385,7 +414,7 @@ _FIRST_STEP_SQL = [
 
 _WORDS_SQL = """words AS MATERIALIZED (SELECT DISTINCT v FROM (
   SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS v FROM benchmark
-  UNION ALL SELECT name_last FROM panel))"""
+  UNION ALL SELECT name_last FROM panel UNION ALL SELECT lower(concat_ws(' ', p_type, p_brand)) FROM part))"""
 
 _SCORED_SQL = """pairs AS MATERIALIZED (SELECT l_partkey AS index1, l_suppkey AS index2, sum(l_quantity) AS posterior
   FROM lineitem GROUP BY ALL)"""
@@ -421,7 +450,7 @@ FROM (SELECT detid, count(DISTINCT source_id) AS ids FROM ids GROUP BY 1) GROUP
     "turnover_by_method": with_sql(*_chain_sql(), *METHOD_TURNOVER_SQL, select="""
 SELECT turnover_type, year, round(turnover, 6) AS turnover FROM series"""),
     "series_difference": with_sql(*_chain_sql(), *METHOD_TURNOVER_SQL,
-        """gaps AS (SELECT year, round(a.turnover, 6) - round(b.turnover, 6) AS gap FROM series a JOIN series b USING (year)
+        """gaps AS (SELECT year, a.turnover - b.turnover AS gap FROM series a JOIN series b USING (year)
   WHERE a.turnover_type = 'Deterministic' AND b.turnover_type = 'Official ID')""", select="""
 SELECT round(min(gap), 6) AS minimum, round(quantile_cont(gap, .25), 6) AS p25, round(quantile_cont(gap, .5), 6) AS median,
   round(avg(gap), 6) AS mean, round(quantile_cont(gap, .75), 6) AS p75, round(max(gap), 6) AS maximum

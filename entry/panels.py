@@ -161,8 +161,15 @@ panel AS MATERIALIZED (
        JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
        JOIN part ON p_partkey = c_custkey))"""
 
+# Years that the generated SQL spells out; the queries take theirs from the data.
 YEARS = list(range(1995, 2002))
 
 
+def order_years(spark: SparkSession, folder: str) -> list[int]:
+    """The years in which there are orders, at most one number per year."""
+    years = table(spark, folder, "orders").select(F.year("o_orderdate").alias("year")).distinct()
+    return sorted(row.year for row in years.collect() if row.year is not None)
+
+
 def with_sql(*ctes: str, select: str) -> str:
     return "WITH " + ",".join(ctes) + "\n" + select

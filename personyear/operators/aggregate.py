@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,15 +36,11 @@ def null_profile_wide(df: DataFrame, group: str, values: list) -> DataFrame:
     return null_profile(df, group).groupBy("var").pivot(group, values).agg(F.first("pct_na"))
 
 
-def crosstab(df: DataFrame, rows: str, columns: str, values: list) -> DataFrame:
-    """Counts of two labels; absent combinations count 0."""
-    return df.groupBy(rows).pivot(columns, values).count().na.fill(0)
-
-
-def share_of_total(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Group counts with their share of all rows; the window sees groups, not rows."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy()))
+def crosstab(df: DataFrame, rows: str, columns: str, values: list, other: str = "other") -> DataFrame:
+    """Counts of two labels; absent combinations count 0, labels not listed (and NULL) count as ``other``."""
+    listed = F.when(F.col(columns).isin(values), F.col(columns).cast("string")).otherwise(other)
+    names = [str(value) for value in values] + [other]
+    return df.withColumn(columns, listed).groupBy(rows).pivot(columns, names).count().na.fill(0, names)
 
 
 def top_labels(df: DataFrame, label: str, k: int) -> DataFrame:

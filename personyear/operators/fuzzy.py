@@ -25,8 +25,10 @@ from ..functions.similarity import PREFIX_LENGTH, PREFIX_WEIGHT, jaro_winkler
 from ..session import written
 from .matching import LINK, WITHIN, without_linked
 
-# Characters of names from frequent to rare; rarer ones make better join keys.
-FREQUENT = "etaoinshrdlcumwfgypbvkjxqz"
+# Characters whose frequency among the values is measured; all others count as rarer.
+MEASURED_CHARACTERS = 512
+# A further occurrence of a character is as rare as one so many places down the list.
+OCCURRENCE_STEP = 6
 
 
 @dataclass(frozen=True)
@@ -82,21 +84,29 @@ def _overlap_factors(cut: float) -> list[float]:
     return factors
 
 
-def _character_tokens(value: Column) -> Column:
-    """Characters with their occurrence number, rare ones first."""
+def _by_frequency(values: DataFrame) -> str:
+    """The characters of distinct values, those in most values first; a bounded list."""
+    chars = values.select(F.explode(F.array_distinct(F.split("v", ""))).alias("c")).where("c <> ''")
+    counted = chars.groupBy("c").agg(F.count("*").alias("n"))
+    return "".join(row.c for row in counted.orderBy(F.desc("n"), "c").limit(MEASURED_CHARACTERS).collect())
+
+
+def _character_tokens(value: Column, frequent: str) -> Column:
+    """Characters with their occurrence number, rare ones first.
+
+    ``frequent`` lists characters from frequent to rare as measured on the values,
+    so that the blanks of titles count as what they are.
+    """
     chars = F.filter(F.split(value, ""), lambda char: char != "")
-    numbered = F.transform(
-        chars,
-        lambda char, i: F.concat(
-            char, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda c: c == char)).cast("string")
-        ),
-    )
-    rank = lambda token: F.instr(F.lit(FREQUENT), F.substring(token, 1, 1))
-    keyed = F.transform(
-        numbered,
-        lambda token: F.struct(F.when(rank(token) == 0, -99).otherwise(-rank(token)).alias("r"), token.alias("t")),
-    )
-    return F.transform(F.array_sort(keyed), lambda pair: pair["t"])
+    last = 10 * MEASURED_CHARACTERS
+
+    def token(char: Column, i: Column) -> Column:
+        times = F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda c: c == char))
+        place = F.instr(F.lit(frequent), char)
+        rarity = F.when(place == 0, last).otherwise(place + OCCURRENCE_STEP * (times - 1))
+        return F.struct((-rarity).alias("r"), F.concat(char, times.cast("string")).alias("t"))
+
+    return F.transform(F.array_sort(F.transform(chars, token)), lambda pair: pair["t"])
 
 
 def _signatures(tokens: Column, needed: Column) -> Column:
@@ -128,17 +138,33 @@ def similar_texts(values: DataFrame, cut: float) -> DataFrame:
     characters shared by what follows.  The bound on shared characters is
     checked in the join, and a pair is emitted for its first two alone.
     """
+    pairs = (
+        candidate_texts(values, cut)
+        .select("v1", "v2", jaro_winkler("v1", "v2").alias("similarity"))
+        .where(F.col("similarity") >= cut)
+    )
+    both = F.explode(
+        F.array(
+            F.struct(F.col("v1").alias("v"), F.col("v2").alias("w")),
+            F.struct(F.col("v2").alias("v"), F.col("v1").alias("w")),
+        )
+    )
+    return pairs.select(both.alias("pair"), "similarity").select("pair.v", "pair.w", "similarity")
+
+
+def candidate_texts(values: DataFrame, cut: float) -> DataFrame:
+    """Pairs (v1, v2) that share enough characters to be ``cut`` alike; each pair once."""
     factors = F.array(*[F.lit(value) for value in _overlap_factors(cut)])
     level = F.col("prefix")
     factor = F.element_at(factors, level + 1)
+    values = values.toDF("v").where("v is not null and v <> ''").distinct()
+    frequent = _by_frequency(values)
     base = (
-        values.toDF("v")
-        .where("v is not null and v <> ''")
-        .distinct()
+        values
         .withColumn("length", F.length("v"))
         .withColumn("prefix", F.explode(F.sequence(F.lit(0), F.least(F.lit(PREFIX_LENGTH), F.col("length")))))
         .withColumn("head", F.expr("substring(v, 1, prefix)"))
-        .withColumn("tokens", _character_tokens(F.expr("substring(v, prefix + 1)")))
+        .withColumn("tokens", _character_tokens(F.expr("substring(v, prefix + 1)"), frequent))
     )
     # The shorter (or equal) text is the left one; its partner is at most
     # length / (factor - 1) long, and the other way round.
@@ -166,21 +192,13 @@ def similar_texts(values: DataFrame, cut: float) -> DataFrame:
     next_head = lambda name: F.expr(f"substring({name}, 1, prefix + 1)")
     first = (F.col("t1") == "") | (F.get(shared, F.lit(0)) == F.col("t1"))
     second = (F.col("t2") == "") | (F.get(shared, F.lit(1)) == F.col("t2"))
-    pairs = (
+    return (
         left.join(right, ["prefix", "head", "a", "b", "t1", "t2"])
         .where((F.col("a") < F.col("b")) | (F.col("v1") < F.col("v2")))
         .where((level == PREFIX_LENGTH) | (next_head("v1") != next_head("v2")))
         .where((F.size(shared) >= F.col("needed")) & first & second)
-        .select("v1", "v2", jaro_winkler("v1", "v2").alias("similarity"))
-        .where(F.col("similarity") >= cut)
-    )
-    both = F.explode(
-        F.array(
-            F.struct(F.col("v1").alias("v"), F.col("v2").alias("w")),
-            F.struct(F.col("v2").alias("v"), F.col("v1").alias("w")),
-        )
+        .select("v1", "v2")
     )
-    return pairs.select(both.alias("pair"), "similarity").select("pair.v", "pair.w", "similarity")
 
 
 def similar_numbers(values: DataFrame, reach: float) -> DataFrame:
@@ -408,7 +426,8 @@ def fit_mixture(
     """Posterior match probability per pattern, and the match share, by EM.
 
     Fields are independent given the class; missing comparisons carry no
-    information.  The input has at most 4^K rows.
+    information.  The input has at most 4^K rows.  A model that has not settled
+    after ``rounds`` steps raises instead of giving what it has by then.
     """
     marks = np.array([["012".find(mark) for mark in pattern] for pattern in patterns])
     seen = (marks >= 0).astype(float)
@@ -440,6 +459,8 @@ def fit_mixture(
         share, match, other = new
         if change < tolerance:
             break
+    else:
+        raise ArithmeticError(f"the mixture has not settled after {rounds} rounds")
     full = slice(2 * marks.shape[1], None)
     if match[full].sum() < other[full].sum():
         return 1 - posterior, 1 - share

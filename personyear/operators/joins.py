@@ -6,6 +6,7 @@ size with ``spark.sql.autoBroadcastJoinThreshold``; nothing here forces one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..session import measured
 
-# A pattern table up to this many rows may be sent to every task.
-BROADCAST_PATTERNS = 5_000
+# Text of the patterns that are sent to every task at once.
+PATTERN_BYTES = 1 << 20
 # Characters that make a pattern more than a literal.
 SPECIAL = r"[\\.\[\]{}()*+?^$|]"
 
@@ -106,11 +107,13 @@ def attach_first_match(
     passes: list[tuple[DataFrame, list[str] | dict[str, str]]],
     values: list[str],
     source: str | None = None,
+    per_column: bool = False,
 ) -> DataFrame:
     """Try reference tables in order; the first that knows the row gives the values.
 
-    Every pass is a left join; a later one only fills rows that are still open.
-    ``source`` names a column for the number of the pass that matched.
+    Every pass is a left join; a later one only fills rows that are still open, or,
+    with ``per_column``, every value that is still NULL.  ``source`` names a column
+    for the number of the first pass that matched.
     """
     result = df
     for number, (dim, keys) in enumerate(passes):
@@ -125,8 +128,8 @@ def attach_first_match(
     numbers = range(len(passes))
     chosen = {}
     for name in values:
-        expression = F.lit(None)
-        for number in reversed(numbers):
+        expression = F.coalesce(*[F.col(f"__pass{number}_{name}") for number in numbers]) if per_column else F.lit(None)
+        for number in [] if per_column else reversed(numbers):
             expression = F.when(
                 F.col(f"__pass{number}").isNotNull(), F.col(f"__pass{number}_{name}")
             ).otherwise(expression)
@@ -139,19 +142,19 @@ def attach_first_match(
     )
 
 
-def pattern_matches(labels: DataFrame, label: str, patterns: DataFrame, pattern: str) -> DataFrame:
-    """Distinct (label, pattern) pairs where the pattern is found inside the label.
+def _texts(df: DataFrame, column: str, name: str) -> DataFrame:
+    return df.select(F.col(column).alias(name)).where(f"{name} is not null").distinct()
+
 
-    Patterns without special characters are literals: each distinct label is
-    cut into its substrings of the lengths that occur among the literals, and
-    these meet the literals in an equi join.  The few true regular expressions
-    are compared with the distinct labels, sent to all tasks while their number
-    is small and spread over hash blocks beyond that.
+def substring_matches(labels: DataFrame, label: str, patterns: DataFrame, pattern: str) -> DataFrame:
+    """Distinct (label, pattern) pairs where the pattern, taken as it stands, is inside the label.
+
+    Each distinct label is cut into its substrings of the lengths that occur among
+    the patterns, and these meet the patterns in an equi join.  An empty pattern is
+    inside nothing.
     """
-    values = labels.select(F.col(label).alias("label")).where("label is not null").distinct()
-    rules = patterns.select(F.col(pattern).alias("pattern")).where("pattern is not null").distinct()
-    literal = rules.where(~F.col("pattern").rlike(SPECIAL) & (F.length("pattern") > 0))
-    special = rules.where(F.col("pattern").rlike(SPECIAL) | (F.length("pattern") == 0))
+    values = _texts(labels, label, "label")
+    literal = _texts(patterns, pattern, "pattern").where(F.length("pattern") > 0)
     # At most one number per text length, whatever the size of the tables.
     sizes = [row.size for row in literal.select(F.length("pattern").alias("size")).distinct().collect()]
     cut = (
@@ -165,17 +168,39 @@ def pattern_matches(labels: DataFrame, label: str, patterns: DataFrame, pattern:
         .select("label", F.expr("substring(label, at, size)").alias("pattern"))
         .distinct()
     )
-    found = cut.join(literal, "pattern").select("label", "pattern")
+    return cut.join(literal, "pattern").select("label", "pattern")
+
+
+def pattern_matches(labels: DataFrame, label: str, patterns: DataFrame, pattern: str) -> DataFrame:
+    """Distinct (label, pattern) pairs where the pattern is found inside the label.
+
+    Patterns without special characters are literals (``substring_matches``).  True
+    regular expressions must be compared with every distinct label; they are sent
+    to the tasks in blocks of bounded text, so labels stay where they are whatever
+    the number of patterns.  The empty expression fits every label.
+    """
+    rules = _texts(patterns, pattern, "pattern")
+    plain = ~F.col("pattern").rlike(SPECIAL) & (F.length("pattern") > 0)
+    found = substring_matches(labels, label, rules.where(plain), "pattern")
+    values = _texts(labels, label, "label")
     fits = F.rlike("label", F.col("pattern"))
-    count = special.count()
-    if count == 0:
-        return found
-    if count <= BROADCAST_PATTERNS:
-        return found.unionByName(values.join(F.broadcast(special), fits).select("label", "pattern"))
-    blocks = -(-count // BROADCAST_PATTERNS)
-    blocked = special.withColumn("block", F.pmod(F.xxhash64("pattern"), F.lit(blocks)).cast("int"))
-    spread = values.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return found.unionByName(spread.join(blocked, "block").where(fits).select("label", "pattern"))
+    for block in _pattern_blocks(rules.where(~plain)):
+        sent = labels.sparkSession.createDataFrame([(text,) for text in block], "pattern string")
+        found = found.unionByName(values.join(F.broadcast(sent), fits).select("label", "pattern"))
+    return found
+
+
+def _pattern_blocks(patterns: DataFrame) -> Iterator[list[str]]:
+    """Patterns in blocks of bounded text (or one longer pattern); the driver holds one at a time."""
+    block, held = [], 0
+    for (text,) in patterns.select("pattern").toLocalIterator():
+        if block and held + len(text) > PATTERN_BYTES:
+            yield block
+            block, held = [], 0
+        block.append(text)
+        held += len(text)
+    if block:
+        yield block
 
 
 def attach_by_pattern(

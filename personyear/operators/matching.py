@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -46,24 +46,22 @@ def _single_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
 
     A join followed by a group count would build n1 * n2 rows for a common
     name.  Counting both sides in one aggregate gives the same pairs, combines
-    before the shuffle, and treats NULL keys as equal.
+    before the shuffle, and treats NULL keys as equal.  Numbers alone are carried,
+    so that the aggregate is a hash aggregate; a group that survives has one record
+    on either side, whose number and id are the maxima.
     """
     left = F.col("__left")
-    record = F.struct("index", "id")
     return (
         rows.groupBy(*keys)
         .agg(
             F.count_if(left).alias("n1"),
             F.count_if(~left).alias("n2"),
-            F.max(F.when(left, record)).alias("one"),
-            F.max(F.when(~left, record)).alias("two"),
+            F.max(F.when(left, F.col("index"))).alias("index1"),
+            F.max(F.when(left, F.col("id"))).alias("id"),
+            F.max(F.when(~left, F.col("index"))).alias("index2"),
         )
         .where("n1 = 1 and n2 = 1")
-        .select(
-            F.col("one.index").alias("index1"),
-            F.col("two.index").alias("index2"),
-            F.coalesce("one.id", "one.index").alias("id"),
-        )
+        .select("index1", "index2", F.coalesce("id", "index1").alias("id"))
     )
 
 
@@ -127,8 +125,3 @@ def propagate(rows: DataFrame, links: DataFrame) -> DataFrame:
         .withColumn("id", F.coalesce("id", "__id"))
         .drop("__index", "__id")
     )
-
-
-def link_label(state: Column, period: Column, rule: Column, first: Column) -> Column:
-    """Readable id: state, year, rule and the index of the first record."""
-    return F.concat_ws("_", state, period.cast("string"), rule, first.cast("string"))

@@ -71,12 +71,6 @@ def drop_last_period(df: DataFrame, keys: list[str], period: str = "year") -> Da
     )
 
 
-def hashed_key(names: list[str]) -> Column:
-    """Opaque id of a value combination; needs no sort and no shuffle."""
-    packed = F.concat_ws("\u001f", *[F.coalesce(F.col(name).cast("string"), F.lit("\u0000")) for name in names])
-    return F.sha2(packed, 256)
-
-
 def group_index(df: DataFrame, names: list[str], within: list[str], index: str) -> DataFrame:
     """Dense number of each distinct combination, counted separately ``within`` a key.
 

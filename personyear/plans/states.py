@@ -27,8 +27,8 @@ from ..operators.joins import (
     classify_labels,
     correct,
     first_by,
-    pattern_matches,
     stitch,
+    substring_matches,
     unique_rows,
 )
 from ..operators.project import banded, code_titles, recode_exact, recode_sets
@@ -104,21 +104,32 @@ def clean_nv(raw: DataFrame, dim: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- GA
 
 def ga_districts(labels: DataFrame, dim: DataFrame) -> DataFrame:
-    """District of each organisation: same name, or its name found inside a district name."""
+    """District of each school organisation: same name, or its name found inside a district name.
+
+    Names are literals, whatever marks they hold.  An organisation all of whose
+    words are dropped fits no district.  One without a district keeps its cleaned
+    name as ``NCES_name``.
+    """
     schools = labels.select("location").distinct().where(mentions("location", v.GA_SCHOOL_WORDS))
     stripped = remove_words("location", v.GA_DROPPED_WORDS)
     plain = F.trim(prefix_to_suffix(stripped, "CITY OF", "CITY"))
     schools = recode_exact(schools.withColumn("plain", plain), "plain", v.GA_DISTRICT_NAMES)
     reference = District().reference(dim, "GA").drop("state")
     exact = schools.join(reference, F.col("plain") == F.col("NCES_name"))
-    found = pattern_matches(reference, "NCES_name", schools, "plain")
+    named = schools.where("plain <> ''")
+    found = substring_matches(reference, "NCES_name", named, "plain")
     inside = (
-        schools.join(found, F.col("plain") == F.col("pattern"))
+        named.join(found, F.col("plain") == F.col("pattern"))
         .join(reference, F.col("label") == F.col("NCES_name"))
         .select(*exact.columns)
     )
     order = [F.col("NCES_leaid").asc_nulls_last(), F.col("NCES_name")]
-    return first_by(exact.unionByName(inside), ["location"], order).drop("plain")
+    known = first_by(exact.unionByName(inside), ["location"], order).drop("plain")
+    values = [name for name in known.columns if name != "location"]
+    return attach(schools, known, ["location"]).select(
+        "location",
+        *[F.coalesce("NCES_name", F.nullif("plain", F.lit(""))).alias(name) if name == "NCES_name" else F.col(name) for name in values],
+    )
 
 
 def clean_ga(raw: DataFrame, dim: DataFrame) -> DataFrame:
@@ -256,7 +267,7 @@ def clean_in(raw: DataFrame, crosswalk: DataFrame, dim: DataFrame, aliases: list
     rows = standardize(raw, None, spec).withColumn("X", F.upper("location"))
     by_alias, by_unit = in_crosswalks(crosswalk, dim, aliases)
     matched = attach_first_match(
-        rows, [(by_alias, ["X"]), (by_unit, ["unit_id"])], ["localid", "NCES_leaid"]
+        rows, [(by_alias, ["X"]), (by_unit, ["unit_id"])], ["localid", "NCES_leaid"], per_column=True
     )
     names = ["name_first", "name_middle", "name_last", "name_other"]
     return matched.withColumns({name: F.upper(name) for name in names}).drop("X", "unit_id").withColumnRenamed(
@@ -479,6 +490,11 @@ OK = SourceSpec(
         "position": ["jobdesc"],
         "position_code": ["jobcode"],
         "subject_code": ["subject"],
+        "subject_desc": ["subject_desc"],
+        "race_code": ["race"],
+        "race_desc": ["race_desc"],
+        "degree_code": ["degree"],
+        "degree_desc": ["degree_desc"],
         "experience_total": ["total_experience", "tot_exper"],
         "fte": ["fte", "FTE"],
         "salary_base": ["base_salary"],

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import fiscal_file_year, leading_file_year, parse_money, to_number
+from ..session import measured
 
 FILE = "_metadata.file_path"
 START = "_metadata.file_block_start"
@@ -75,14 +76,24 @@ def read_columns(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     )
 
 
-def list_files(
-    spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = False
-) -> list[str]:
-    """Names of the files below ``path``; their content is not read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
+def first_lines(
+    spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = False, encoding: str = "UTF-8",
+    without: str | None = None,
+) -> DataFrame:
+    """``file, line``: the first line of every file below ``path``, found by one job.
+
+    ``without`` leaves out files whose path fits this regular expression.
+    """
+    reader = spark.read.option("recursiveFileLookup", recursive).option("encoding", encoding)
     if pattern is not None:
         reader = reader.option("pathGlobFilter", pattern)
-    return sorted(row.path for row in reader.load(path).select("path").collect())
+    lines = reader.text(path).select(
+        F.col(FILE).alias("file"), F.col(START).alias("start"), F.monotonically_increasing_id().alias("at"), "value"
+    )
+    if without is not None:
+        lines = lines.where(~F.col("file").rlike(without))
+    found = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("line"))
+    return found
 
 
 def read_csv_folder(
@@ -91,20 +102,22 @@ def read_csv_folder(
     pattern: str = "*.csv",
     recursive: bool = False,
     label: str | None = None,
+    without: str | None = None,
     **options,
 ) -> DataFrame:
     """All files of a folder as one frame, although their headers differ.
 
     Files are grouped by header so that there is one scan per vintage, then
-    united by name with NULL for columns a vintage lacks.
+    united by name with NULL for columns a vintage lacks.  One job reads all
+    headers; the driver holds the names of the files, as any scan of them does.
+    ``without`` leaves out files whose path fits this regular expression.
     """
-    vintages: dict[tuple[str, ...], list[str]] = {}
-    for name in list_files(spark, path, pattern, recursive):
-        vintages.setdefault(tuple(header_of(spark, name)), []).append(name)
+    lines = first_lines(spark, path, pattern, recursive, options.get("encoding", "UTF-8"), without)
+    vintages = lines.groupBy("line").agg(F.array_sort(F.collect_list("file")).alias("files")).collect()
     if not vintages:
         raise FileNotFoundError(f"no file matches {pattern} in {path}")
     frames = []
-    for names in vintages.values():
+    for names in sorted(row.files for row in vintages):
         frame = read_csv(spark, names, **options)
         frames.append(frame if label is None else frame.withColumn(label, F.col(FILE)))
     united = frames[0]
@@ -118,6 +131,11 @@ def path_piece(path: Column, folder: bool = False) -> Column:
     return F.regexp_extract(path, r"([^/]+)/[^/]+$" if folder else r"([^/]+)$", 1)
 
 
+def path_key(path: Column, key: str) -> Column:
+    """The value of a ``key=value`` folder in a path."""
+    return F.nullif(F.regexp_extract(path, rf"/{key}=([^/]+)/", 1), F.lit(""))
+
+
 def with_file_year(df: DataFrame, rule: str = "leading", name: str = "year", folder: bool = False) -> DataFrame:
     """Derive the spring year of every row from the name of its file or folder."""
     rules = {"fiscal": fiscal_file_year, "leading": leading_file_year}
@@ -158,7 +176,7 @@ def read_csv_below(
 ) -> DataFrame:
     """Text columns of CSV files whose header follows ``skip`` title lines.
 
-    Spark cannot skip lines, so lines are read as text, numbered within the
+    All files must have the same header.  Spark cannot skip lines, so lines are read as text, numbered within the
     first split of their file, and parsed once title and header are dropped.
     A trailing delimiter gives a nameless last column, which is dropped.
     """
@@ -173,10 +191,14 @@ def read_csv_below(
         .groupBy("__file")
         .agg(F.min("__position").alias("__first"))
     )
-    numbered = lines.join(starts, "__file").withColumn(
+    # One row per file with its size on file, so that lines need not move to meet it.
+    numbered = lines.join(measured(starts, "starts"), "__file").withColumn(
         "__line", F.when(F.col("__start") == 0, F.col("__position") - F.col("__first"))
     )
-    header = numbered.where(F.col("__line") == skip).select("value").first().value
+    headers = numbered.where(F.col("__line") == skip).select("value").distinct().limit(2).collect()
+    if len(headers) != 1:
+        raise ValueError(f"the files must share one header line, found {[row.value for row in headers]}")
+    header = headers[0].value
     names = [name.strip().strip('"') or f"__blank{i}" for i, name in enumerate(header.split(","))]
     ddl = ", ".join(f"`{name}` STRING" for name in names)
     options = {"nullValue": na} if na is not None else {}

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -191,3 +192,20 @@ def test_ensemble_links_typos_one_to_one(spark):
     assert all(b - a == 100 for a, b in pairs)
     assert len(pairs) >= 24
     assert linkage.with_ids(rows, links, "pid").where(F.col("pid").isNull()).count() == 0
+
+
+def test_titles_with_blanks_do_not_meet_all_others(spark):
+    """Candidates of multi-word values stay far from all pairs, and none is lost."""
+    rng = random.Random(8)
+    parts = ["grade", "teacher", "math", "aide", "bus", "special", "school", "driver", "clerk", "nurse", "5", "12", "lead", "art"]
+    titles = sorted({" ".join(rng.choices(parts, k=rng.randint(2, 4))) for _ in range(260)})
+    values = spark.createDataFrame([(t,) for t in titles], "v string")
+    candidates = fuzzy.candidate_texts(values, 0.9)
+    assert candidates.count() < 0.1 * len(titles) * (len(titles) - 1) / 2
+    found = {(r.v, r.w) for r in fuzzy.similar_texts(values, 0.9).collect()}
+    expected = {(a, b) for a in titles for b in titles if a != b and duck_similarity(a, b) >= 0.9}
+    assert found == expected
+
+
+def duck_similarity(a, b, connection=duckdb.connect()):
+    return connection.execute("select jaro_winkler_similarity(?, ?)", [a, b]).fetchone()[0]

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from personyear.operators import joins, survival, turnover
+from personyear.operators import aggregate, joins, survival, turnover
 from personyear.operators.quality import confusion
 from personyear.operators.quantiles import numeric_summary
 from personyear.operators.sets import sample_groups
@@ -37,7 +37,7 @@ def test_pattern_matches_literals_and_rules(spark, monkeypatch):
         ("bay", "^.ay$"), ("bay", "ay"), ("clay county", "ay"), ("clay county", "county"),
         ("gray county", "ay"), ("gray county", "county"), ("gray county", "g.*y"),
     ]
-    monkeypatch.setattr(joins, "BROADCAST_PATTERNS", 1)
+    monkeypatch.setattr(joins, "PATTERN_BYTES", 1)
     assert rows(joins.pattern_matches(labels, "name", rules, "rule")) == expected
 
 
@@ -134,3 +134,49 @@ def test_leading_lines_and_layout(spark, tmp_path):
     slots = fixed_width.layout([("Key", 1, 3), ("No.", 4, 2), ("Rest", 6, 4)])
     fixed = fixed_width.read_fixed_width(spark, str(tmp_path / "fixed.txt"), slots)
     assert rows(fixed) == [("ab", "12", "tail of line"), ("cd", None, None)]
+
+
+def test_first_match_by_row_and_by_column(spark):
+    df = spark.createDataFrame([("a", "u"), ("b", "u"), ("c", "u"), ("d", "w")], "alias string, unit string")
+    one = spark.createDataFrame([("a", None, 1), ("b", "x", None)], "alias string, leaid string, n int")
+    two = spark.createDataFrame([("u", "18A", 7)], "unit string, leaid string, n int")
+    passes = [(one, ["alias"]), (two, ["unit"])]
+    by_row = joins.attach_first_match(df, passes, ["leaid", "n"], source="p").collect()
+    assert {r.alias: (r.leaid, r.n, r.p) for r in by_row} == {
+        "a": (None, 1, 1), "b": ("x", None, 1), "c": ("18A", 7, 2), "d": (None, None, None),
+    }
+    by_column = joins.attach_first_match(df, passes, ["leaid", "n"], per_column=True).collect()
+    assert {r.alias: (r.leaid, r.n) for r in by_column} == {"a": ("18A", 1), "b": ("x", 7), "c": ("18A", 7), "d": (None, None)}
+
+
+def test_patterns_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "PATTERN_BYTES", 4)
+    labels = spark.createDataFrame([("abc",), ("a.c",), ("xyz",), (None,)], "label string")
+    rules = spark.createDataFrame([("b",), ("a.c",), ("^x",), ("z$",), (None,)], "pattern string")
+    found = {tuple(r) for r in joins.pattern_matches(labels, "label", rules, "pattern").collect()}
+    assert found == {("abc", "b"), ("abc", "a.c"), ("a.c", "a.c"), ("xyz", "^x"), ("xyz", "z$")}
+    literal = {tuple(r) for r in joins.substring_matches(labels, "label", rules, "pattern").collect()}
+    assert literal == {("abc", "b"), ("a.c", "a.c")}
+
+
+def test_labels_not_listed_are_counted(spark):
+    df = spark.createDataFrame([(1, "F"), (1, "F"), (1, "X"), (1, None), (2, "O")], "g int, s string")
+    assert {tuple(r) for r in aggregate.crosstab(df, "g", "s", ["F", "O"]).collect()} == {(1, 2, 0, 2), (2, 0, 1, 0)}
+
+
+def test_files_with_different_headers_below_title_lines_are_refused(spark, tmp_path):
+    for name, header in (("a", "x,y,"), ("b", "y,x,")):
+        (tmp_path / f"{name}.csv").write_text(f"title\n{header}\n1,2,\n")
+    with pytest.raises(ValueError):
+        delimited.read_csv_below(spark, str(tmp_path), skip=1)
+    (tmp_path / "b.csv").write_text("title\nx,y,\n3,4,\n")
+    assert sorted(map(tuple, delimited.read_csv_below(spark, str(tmp_path), skip=1).collect())) == [("1", "2"), ("3", "4")]
+
+
+def test_folder_scan_leaves_out_paths(spark, tmp_path):
+    for name, text in (("year=1/a.csv", "x\n1\n"), ("year=2/b.csv", "x,y\n2,3\n"), ("old/c.csv", "x\n9\n")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    rows = delimited.read_csv_folder(spark, str(tmp_path), recursive=True, label="path", without="/old/")
+    rows = rows.withColumn("year", delimited.path_key(rows.path, "year"))
+    assert sorted((r.x, r.y or "", r.year) for r in rows.collect()) == [("1", "", "1"), ("2", "3", "2")]

@@ -61,12 +61,19 @@ def test_ga(spark):
         ("PEÑA,JR,ANN M", "GRADE 4", "10", "BIBB BOARD OF EDUCATION", "2012"),
         ("LEE,BO", "SUBSTITUTE TEACHER", "5", "CITY OF ROME SCHOOL DISTRICT", "2012"),
         ("DAY,CY", "CLERK", "5", "PORTS AUTHORITY", "2012"),
+        ("FOX,DI", "CLERK", "5", "CHARTER SCHOOL", "2012"),
+        ("ELM,ED", "CLERK", "5", "KIPP (METRO ATLANTA", "2012"),
+        ("OAK,FY", "CLERK", "5", "LONE ACADEMY", "2012"),
     )
     ref = dim(spark, (2012, "GA", "BIBB COUNTY", "1", "13B", "b"), (2012, "GA", "ROME CITY", "1", "13R", "r"))
     rows = {r.name_first: r for r in states.clean_ga(raw, ref).collect()}
     assert (rows["ANN"].name_last, rows["ANN"].name_other, rows["ANN"].NCES_leaid, rows["ANN"].teacher) == ("PENA", "JR", "13B", True)
     assert (rows["BO"].NCES_leaid, rows["BO"].teacher) == ("13R", False)
-    assert rows["CY"].NCES_leaid is None
+    assert rows["CY"].NCES_leaid is None and rows["CY"].NCES_name is None
+    # Nothing left of a name fits no district, marks are literal, and a cleaned name without a district stays.
+    assert (rows["DI"].NCES_leaid, rows["DI"].NCES_name) == (None, None)
+    assert (rows["ED"].NCES_leaid, rows["ED"].NCES_name) == (None, "KIPP (METRO ATLANTA")
+    assert (rows["FY"].NCES_leaid, rows["FY"].NCES_name) == (None, "LONE")
 
 
 def test_il(spark):
@@ -168,18 +175,20 @@ def test_oh(spark):
 def ok_raw(spark, *rows):
     names = ["year", "TeacherNumber", "Teacher Number", "staff_id", "fname", "lname", "county_name", "co", "dist", "site",
              "district_name", "school_name", "gender", "jobdesc", "jobcode", "subject", "fte", "FTE", "base_salary",
-             "total_fringe", "total_oth_salary", "total_extra_duty"]
+             "total_fringe", "total_oth_salary", "total_extra_duty", "race", "race_desc", "degree", "degree_desc", "subject_desc"]
     # names that differ in case alone come from different files, never from one
     names = [n for n in names if n != "FTE"]
     return frame(spark, names, *rows)
 
 
 def test_ok(spark):
-    line = lambda number, alt, title, fte, base: ("2008", number, alt, "x", "ANN", "LEE", "c", "01", "I002", "105", "d", "s", "F", title, "1", "m", fte, base, "1", None, None)
+    line = lambda number, alt, title, fte, base: ("2008", number, alt, "x", "ANN", "LEE", "c", "01", "I002", "105", "d", "s", "F", title, "1", "m", fte, base, "1", None, None, "4", "White", "2", "Master", "Algebra")
     raw = ok_raw(spark, line("5", None, "TEACHER", "0.6", "10"), line(None, "5", "COACH", "0.4", "30"), line("5", None, "TOTAL OTHER PAY", "9", "99"))
     row = one(states.clean_ok(raw, dim(spark, (2017, "OK", "Ada", "1", "40A", "OK-01-I002"))))
     assert (row["position"], row["teacher"], row["salary_base"], row["salary_other"], row["n_position"]) == ("TEACHER", True, 40.0, 0.0, 2)
     assert (row["NCES_leaid"], row["localid"], row["source_id"]) == ("40A", "OK-01-I002", "5")
+    kept = ("race_code", "race_desc", "degree_code", "degree_desc", "subject_desc")
+    assert [row[name] for name in kept] == ["4", "White", "2", "Master", "Algebra"]
 
 
 def test_pa(spark):
