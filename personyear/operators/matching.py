@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import discard, written
 
 # The matching rules in the order in which they are tried.
 RULES = [
@@ -93,8 +93,10 @@ def cascade(
         if number % 3 == 1 or last:
             found.append(written(reduce(lambda a, b: a.unionByName(b), stretch), "links"))
             stretch = []
+            before = start
             if not last:
                 rows = start = written(without_linked(start, found[-1]), "open")
+            discard(before)  # its links and its open records are written
         else:
             rows = without_linked(rows, links)
     return reduce(lambda a, b: a.unionByName(b), found)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import measured
 from .joins import attach
 from .windows import drop_last_period
 
@@ -35,7 +36,8 @@ def turnover_micro(
     """
     keys = [*group, person]
     last = _next_years(df, keys, year, F.max(record).alias("__last"))
-    joined = attach(df, last, [*keys, year])
+    # Written, so that both sides move for the join and a key with very many records can be split.
+    joined = attach(df, measured(last, "next-years"), [*keys, year])
     flag = (F.col(record) != F.col("__last")) | leaves(F.col("__next"), F.col(year))
     return joined.withColumn("turnover", flag).withColumn(year, F.col(year) + 1).drop("__last", "__next")
 

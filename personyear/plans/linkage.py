@@ -20,7 +20,7 @@ from ..operators.fuzzy import (
 )
 from ..operators.matching import RULES, WITHIN, cascade, rule_columns
 from ..operators.project import fold_case
-from ..session import new_folder, written
+from ..session import discard, new_folder, written
 
 # Text columns compared without case, salary step, state without names.
 FOLDED = ["name_first", "name_middle", "name_last", "name_other", "position"]
@@ -64,7 +64,7 @@ def link_years(rows: DataFrame, years: list[int], matcher: Matcher) -> DataFrame
         right = rows.where(F.col("year") == following)
         never = left.where("id is null")
         if following == period + 1:
-            links = matcher(left, right, period)
+            links = matcher(left, right, period)  # written by the matcher
             steps.append(links.withColumn("year", F.lit(period)))
             given = links.select(F.col("index2").alias("index"), F.col("id").alias("__id"))
             right = (
@@ -74,8 +74,10 @@ def link_years(rows: DataFrame, years: list[int], matcher: Matcher) -> DataFrame
             )
             used = links.select(F.col("index1").alias("index"))
             never = never.join(used, "index", "left_anti")
+        before = left
         if following != years[-1]:
             left = written(never.unionByName(right.select(*never.columns)), "left")
+        discard(before)  # the links of the step and the records carried on are written
     if not steps:
         empty = "index1 long, index2 long, id long, rule string, year int"
         return rows.sparkSession.createDataFrame([], empty)

@@ -60,7 +60,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that :func:`written` returned, once nothing unwritten reads it."""
+    path = getattr(table, "_written_path", None)
+    if path is None:
+        return
+    jvm = table.sparkSession._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def measured(df: DataFrame, label: str) -> DataFrame:
