@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from personyear.operators.ranks import running_before
 from personyear.plans import fixed_values as v
 from personyear.plans import states
+from personyear.session import written
 
-from .panels import table, tidy, with_sql
+from .panels import order_years, table, tidy, with_sql
 
 
 def _records(spark: SparkSession, folder: str) -> DataFrame:
@@ -184,7 +186,235 @@ def state_ok(spark, folder):
     )
 
 
-QUERIES = {"state_ca": state_ca, "state_nv": state_nv, "state_ks": state_ks, "state_ok": state_ok}
+# ------------------------------------------------------------------ GA
+
+ORGANISATIONS = (" BOARD OF EDUCATION", " SCHOOL SYSTEM", " CHARTER ACADEMY", " PORTS AUTHORITY", " (KIPP) SCHOOL")
+GA_TITLES = ("GRADE 4", "SUBSTITUTE TEACHER", "CLERK", "TCH PREK")
+
+
+def state_ga(spark, folder):
+    key = F.col("n_nationkey")
+    name = F.concat(F.upper("last"), F.when(F.col("p_size") % 2 == 0, F.lit(",JR")).otherwise(F.lit("")), F.lit(","), F.upper("first"), F.lit(" M"))
+    raw = _records(spark, folder).select(
+        name.alias("NAME"),
+        _choose(F.col("o_orderkey"), *GA_TITLES).alias("TITLE"),
+        F.col("o_totalprice").alias("SALARY"),
+        F.concat(F.upper("n_name"), _choose(key, *ORGANISATIONS)).alias("ORGANIZATION"),
+        F.col("year").alias("FISCAL_YEAR"),
+    )
+    dim = _dim(spark, folder, "GA", F.when(key % 3 == 0, F.concat("n_name", F.lit(" COUNTY"))).otherwise(F.col("n_name")))
+    return tidy(states.clean_ga(raw, dim))
+
+
+# ------------------------------------------------------------------ IL
+
+IL_FIRST, IL_SECOND = ("Kindergarten", "Clerk", "High School Teacher"), ("PE Teacher", "Cook")
+RACES = ("White", "White, Non-Hispanic", "Asian", "Unknow", "Other")
+
+
+def state_il(spark, folder):
+    """Two vintages; the second leaves out the retired."""
+    records, key, text = _records(spark, folder), F.col("o_orderkey"), lambda value: value.cast("string")
+    names = [F.initcap("first"), F.lit("Q"), F.initcap("last")]
+    first = records.where("o_orderstatus <> 'F'").select(
+        text(F.col("year")).alias("fy"), text(F.col("o_totalprice")).alias("salary"),
+        *[c.alias(n) for c, n in zip(names, ("first_name", "mid_init", "last_name"), strict=True)],
+        F.initcap("n_name").alias("dst_name"), _choose(key, *IL_FIRST).alias("pos_desc"), F.lit("s").alias("sch_name"),
+        _choose(key, "Female", "Male").alias("gender"), _choose(F.col("p_size"), *RACES).alias("race_ethnicity_desc"),
+        F.lit("100").alias("fte"), text(F.col("n_nationkey")).alias("rcdt"), text(key % 7).alias("sch_num"),
+    )
+    second = records.where("o_orderstatus = 'F'").select(
+        text(F.col("year")).alias("School Year"), text(F.col("o_totalprice")).alias("Salary"), F.lit("1").alias("Bonus"),
+        *[c.alias(n) for c, n in zip(names, ("First name", "Middle Name", "Last Name"), strict=True)],
+        text(F.col("o_custkey")).alias("ID Number"), F.initcap("n_name").alias("Employer"), _choose(key, *IL_SECOND).alias("Position"),
+        text(key % 7).alias("Primary Working Location RCDTS"), F.lit("s").alias("Primary Working Location Name"),
+        _choose(key, "F", "M").alias("Gender"), _choose(F.col("p_size"), *RACES).alias("Race/Ethnicity"),
+        _choose(key % 5, "No", "Yes", "0").alias("Retired Staff"), F.lit("0.5").alias("Full Time Equivalent"),
+        F.lit("1").alias("Retirement Benefits"), text(key % 3).alias("Other Benefits"), F.lit("3").alias("Annuities"),
+    )
+    return tidy(states.clean_il(first, second, _dim(spark, folder, "IL", F.initcap("n_name"))))
+
+
+# ------------------------------------------------------------------ IN
+
+IN_TITLES = ("Grade 3", "Aide to Teacher", "Mathematics", "Clerk")
+
+
+def state_in(spark, folder):
+    """A crosswalk of aliases and one of units; some aliases have no district, some units no alias."""
+    key = F.col("n_nationkey")
+    raw = _records(spark, folder).select(
+        F.concat(F.initcap("last"), F.when(F.col("p_size") % 2 == 0, F.lit(", JR, ")).otherwise(F.lit(", ")), F.initcap("first"), F.lit(" M")).alias("employee"),
+        F.col("year").cast("string").alias("year"),
+        F.col("o_totalprice").cast("string").alias("total_compensation"),
+        _choose(F.col("o_orderkey"), *IN_TITLES).alias("job_title"),
+        F.concat(F.initcap("n_name"), F.lit(" Schools")).alias("department"),
+        F.concat(F.lit("u"), key.cast("string")).alias("unit_id"),
+    )
+    number = (key + 10).cast("string")
+    crosswalk = table(spark, folder, "nation").select(
+        number.alias("localid"),
+        F.when(key % 4 == 1, "*").otherwise(F.concat(F.lit("u"), key.cast("string"))).alias("unit_id"),
+        F.initcap("n_name").alias("NCES_name"),
+        F.when(key % 3 != 0, F.concat(F.upper("n_name"), F.lit(" SCHOOLS"))).alias("X4"),
+        F.when(key % 2 == 0, "").otherwise(F.upper("n_name")).alias("X5"),
+    )
+    dim = _dim(spark, folder, "IN", F.initcap("n_name"), F.lpad(number, 4, "0"))
+    return tidy(states.clean_in(raw, crosswalk, dim, ["X4", "X5"]))
+
+
+# ------------------------------------------------------------------ ND
+
+def state_nd(spark, folder):
+    raw = _records(spark, folder).select(
+        F.concat((F.col("year") - 1).cast("string"), F.lit("-"), F.col("year").cast("string"), F.lit(".csv")).alias("filename"),
+        F.col("o_custkey").cast("string").alias("LicenseNumber"),
+        F.col("o_totalprice").cast("string").alias("SALincCOMP"),
+        _choose(F.col("o_orderkey"), "Teacher", "Principal").alias("P1_Desc"),
+        F.initcap("n_name").alias("DistrictName"),
+    )
+    local = F.concat(F.lit("ND-"), F.col("n_nationkey").cast("string"))
+    return tidy(states.clean_nd(raw, _dim(spark, folder, "ND", F.initcap("n_name"), local)))
+
+
+# ------------------------------------------------------------------ NY
+
+NY_PLACES = (" Public Schools", " CSD", " City School District")
+NY_NAMES = (" School District", " CSD", " City School District")
+
+
+def state_ny(spark, folder):
+    """District names in two spellings; some are found through a curated link alone."""
+    key = F.col("n_nationkey")
+    name = F.concat(F.initcap("last"), F.lit(", "), F.initcap("first"), F.lit(" Q"), F.when(F.col("p_size") % 2 == 0, F.lit(", Jr")).otherwise(F.lit("")))
+    raw = _records(spark, folder).select(
+        name.alias("WholeName"),
+        F.col("o_totalprice").cast("string").alias("YTDPay"),
+        F.when(F.col("year") % 3 == 0, F.lit("2008")).otherwise(F.col("year").cast("string")).alias("PayYear"),
+        F.concat(F.initcap("n_name"), _choose(key, *NY_PLACES)).alias("AgencyName"),
+        _choose(F.col("o_orderkey"), v.NY_TEACH_AGENCY, "Other").alias("SubAgencyName"),
+    )
+    links = table(spark, folder, "nation").where(key % 3 == 1).select(
+        F.lower(F.concat("n_name", _choose(key, *NY_PLACES))).alias("school_district"),
+        F.lower(F.concat("n_name", F.lit(" central school district"))).alias("NCES_name"),
+    )
+    dim = _dim(spark, folder, "NY", F.concat("n_name", _choose(key, *NY_NAMES)))
+    return tidy(states.clean_ny(raw, links, dim))
+
+
+# ------------------------------------------------------------------ OH
+
+OH_TITLES = ("Teacher", "Clerk", "Regular Teaching", "Aide")
+
+
+def state_oh(spark, folder):
+    """Two headings of the same fields; the id is the number of the name."""
+    records, key = _records(spark, folder), F.col("o_orderkey")
+    old = F.col("year") < 1998
+
+    def under(before: str, after: str, value):
+        return [F.when(old, value).alias(before), F.when(~old, value).alias(after)]
+
+    raw = records.select(
+        F.concat((F.col("year") - 1).cast("string"), F.lit("-"), F.col("year").cast("string"), F.lit("_x")).alias("filename"),
+        *under("LASTNAME", "Last_Name", F.upper("last")),
+        *under("FIRSTNAME", "First_Name", F.concat(F.lit(" "), F.upper("first"), F.lit(" Q R"))),
+        *under("COUNTY", "COUNTYNAME", F.lit("C")),
+        F.lit("t").alias("CITYNAME"),
+        *under("SCHOOLNAME", "Building", (key % 3).cast("string")),
+        *under("DISTRICTNAME", "District", F.initcap("n_name")),
+        *under("DAYSWORKED", "Days_Worked", (key % 200).cast("string")),
+        F.lit("7").alias("HOURSWORKEDPERDAY"),
+        F.lit("d").alias("EDUCATIONLEVEL"),
+        *under("PAYAMOUNT", "Salary", F.col("o_totalprice").cast("string")),
+        *under("JOBDESCRIPTION", "Job_Description", _choose(key, *OH_TITLES)),
+    )
+    kept = states.clean_oh(raw, _dim(spark, folder, "OH", F.initcap("n_name")))
+    return tidy(
+        kept.select(
+            "id", "year", "year2", "name_first", "name_middle", "name_last", "county", "city", "days_worked", "salary", "hours_worked",
+            "n_districts", "n_schools", "n_position", "state", "source",
+        )
+    )
+
+
+# ------------------------------------------------------------------ PA
+
+def state_pa(spark, folder):
+    """A sheet per school year; one has a column more."""
+    records = _records(spark, folder)
+    sheets = {}
+    for year in order_years(spark, folder):
+        sheet = records.where(F.col("year") == year).select(
+            F.col("year").cast("string").alias("year"),
+            F.col("first").alias("name_first"),
+            F.col("last").alias("name_last"),
+            _choose(F.col("o_orderkey"), "Secondary", "Clerk", "Ungraded Teacher").alias("position_description"),
+            F.initcap("n_name").alias("lea_name"),
+            F.col("o_totalprice").alias("salary"),
+            F.col("o_custkey").cast("string").alias("source_id"),
+        )
+        sheets[f"{year - 1}_{year}"] = sheet.withColumn("name_suffix", F.lit("jr")) if year % 2 else sheet
+    return tidy(states.clean_pa(sheets, _dim(spark, folder, "PA", F.initcap("n_name"))))
+
+
+# ------------------------------------------------------------------ MI
+
+def state_mi(spark, folder):
+    """Wages of a person and district by year, in three column files; some rows are deleted, some are put in."""
+    years = order_years(spark, folder)
+    wide = (
+        _records(spark, folder)
+        .groupBy("o_custkey", "first", "last", "n_name", "p_type")
+        .pivot("year", years)
+        .agg(F.sum("o_totalprice"))
+    )
+    wide = running_before(wide, [F.col("o_custkey")], F.lit(1), "ordinal")
+    pay = [F.col(f"`{year}`").cast("string").alias(f"sum_wag_amt_{year}") for year in years]
+    whole = written(
+        wide.select(
+            F.col("ordinal").cast("long"), F.col("o_custkey").cast("string").alias("deid"),
+            F.concat(F.initcap("first"), F.lit(" Q")).alias("fst_nm"), F.upper("last").alias("last_nm"),
+            F.col("p_type").alias("job_class"), F.initcap("n_name").alias("org_nm"), *pay,
+        ),
+        "wages",
+    )
+    parts = [
+        whole.select("ordinal", "deid", "fst_nm", "last_nm"),
+        whole.select("ordinal", "job_class", "org_nm"),
+        whole.select("ordinal", *[f"sum_wag_amt_{year}" for year in years]),
+    ]
+    delete = whole.where("cast(deid as long) % 10 = 3").select("deid")
+    insert = whole.where("cast(deid as long) % 10 = 3").select(
+        F.concat(F.lit("new"), "deid").alias("deid"), "fst_nm", "last_nm", "job_class", "org_nm",
+        *[F.lit("5").alias(f"sum_wag_amt_{year}") for year in years],
+    )
+    key = F.col("n_nationkey")
+    crosswalk = table(spark, folder, "nation").where(key % 2 == 0).select(
+        F.upper("n_name").alias("MI_name"), F.concat(F.upper("n_name"), F.lit(" PUBLIC")).alias("NCES_name")
+    )
+    dim = _dim(spark, folder, "MI", F.when(key % 2 == 0, F.concat("n_name", F.lit(" Public"))).otherwise(F.col("n_name")))
+    return tidy(states.clean_mi(parts, delete, insert, crosswalk, dim))
+
+
+QUERIES = {
+    "state_ca": state_ca,
+    "state_ga": state_ga,
+    "state_il": state_il,
+    "state_in": state_in,
+    "state_ks": state_ks,
+    "state_mi": state_mi,
+    "state_nd": state_nd,
+    "state_nv": state_nv,
+    "state_ny": state_ny,
+    "state_oh": state_oh,
+    "state_ok": state_ok,
+    "state_pa": state_pa,
+}
+
+_KNOWN = "known AS (SELECT DISTINCT NCES_name, NCES_type, NCES_leaid, localid FROM dim)"
+_INITCAP = "upper({0}[1]) || lower({0}[2:])"
+_WHITE = """(['White', 'White', 'Asian', 'Unknown', NULL])[p_size % 5 + 1]"""
 
 _LATEST = """
 ends AS (SELECT NCES_name, max(n_year) AS n_year, min(NCES_type) AS NCES_type FROM dim GROUP BY 1),
@@ -228,4 +458,87 @@ best AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY o_custkey, year
   title IN ('TEACHER', 'RESOURCE TEACHER') AS teacher, d.NCES_name, NCES_leaid, 'OK' AS state, '{v.SOURCES["OK"]}' AS source
 FROM best JOIN t ON tk = o_custkey AND ty = year LEFT JOIN (SELECT DISTINCT NCES_name, NCES_leaid, n_nationkey FROM dim) d
   ON d.n_nationkey = c_nationkey"""),
+    "state_ga": with_sql(
+        RECORDS_SQL, _dim_sql("CASE WHEN n_nationkey % 3 = 0 THEN n_name || ' COUNTY' ELSE n_name END"), _KNOWN, f"""
+named AS (SELECT *, place || {_choose_sql("c_nationkey", *ORGANISATIONS)} AS organisation,
+    CASE c_nationkey % 5 WHEN 4 THEN place || ' (KIPP)' WHEN 3 THEN NULL ELSE place END AS plain FROM r)""", """
+best AS (SELECT plain, k.* FROM (SELECT DISTINCT plain FROM named WHERE plain IS NOT NULL) JOIN known k ON contains(NCES_name, plain)
+  QUALIFY row_number() OVER (PARTITION BY plain ORDER BY NCES_leaid, k.NCES_name) = 1)""",
+        select=f"""SELECT round(o_totalprice, 6) AS salary, lower({_choose_sql("o_orderkey", *GA_TITLES)}) AS position, organisation AS location,
+  year, upper(first) AS name_first, 'M' AS name_middle, upper(last) AS name_last, CASE WHEN p_size % 2 = 0 THEN 'JR' END AS name_other,
+  o_orderkey % 4 IN (0, 3) AS teacher, 'GA' AS state, coalesce(b.NCES_name, n.plain) AS NCES_name, NCES_type, NCES_leaid, localid AS NCES_localid
+FROM named n LEFT JOIN best b ON b.plain = n.plain"""),
+    "state_il": with_sql(
+        RECORDS_SQL, _dim_sql("n_name", which="n_year <> 2017"),
+        "known AS (SELECT DISTINCT NCES_name, NCES_type, NCES_leaid FROM dim)",
+        select=f"""SELECT CAST(year AS VARCHAR) AS year, round(o_totalprice, 6) AS salary, NULL::DOUBLE AS bonus,
+  lower(first) AS name_first, 'q' AS name_middle, lower(last) AS name_last, NULL AS source_id, {_INITCAP.format("n_name")} AS school_district,
+  {_choose_sql("o_orderkey", *IL_FIRST)} AS position, 's' AS school_name, {_choose_sql("o_orderkey", "F", "M")} AS gender, {_WHITE} AS race,
+  '100' AS fte, c_nationkey || (o_orderkey % 7)::VARCHAR AS school_id, NULL::DOUBLE AS benefits, o_orderkey % 3 <> 1 AS teacher,
+  'IL' AS state, '{v.SOURCES["IL"]}' AS source, place AS NCES_name, NCES_type, NCES_leaid
+FROM r LEFT JOIN known ON NCES_name = place WHERE o_orderstatus <> 'F'
+UNION ALL SELECT CAST(year AS VARCHAR), round(o_totalprice, 6), 1, lower(first), 'q', lower(last), CAST(o_custkey AS VARCHAR),
+  {_INITCAP.format("n_name")}, {_choose_sql("o_orderkey", *IL_SECOND)}, 's', {_choose_sql("o_orderkey", "F", "M")}, {_WHITE}, '50',
+  CAST(o_orderkey % 7 AS VARCHAR), 4.0 + o_orderkey % 3, o_orderkey % 2 = 0, 'IL', '{v.SOURCES["IL2"]}', place, NCES_type, NCES_leaid
+FROM r LEFT JOIN known ON NCES_name = place WHERE o_orderstatus = 'F' AND o_orderkey % 5 % 3 <> 1"""),
+    "state_in": with_sql(
+        RECORDS_SQL, _dim_sql("n_name", "lpad(CAST(n_nationkey + 10 AS VARCHAR), 4, '0')"), """
+alias AS (SELECT DISTINCT X, lpad(CAST(n_nationkey + 10 AS VARCHAR), 4, '0') AS localid FROM (
+  SELECT n_nationkey, upper(n_name) || ' SCHOOLS' AS X FROM nation WHERE n_nationkey % 3 <> 0
+  UNION ALL SELECT n_nationkey, upper(n_name) FROM nation WHERE n_nationkey % 3 <> 0 AND n_nationkey % 2 <> 0))""", """
+ids AS (SELECT DISTINCT localid, NCES_leaid FROM dim)""", """
+a AS (SELECT DISTINCT X, localid, NCES_leaid FROM alias LEFT JOIN ids USING (localid))""", """
+u AS (SELECT DISTINCT n_nationkey, lpad(CAST(n_nationkey + 10 AS VARCHAR), 4, '0') AS localid FROM nation WHERE n_nationkey % 4 <> 1)""", """
+b AS (SELECT DISTINCT n_nationkey, localid, NCES_leaid FROM u LEFT JOIN ids USING (localid))""",
+        select=f"""SELECT CAST(year AS VARCHAR) AS year, CAST(o_totalprice AS VARCHAR) AS salary, lower({_choose_sql("o_orderkey", *IN_TITLES)}) AS position,
+  upper(n_name[1]) || lower(n_name[2:]) || ' Schools' AS location, upper(first) AS name_first, 'M' AS name_middle, upper(last) AS name_last,
+  CASE WHEN p_size % 2 = 0 THEN 'JR' END AS name_other, o_orderkey % 4 IN (0, 2) AS teacher, 'IN' AS state,
+  coalesce(a.localid, b.localid) AS NCES_localid, coalesce(a.NCES_leaid, b.NCES_leaid) AS NCES_leaid
+FROM r LEFT JOIN a ON a.X = place || ' SCHOOLS' LEFT JOIN b ON b.n_nationkey = c_nationkey"""),
+    "state_nd": with_sql(
+        RECORDS_SQL, _dim_sql("n_name", "CAST(n_nationkey AS VARCHAR)", "TRUE"),
+        "known AS (SELECT DISTINCT lower(NCES_name) AS NCES_name, NCES_leaid, localid FROM dim)",
+        select=f"""SELECT CAST(o_custkey AS VARCHAR) AS source_id, CAST(o_totalprice AS VARCHAR) AS salary,
+  {_choose_sql("o_orderkey", "Teacher", "Principal")} AS position, year, lower(place) AS school_district, NULL AS name_first, NULL AS name_middle,
+  NULL AS name_last, NULL AS name_other, o_orderkey % 2 = 0 AS teacher, 'ND' AS state, '{v.SOURCES["ND"]}' AS source, NCES_name, NCES_leaid, localid
+FROM r LEFT JOIN known ON NCES_name = lower(place)"""),
+    "state_ny": with_sql(
+        RECORDS_SQL, _dim_sql("n_name"), """
+known AS (SELECT DISTINCT CASE n_nationkey % 3 WHEN 0 THEN lower(NCES_name) || ' school district' WHEN 1 THEN lower(NCES_name) || ' central school district'
+    ELSE lower(NCES_name) || '  school district' END AS NCES_name, NCES_type, NCES_leaid, localid FROM dim)""", """
+spelt AS (SELECT *, CASE c_nationkey % 3 WHEN 0 THEN ' public schools' WHEN 1 THEN ' csd' ELSE ' city school district' END AS ending FROM r)""", """
+named AS (SELECT *, lower(place) || ending AS school_district, CASE c_nationkey % 3 WHEN 0 THEN lower(place) || '  school district'
+    WHEN 1 THEN lower(place) || ' csd' ELSE lower(place) || '  school district' END AS plain,
+    CASE WHEN c_nationkey % 3 = 1 THEN lower(place) || ' central school district' END AS curated FROM spelt)""",
+        select=f"""SELECT round(o_totalprice, 6) AS salary, CAST(CASE WHEN year % 3 = 0 THEN 2008 ELSE year END AS DOUBLE) AS year, school_district,
+  lower(first) AS name_first, 'q' AS name_middle, lower(last) AS name_last, CASE WHEN p_size % 2 = 0 THEN 'jr' END AS name_other,
+  o_orderkey % 2 = 0 AS teacher, 'NY' AS state, '{v.SOURCES["NY"]}' AS source, coalesce(k1.NCES_name, k2.NCES_name) AS NCES_name,
+  coalesce(k1.NCES_leaid, k2.NCES_leaid) AS NCES_leaid, coalesce(k1.localid, k2.localid) AS localid, coalesce(k1.NCES_type, k2.NCES_type) AS NCES_type
+FROM named LEFT JOIN known k1 ON k1.NCES_name = plain LEFT JOIN known k2 ON k2.NCES_name = curated WHERE year % 3 <> 0"""),
+    "state_oh": with_sql(
+        RECORDS_SQL, f"""
+k AS (SELECT *, dense_rank() OVER (ORDER BY last, first) AS id, {_choose_sql("o_orderkey", *OH_TITLES)} AS title, o_orderkey % 200 AS days FROM r)""", """
+t AS (SELECT id, year, sum(o_totalprice) AS salary, count(DISTINCT place) AS n_districts, count(DISTINCT o_orderkey % 3) AS n_schools,
+    count(DISTINCT title) AS n_position, max(days) AS days FROM k GROUP BY ALL)""", """
+n AS (SELECT DISTINCT id, first, last FROM k)""",
+        select=f"""SELECT id, year, (year - 1) || '_' || year AS year2, lower(first) AS name_first, 'q' AS name_middle, lower(last) AS name_last,
+  'c' AS county, 't' AS city, CAST(days AS DOUBLE) AS days_worked, round(salary, 6) AS salary, 7.0::DOUBLE AS hours_worked, n_districts, n_schools,
+  n_position, 'OH' AS state, '{v.SOURCES["OH"]}' AS source FROM t JOIN n USING (id)"""),
+    "state_pa": with_sql(
+        RECORDS_SQL, _dim_sql("n_name"), _KNOWN,
+        select=f"""SELECT CAST(year AS VARCHAR) AS year, (year - 1) || '_' || year AS year2, first AS name_first, NULL AS name_middle, last AS name_last,
+  CASE WHEN year % 2 = 1 THEN 'jr' END AS name_other, {_choose_sql("o_orderkey", "Secondary", "Clerk", "Ungraded Teacher")} AS position,
+  {_INITCAP.format("n_name")} AS lea_name, round(o_totalprice, 6) AS salary, CAST(o_custkey AS VARCHAR) AS source_id, o_orderkey % 3 <> 1 AS teacher,
+  place AS NCES_name, NCES_type, NCES_leaid, localid, 'PA' AS state, '{v.SOURCES["PA"]}' AS source
+FROM r LEFT JOIN known ON NCES_name = place"""),
+    "state_mi": with_sql(
+        RECORDS_SQL, _dim_sql("CASE WHEN n_nationkey % 2 = 0 THEN n_name || ' PUBLIC' ELSE n_name END"), _KNOWN, """
+w AS (SELECT o_custkey, year, first, last, place, c_nationkey, p_type, sum(o_totalprice) AS pay FROM r GROUP BY ALL)""", """
+people AS (SELECT DISTINCT o_custkey, first, last, place, c_nationkey, p_type FROM w WHERE o_custkey % 10 = 3)""", """
+long AS (SELECT CAST(o_custkey AS VARCHAR) AS deid, year, first, last, place, c_nationkey, p_type, pay FROM w WHERE o_custkey % 10 <> 3
+  UNION ALL SELECT 'new' || o_custkey, year, first, last, place, c_nationkey, p_type, 5.0 FROM people, (SELECT DISTINCT year FROM r))""",
+        select=f"""SELECT year, lower(first) AS name_first, 'q' AS name_middle, lower(last) AS name_last, lower(p_type) AS position, round(pay, 6) AS salary,
+  place AS school_district, CASE WHEN c_nationkey % 2 = 0 THEN place || ' PUBLIC' ELSE place END AS NCES_name, NCES_type, NCES_leaid,
+  localid AS NCES_localid, 'MI' AS state, '{v.SOURCES["MI"]}' AS source
+FROM long LEFT JOIN known ON known.NCES_name = CASE WHEN c_nationkey % 2 = 0 THEN place || ' PUBLIC' ELSE place END"""),
 }
