@@ -24,7 +24,7 @@ from pyspark.sql.types import (
     ArrayType, BooleanType, LongType, StringType, StructField, StructType,
 )
 
-from personyear.llm import hashing
+from personyear.llm import hashing, shared
 
 WINDOW = 10
 #: Words of a shard, and of the phrases searched in one block.
@@ -180,7 +180,7 @@ def phrase_blocks(items: DataFrame, id_col: str, text_col: str, window: int = WI
         nonlocal held
         block = _phrases(pa.array(texts, pa.string()), np.array(ids, dtype=np.int64), window)
         if block is not None:
-            blocks.append(spark.sparkContext.broadcast(block))
+            blocks.append(shared.send(spark, block))
         texts.clear()
         ids.clear()
         held = 0
@@ -259,7 +259,7 @@ class _Shard:
         covered = np.zeros(self.n_words + 1, dtype=np.int64)
         owners: list[np.ndarray] = []
         for block in blocks:
-            phrases = block.value
+            phrases = shared.received(block)
             place, length, phrase = _search(self.words, self.rows, phrases)
             np.add.at(covered, place, 1)
             np.add.at(covered, place + length, -1)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from personyear.llm import hashing
+from personyear.llm import hashing, shared
 from personyear.session import written
 
 SAMPLE_PER_CLASS = 4_000
@@ -277,10 +277,10 @@ def toxicity(
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    index = docs.sparkSession.sparkContext.broadcast(fit(texts, known, **fitting))
+    index = shared.send(docs.sparkSession, fit(texts, known, **fitting))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, fitted = hashing.Powers(), index.value
+        powers, fitted = hashing.Powers(), shared.received(index)
         with np.errstate(over="ignore"):
             for batch in batches:
                 for first, rows, row, words, counts in fitted.vocabulary.entries(batch.column(place), powers):
