@@ -32,7 +32,7 @@ SAMPLE_PER_CLASS = 4_000
 VOCABULARY = 2_048
 NEIGHBOURS = 25
 #: Power of the cosine that a neighbour votes with.
-SHARPNESS = 4
+SHARPNESS = 3
 BLOCK = 64
 #: Lengths of the beginnings of words that are terms as well.
 STEMS = (4, 5, 6, 7)
