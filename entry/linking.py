@@ -340,6 +340,12 @@ def agreement_patterns(spark, folder):
     return tidy(fuzzy.pattern_counts(_pair_counts(spark, folder)))
 
 
+def mixture_posteriors(spark, folder):
+    """The fitted match probability of every agreement pattern, one model per state."""
+    scored = fuzzy.pattern_posteriors(_pair_counts(spark, folder))
+    return scored.select("state", "pattern", F.col("pairs").cast("long").alias("pairs"), F.round("posterior", 4).alias("posterior"))
+
+
 def _scored_pairs(spark, folder):
     """Candidate pairs of parts and suppliers, scored by the quantity shipped."""
     lines = table(spark, folder, "lineitem")
@@ -390,6 +396,7 @@ QUERIES = {
     "string_similarity_join": string_similarity_join,
     "numeric_agreement": numeric_agreement,
     "agreement_patterns": agreement_patterns,
+    "mixture_posteriors": mixture_posteriors,
     "one_to_one_filter": one_to_one_filter,
     "compile_linked": compile_linked,
 }
@@ -419,6 +426,60 @@ _WORDS_SQL = """words AS MATERIALIZED (SELECT DISTINCT v FROM (
 _SCORED_SQL = """pairs AS MATERIALIZED (SELECT l_partkey AS index1, l_suppkey AS index2, sum(l_quantity) AS posterior
   FROM lineitem GROUP BY ALL)"""
 
+# The agreement pattern of every pair of records of 1996 and 1997 in a state.
+_PAIR_PATTERNS_SQL = """
+level1 AS (SELECT a.state,
+  CASE WHEN jaro_winkler_similarity(a.name_first, b.name_first) >= .92 THEN '2'
+       WHEN jaro_winkler_similarity(a.name_first, b.name_first) >= .88 THEN '1' ELSE '0' END
+  || CASE WHEN jaro_winkler_similarity(a.name_last, b.name_last) >= .92 THEN '2'
+       WHEN jaro_winkler_similarity(a.name_last, b.name_last) >= .88 THEN '1' ELSE '0' END
+  || CASE WHEN a.name_middle IS NULL OR b.name_middle IS NULL THEN '-'
+       WHEN jaro_winkler_similarity(a.name_middle, b.name_middle) >= .94 THEN '2' ELSE '0' END AS pattern
+  FROM panel a JOIN panel b USING (state) WHERE a.year = 1996 AND b.year = 1997)"""
+
+
+def _mixture_sql(fields: int = 3, tolerance: float = 1e-5) -> list[str]:
+    """Expectation and maximisation per state as a recursive CTE over the pattern counts.
+
+    A row is a pattern with the parameters of its state: share, and the chances
+    m (match) and u (other) of each field and level.  ``done`` marks the round in
+    which no parameter moved by the tolerance.
+    """
+    cells = [(f, level) for f in range(fields) for level in range(3)]
+    name = lambda kind, f, level: f"{kind}{f}{level}"
+    shown = {(f, level): f"CAST(pattern[{f + 1}] = '{level}' AS INT)" for f, level in cells}
+    start = {"m": (0.05, 0.15, 0.80), "u": (0.80, 0.15, 0.05)}
+    begun = []
+    for kind, chances in start.items():
+        for f, level in cells:
+            possible = [f"max({shown[f, x]}) OVER s * {chances[x]}" for x in range(3)]
+            begun.append(f"{possible[level]} / greatest({' + '.join(possible)}, 1e-12) AS {name(kind, f, level)}")
+    odds = " + ".join(
+        f"{shown[c]} * (ln(greatest({name('u', *c)}, 1e-12)) - ln(greatest({name('m', *c)}, 1e-12)))" for c in cells
+    )
+    values = ", ".join(name(kind, *c) for kind in "mu" for c in cells)
+    moved, changes = [], ["abs(new_share - share)"]
+    for kind, weight in (("m", "w"), ("u", "(part - w)")):
+        for f, level in cells:
+            total = f"sum({weight} * CAST(pattern[{f + 1}] <> '-' AS INT)) OVER s"
+            hits = f"sum({weight} * {shown[f, level]}) OVER s"
+            old = name(kind, f, level)
+            moved.append(f"CASE WHEN {total} > 0 THEN {hits} / greatest({total}, 1e-300) ELSE {old} END AS new_{old}")
+            changes.append(f"abs(new_{old} - {old})")
+    fresh = ", ".join(f"new_{name(kind, *c)}" for kind in "mu" for c in cells)
+    return [
+        "counts AS (SELECT state, pattern, count(*) AS pairs FROM level1 GROUP BY ALL)",
+        f"""em(round, done, state, pattern, pairs, part, r, share, {values}) AS (
+  SELECT 0, FALSE, state, pattern, pairs, pairs / sum(pairs) OVER s, 0.0::DOUBLE, 0.1::DOUBLE, {", ".join(begun)}
+  FROM counts WINDOW s AS (PARTITION BY state)
+  UNION ALL
+  SELECT round + 1, greatest({", ".join(changes)}) < {tolerance}, state, pattern, pairs, part, r, new_share, {fresh}
+  FROM (SELECT *, sum(w) OVER s AS new_share, {", ".join(moved)} FROM (SELECT * EXCLUDE (r), part * g AS w, g AS r FROM (
+      SELECT *, 1 / (1 + exp(least(greatest(ln(greatest(1 - share, 1e-300)) - ln(greatest(share, 1e-300)) + {odds}, -700), 700))) AS g
+      FROM em WHERE NOT done AND round < 5000)) WINDOW s AS (PARTITION BY state)))""",
+    ]
+
+
 SQL = {
     "match_rule": with_sql(
         *_one_step(), *_cascade_sql("c", "one", "two", matching.RULES[:1]),
@@ -469,16 +530,10 @@ SELECT v, w, CAST(CASE WHEN s >= .92 THEN 2 ELSE 1 END AS BIGINT) AS level FROM
     "numeric_agreement": """WITH p AS (SELECT DISTINCT c_acctbal AS v FROM customer)
 SELECT a.v, b.v AS w, CAST(CASE WHEN abs(a.v - b.v) <= 1 THEN 2 ELSE 1 END AS BIGINT) AS level
 FROM p a JOIN p b ON abs(a.v - b.v) <= 2.5""",
-    "agreement_patterns": with_sql(LINK_PANEL_SQL, """
-level1 AS (SELECT a.state,
-  CASE WHEN jaro_winkler_similarity(a.name_first, b.name_first) >= .92 THEN '2'
-       WHEN jaro_winkler_similarity(a.name_first, b.name_first) >= .88 THEN '1' ELSE '0' END
-  || CASE WHEN jaro_winkler_similarity(a.name_last, b.name_last) >= .92 THEN '2'
-       WHEN jaro_winkler_similarity(a.name_last, b.name_last) >= .88 THEN '1' ELSE '0' END
-  || CASE WHEN a.name_middle IS NULL OR b.name_middle IS NULL THEN '-'
-       WHEN jaro_winkler_similarity(a.name_middle, b.name_middle) >= .94 THEN '2' ELSE '0' END AS pattern
-  FROM panel a JOIN panel b USING (state) WHERE a.year = 1996 AND b.year = 1997)""", select="""
+    "agreement_patterns": with_sql(LINK_PANEL_SQL, _PAIR_PATTERNS_SQL, select="""
 SELECT state, pattern, count(*) AS pairs FROM level1 GROUP BY ALL"""),
+    "mixture_posteriors": "WITH RECURSIVE " + ",".join([LINK_PANEL_SQL, _PAIR_PATTERNS_SQL, *_mixture_sql()]) + """
+SELECT state, pattern, pairs, round(CASE WHEN m02 + m12 + m22 < u02 + u12 + u22 THEN 1 - r ELSE r END, 4) AS posterior FROM em WHERE done""",
     "one_to_one_filter": with_sql(_SCORED_SQL, """
 best1 AS (SELECT * FROM (SELECT *, max(posterior) OVER (PARTITION BY index1) AS top FROM pairs) WHERE posterior = top
   QUALIFY count(*) OVER (PARTITION BY index1) = 1)""", """
