@@ -397,6 +397,40 @@ def state_mi(spark, folder):
     return tidy(states.clean_mi(parts, delete, insert, crosswalk, dim))
 
 
+# ------------------------------------------------------------------ WI
+
+WI_CODES, WI_POSITIONS = ("53", "09", "88"), ("53 - Teacher", "88 - Aide")
+WI_RACES, WI_NEW_RACES = ("W", "A", "?"), ("W - White", "H - Hispanic/Latino", "Two or More Races")
+
+
+def state_wi(spark, folder):
+    """A fixed-width vintage and a late one with headers of its own, whose years are moved to where it holds."""
+    records, key = _records(spark, folder), F.col("o_orderkey")
+    pay = F.concat(F.lit("$"), F.format_number("o_totalprice", 2))
+    place = F.lpad(F.col("n_nationkey").cast("string"), 4, "0")
+    person = F.col("o_custkey").cast("string")
+    old = records.where("year < 2000").select(
+        F.concat(F.col("year").cast("string"), F.lit("A")).alias("year_and_session"), F.upper("last").alias("last_name"),
+        F.upper("first").alias("name_first"), F.lit("1960").alias("birth_year"), person.alias("id_number"),
+        _choose(key, "F", "M").alias("sex"), _choose(key, "F", "M").alias("sexgender"),
+        _choose(F.col("p_size"), *WI_RACES).alias("race"), _choose(F.col("p_size"), *WI_RACES).alias("raceprimary_ethnic_origin"),
+        _choose(F.col("p_size"), "4", "5", "9").alias("highest_degree"), pay.alias("salary"),
+        _choose(key, *WI_CODES).alias("position_code"), place.alias("agency_of_work_location"),
+    )
+    new = records.where("year >= 2000").select(
+        (F.col("year") + 17).alias("year"), F.initcap("last").alias("last_name"), F.initcap("first").alias("name_first"),
+        F.lit("1970").alias("birth_year"), person.alias("research_id"), F.concat(F.lit("e"), person).alias("entity_id"),
+        _choose(key, "F", "M").alias("gender"), _choose(F.col("p_size"), *WI_NEW_RACES).alias("raceethnicity"),
+        _choose(F.col("p_size"), "4 - Bachelor", "5 - Masters").alias("contract_high_degree"), pay.alias("total_salary"),
+        _choose(key, *WI_POSITIONS).alias("assignment_position"), F.concat(place, F.lit(" - "), "n_name").alias("assignment_work_agency"),
+    )
+    # The code list is made of the codes in use.
+    used = old.select(F.regexp_replace("position_code", "^0", "").alias("Code")).distinct()
+    codes = used.select(F.lit("position_code").alias("Variable"), "Code", F.concat(F.lit("Title "), "Code").alias("Description"))
+    dim = _dim(spark, folder, "WI", F.initcap("n_name"), place).where("NCES_leaid like '%a'")
+    return tidy(states.clean_wi({"old": states.wi_fixed_width_year(old), "new": new}, codes, dim))
+
+
 QUERIES = {
     "state_ca": state_ca,
     "state_ga": state_ga,
@@ -410,6 +444,7 @@ QUERIES = {
     "state_oh": state_oh,
     "state_ok": state_ok,
     "state_pa": state_pa,
+    "state_wi": state_wi,
 }
 
 _KNOWN = "known AS (SELECT DISTINCT NCES_name, NCES_type, NCES_leaid, localid FROM dim)"
@@ -541,4 +576,20 @@ long AS (SELECT CAST(o_custkey AS VARCHAR) AS deid, year, first, last, place, c_
   place AS school_district, CASE WHEN c_nationkey % 2 = 0 THEN place || ' PUBLIC' ELSE place END AS NCES_name, NCES_type, NCES_leaid,
   localid AS NCES_localid, 'MI' AS state, '{v.SOURCES["MI"]}' AS source
 FROM long LEFT JOIN known ON known.NCES_name = CASE WHEN c_nationkey % 2 = 0 THEN place || ' PUBLIC' ELSE place END"""),
+    "state_wi": with_sql(
+        RECORDS_SQL, f"""
+k AS (SELECT *, year < 2000 AS old, CASE WHEN year < 2000 THEN year ELSE year + 17 END AS y,
+    CASE WHEN year < 2000 THEN {_choose_sql("o_orderkey", *WI_CODES)} ELSE {_choose_sql("o_orderkey", "53", "88")} END AS code,
+    lpad(CAST(c_nationkey AS VARCHAR), 4, '0') AS local FROM r
+  QUALIFY row_number() OVER (PARTITION BY o_custkey, year ORDER BY o_totalprice DESC) = 1)""",
+        select=f"""SELECT y AS year, lower(last) AS name_last, lower(first) AS name_first, CASE WHEN old THEN '1960' ELSE '1970' END AS birth_year,
+  {_choose_sql("o_orderkey", "F", "M")} AS gender, CASE WHEN old THEN {_choose_sql("p_size", "4", "5", "9")} ELSE {_choose_sql("p_size", "4", "5")} END AS degree,
+  round(o_totalprice, 2) AS salary, NULL::DOUBLE AS salary_fringe, NULL AS experience_local, NULL AS experience_total, code AS position_code,
+  CASE WHEN code <> '88' THEN 'Title ' || ltrim(code, '0') END AS position_title, local AS localid, NULL AS school_id,
+  CASE WHEN NOT old THEN 'e' || o_custkey END AS source_id, CAST(o_custkey AS VARCHAR) AS other_id,
+  CASE WHEN old THEN (['White', 'Asian', NULL])[p_size % 3 + 1] ELSE (['White', 'Hispanic', 'TwoOrMore'])[p_size % 3 + 1] END AS race,
+  CASE WHEN old THEN (['Bachelor', 'Masters', NULL])[p_size % 3 + 1] ELSE (['Bachelor', 'Masters'])[p_size % 2 + 1] END AS degree_title,
+  code = '53' AS teacher, CASE WHEN c_nationkey % 5 <> 4 THEN place END AS NCES_name,
+  CASE WHEN c_nationkey % 5 <> 4 THEN lpad(CAST(c_nationkey AS VARCHAR), 6, '0') || 'a' END AS NCES_leaid, 'WI' AS state,
+  '{v.SOURCES["WI"]}' AS source FROM k"""),
 }
