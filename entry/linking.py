@@ -182,7 +182,8 @@ def link_deterministic(spark, folder):
 
 def link_probabilistic(spark, folder):
     links = run_links(spark, folder, "probabilistic")
-    return linkage.with_ids(link_panel(spark, folder), links, "flid").select("index", "flid")
+    linked = linkage.with_posteriors(linkage.with_ids(link_panel(spark, folder), links, "flid"), links)
+    return tidy(linked.select("index", "flid", "posterior"))
 
 
 def link_ensemble(spark, folder):

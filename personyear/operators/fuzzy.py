@@ -533,7 +533,7 @@ def probable_links(
     threshold: float,
     within: list[str] = WITHIN,
 ) -> DataFrame:
-    """Links with a posterior of at least ``threshold``, best partners only, no ties.
+    """Links with their posterior, which is at least ``threshold``; best partners only, no ties.
 
     The choice is that of :func:`best_pairs`, made on value combinations: the
     members of a combination have the same partners and scores, so a
@@ -543,7 +543,7 @@ def probable_links(
     scored = written(pattern_posteriors(counts), "patterns")
     accepted = scored.where(F.col("posterior") >= threshold)
     if not accepted.take(1):
-        return left.sparkSession.createDataFrame([], "index1 long, index2 long, id long, rule string")
+        return left.sparkSession.createDataFrame([], "index1 long, index2 long, id long, rule string, posterior double")
     options = counts.per_combination(accepted)
     first = _single_best(options, "one", "posterior", ["n2", "partner", "n1"]).where("n2 = 1")
     chosen = first.select(F.col("partner").cast("long").alias("index2"), "posterior", "n1", "one")
@@ -553,8 +553,9 @@ def probable_links(
         "index2",
         F.coalesce("one.id", "one.index").alias("id"),
         F.lit("probable").alias("rule"),
+        "posterior",
     )
-    return written(links.select(*LINK), "links")
+    return written(links.select(*LINK, "posterior"), "links")
 
 
 def open_records(left: DataFrame, right: DataFrame, links: DataFrame, period: int, year: str = "year"):

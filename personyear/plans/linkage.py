@@ -114,6 +114,12 @@ def link_deterministic(panel: DataFrame, rules: list[list[str]] = RULES) -> Data
     return link_years(rows, years, lambda left, right, _: cascade(left, right, rules))
 
 
+def with_posteriors(df: DataFrame, links: DataFrame) -> DataFrame:
+    """Attach the match probability of the link to the year before, NULL where the record has none."""
+    known = links.select(F.col("index2").alias("__index"), "posterior")
+    return df.join(known, F.col("index") == F.col("__index"), "left").drop("__index")
+
+
 def link_probabilistic(panel: DataFrame) -> DataFrame:
     """Links by the probabilistic model alone."""
     names = [field.name for field in STANDALONE_FIELDS]
@@ -139,7 +145,7 @@ def link_ensemble(panel: DataFrame, rules: list[list[str]] = RULES) -> DataFrame
         probable = probable_links(
             open_left, open_right, BACKSTOP_FIELDS, agreements, BACKSTOP_THRESHOLD
         )
-        return exact.unionByName(probable)
+        return exact.unionByName(probable, allowMissingColumns=True)
 
     return link_years(rows, years, matcher)
 
