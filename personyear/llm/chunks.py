@@ -2,12 +2,16 @@
 
 A gear hash rolls over the bytes of a text; a chunk ends before a word where the
 hash of the last 16 bytes falls under a threshold, so boundaries depend on nearby
-content only and an insertion moves none but its own.  Chunks carry a digest.
-The first copy of a digest, by id and place, stays; later copies are repeats, and
-runs of neighbouring repeats with enough words are cut from the text.
+content only and an insertion moves none but its own.  Neighbouring chunks are
+taken together until they have enough words, onwards from each chunk and back
+from each, and such a stretch carries a digest of its chunks.  The first copy of a
+digest, by id and place, stays; later copies are cut from the text.
 
-The chunk digests of a text are compared as 64-bit hashes.  A chance collision
-marks one chunk, which is far shorter than a run that is cut.
+So all chunks of a stretch stood together in one earlier place.  A run of chunks
+with enough words that stands in an earlier place is the union of its stretches:
+those onwards from its first chunk and back from each later one lie inside it.
+
+Digests are compared as 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ CHUNK_WORDS = 4
 LEAST_WORDS = 20
 #: Digests that one task compares before it hands them on.
 LOCAL_CHUNKS = 1 << 21
+#: A stretch is one number: its first word in the high bits, its count of words in the low ones.
+PLACE_BITS = 32
 
 SPANS = pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()}))
 
@@ -55,8 +61,30 @@ def _chunks(piece: hashing.Piece, gear: np.ndarray) -> tuple[np.ndarray, np.ndar
     return row[first], first, piece.spans(starts[first], piece.ends[last])
 
 
-def _digests(docs: DataFrame) -> DataFrame:
-    """``digest, id, text_key, place, repeat``: chunks that no earlier document of the same task has, or places known to repeat.
+def _stretches(piece: hashing.Piece, gear: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per stretch: row, place (see ``PLACE_BITS``), and digest of its chunks.
+
+    A stretch has at least ``least_words`` words and would have fewer without its last chunk or without its first.
+    """
+    row, first, digest = _chunks(piece, gear)
+    count = len(first)
+    ends = np.append(first[1:], len(piece.starts)) if count else first
+    last = np.searchsorted(ends, first + least_words)
+    onwards = np.flatnonzero((last < count) & (row[np.minimum(last, count - 1)] == row)) if count else first
+    begin = np.searchsorted(first, ends - least_words, side="right") - 1
+    back = np.flatnonzero((begin >= 0) & (row[begin] == row) & (last[begin] != np.arange(count)))
+    one, end = np.concatenate((onwards, begin[back])), np.concatenate((last[onwards], back)) + 1
+    piece.powers.reach(count + 1)
+    sums = np.zeros(count + 1, dtype=np.uint64)
+    np.cumsum(digest * piece.powers.up[:count], out=sums[1:])
+    together = hashing.mix((sums[end] - sums[one]) * piece.powers.down[one] + (end - one).astype(np.uint64))
+    words = ends[end - 1] - first[one]
+    place = first[one] - hashing.first_words(piece.counts())[row[one]]
+    return row[one], place << PLACE_BITS | words, together
+
+
+def _digests(docs: DataFrame, least_words: int) -> DataFrame:
+    """``digest, id, text_key, place, repeat``: stretches that no earlier document of the same task has, or places known to repeat.
 
     A digest that is frequent leaves a task once, however many documents have it.
     """
@@ -80,21 +108,20 @@ def _digests(docs: DataFrame) -> DataFrame:
             for batch in batches:
                 keys, text_keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
                 for piece in hashing.pieces(batch.column(2), hashing.NOT_BLANK, False, powers):
-                    row, first, digest = _chunks(piece, gear)
-                    place = first - hashing.first_words(piece.counts())[row]
-                    held.append((digest, keys[piece.first + row], text_keys[piece.first + row], place.astype(np.int32)))
+                    row, place, digest = _stretches(piece, gear, least_words)
+                    held.append((digest, keys[piece.first + row], text_keys[piece.first + row], place))
                     if sum(len(x[0]) for x in held) >= LOCAL_CHUNKS:
                         yield handed()
             if held:
                 yield handed()
 
-    return docs.mapInArrow(run, "digest long, id long, text_key long, place int, repeat boolean")
+    return docs.mapInArrow(run, "digest long, id long, text_key long, place long, repeat boolean")
 
 
 def _later(digest: np.ndarray, key: np.ndarray, text_key: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Which of the rows, sorted by these columns, come later than the first of their digest.
 
-    Rows of the same id, text and place are the same chunk of a repeated row; none is later than the other.
+    Rows of the same id, text and place are the same stretch of a repeated row; none is later than the other.
     """
     if not len(digest):
         return np.zeros(0, dtype=bool)
@@ -104,7 +131,7 @@ def _later(digest: np.ndarray, key: np.ndarray, text_key: np.ndarray, place: np.
 
 
 def _repeats(digests: DataFrame) -> DataFrame:
-    """``id, text_key, places``: the chunks of a text that are later copies, in order."""
+    """``id, text_key, places``: the stretches of a text that are later copies, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
@@ -127,7 +154,7 @@ def _repeats(digests: DataFrame) -> DataFrame:
     # Known repeats need no company: they go by their text, so that no digest gathers them.
     dealt = F.when(F.col("repeat"), F.xxhash64("id", "place")).otherwise(F.col("digest"))
     ordered = digests.repartition(dealt).sortWithinPartitions("digest", "id", "text_key", "place")
-    places = ordered.mapInArrow(run, "id long, text_key long, place int")
+    places = ordered.mapInArrow(run, "id long, text_key long, place long")
     return places.groupBy("id", "text_key").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
@@ -135,9 +162,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """All rows and columns of ``docs`` with ``deduplicated`` and ``spans, n_words, n_removed`` (clashing columns are replaced).
 
     ``deduplicated`` is the text without the later copies of passages of at least
-    ``least_words`` repeated words; ``spans`` are the byte ranges cut out of it
-    (``start, end``), ``n_removed`` the words in them.  A passage is found through
-    the whole chunks inside it, so up to a chunk at either end stays.  A null text
+    ``least_words`` words that stand together in an earlier text, or earlier in the
+    same one; ``spans`` are the byte ranges cut out of it (``start, end``),
+    ``n_removed`` the words in them.  A passage is found through the whole chunks
+    inside it, so up to a chunk at either end stays.  A null text
     stays null and an empty one empty.  Among rows with the same id and text none
     counts as the copy of another; a row without id comes before all others.
     """
@@ -147,18 +175,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keyed = docs.withColumns(
         {"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "__text_key": F.xxhash64(text_col)}
     )
-    digests = _digests(keyed.select("__id", "__text_key", F.col(text_col).cast("string")))
+    digests = _digests(keyed.select("__id", "__text_key", F.col(text_col).cast("string")), least_words)
     repeats = written(_repeats(digests), "repeats").toDF("__id", "__text_key", "__places")
     joined = keyed.join(repeats, ["__id", "__text_key"], "left").select(*names, "__places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gear, powers = _gear(), hashing.Powers()
+        powers = hashing.Powers()
         with np.errstate(over="ignore"):
             for batch in batches:
                 texts, places = batch.column(names.index(text_col)), batch.column(len(names))
                 for piece in hashing.pieces(texts, hashing.NOT_BLANK, False, powers):
                     some = slice(piece.first, piece.first + piece.rows)
-                    spans, counts = _runs(piece, places[some], gear, least_words)
+                    spans, counts = _runs(piece, places[some])
                     cleaned = [_without(t, s) if s else t for t, s in zip(texts[some].to_pylist(), spans, strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -180,28 +208,22 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return joined.mapInArrow(run, StructType(docs.schema.fields + added))
 
 
-def _runs(piece: hashing.Piece, places: pa.Array, gear: np.ndarray, least_words: int) -> tuple[list[list[tuple]], np.ndarray]:
-    """Byte spans and words of the runs of repeated chunks, and the words, of each text."""
-    row, first, _ = _chunks(piece, gear)
+def _runs(piece: hashing.Piece, places: pa.Array) -> tuple[list[list[tuple]], np.ndarray]:
+    """Byte spans and words of what the repeated stretches of each text cover, and the words of each text."""
     counts = piece.counts()
     base = hashing.first_words(counts)
-    limits = np.searchsorted(row, np.arange(piece.rows + 1))
     spans: list[list[tuple]] = []
     for i, marked in enumerate(places.to_pylist()):
         found: list[tuple] = []
         if marked:
-            chunk = first[limits[i] : limits[i + 1]]
-            ends = np.concatenate((chunk[1:], [base[i] + counts[i]]))
-            is_repeat = np.isin(chunk - base[i], marked)
-            edge = np.diff(is_repeat.astype(np.int8), prepend=0, append=0)
-            for a, z in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1, strict=True):
-                n = int(ends[z] - chunk[a])
-                if n >= least_words:
-                    start = int(piece.starts[chunk[a]] - piece.offsets[i])
-                    after = ends[z]
-                    is_last = after == base[i] + counts[i]
-                    end = int((piece.offsets[i + 1] if is_last else piece.starts[after]) - piece.offsets[i])
-                    found.append((start, end, n))
+            marked = np.array(marked, dtype=np.int64)
+            begins = marked >> PLACE_BITS
+            reached = np.maximum.accumulate(begins + (marked & ((1 << PLACE_BITS) - 1)))
+            new = np.flatnonzero(np.concatenate(([True], begins[1:] > reached[:-1])))
+            for a, z in zip(begins[new], reached[np.append(new[1:], len(marked)) - 1], strict=True):
+                start = int(piece.starts[base[i] + a] - piece.offsets[i])
+                end = int((piece.offsets[i + 1] if z == counts[i] else piece.starts[base[i] + z]) - piece.offsets[i])
+                found.append((start, end, int(z - a)))
         spans.append(found)
     return spans, counts
 
