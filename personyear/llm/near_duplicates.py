@@ -14,6 +14,14 @@ what it reads.  Documents with a long common prefix stand next to each other, so
 
 Pairs are confirmed on the full sets.  Regions are cut only where a range of the
 sorted order ends, so a group of any size is spread over tasks.
+
+The forest can miss pairs, above all in a crowd of texts just below the limit.  So
+an exact join follows, over what it left in different components: shingles have
+one order for all documents, the rarer first; a pair at the limit has its first
+common shingle early in both documents, and is a candidate only by a shingle so
+early in both.  In a crowd below the limit the early shingles are those that the
+crowd does not share.  Frequencies come from a table of counts by hash: they decide
+how many candidates there are, not which pairs are found.
 """
 
 from __future__ import annotations
@@ -35,6 +43,9 @@ TREES = 20
 DEPTH = 10
 LEAST_DEPTH = 3
 REACH = 4
+#: Counters of shingles, by the low bits of the hash; written by the task in rows of so many.
+COUNTER_BITS = 20
+COUNTER_ROW = 1 << 14
 
 
 def _shingles(piece: hashing.Piece, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,6 +230,110 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, per
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _frequencies(docs: DataFrame, words: int) -> np.ndarray:
+    """How many documents have a shingle, summed over the shingles with the same low ``COUNTER_BITS`` bits."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, counters = hashing.Powers(), np.zeros(1 << COUNTER_BITS, dtype=np.int64)
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for piece in hashing.pieces(batch.column(0), hashing.NOT_BLANK, True, powers):
+                    low = (_shingles(piece, words)[1] & np.uint64((1 << COUNTER_BITS) - 1)).astype(np.int64)
+                    counters += np.bincount(low, minlength=len(counters))
+        lines = counters.reshape(-1, COUNTER_ROW)
+        some = np.flatnonzero(lines.any(axis=1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some.astype(np.int32)), pa.array([lines[i].tobytes() for i in some], pa.binary())], ["line", "counts"]
+        )
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for line, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[line] = sums.get(line, 0) + np.frombuffer(counts.as_py(), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["line", "counts"]
+        )
+
+    schema = "line int, counts binary"
+    counters = np.zeros((1 << COUNTER_BITS) // COUNTER_ROW * COUNTER_ROW, dtype=np.int64).reshape(-1, COUNTER_ROW)
+    for line, counts in docs.select("text").mapInArrow(count, schema).repartition("line").mapInArrow(add, schema).collect():
+        counters[line] = np.frombuffer(bytes(counts), dtype=np.int64)
+    return counters.reshape(-1)
+
+
+def early_pairs(docs: DataFrame, frequencies: np.ndarray, percent: int, words: int = WORDS) -> DataFrame:
+    """``a, b``: all pairs of ids (a < b) of different components whose sets can reach the limit.
+
+    ``docs`` has ``id, component, text``.  Sets of n and m shingles reach it with at
+    least t = percent (n + m) / (100 + percent) common ones, so the first of them
+    stands before at least t - 1 others in both.
+    """
+
+    def early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = hashing.Powers()
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                keys, groups = (batch.column(i).to_numpy() for i in (0, 1))
+                for piece in hashing.pieces(batch.column(2), hashing.NOT_BLANK, True, powers):
+                    row, value = _shingles(piece, words)
+                    value = value.astype(np.int64)
+                    order = np.lexsort((value, frequencies[value & ((1 << COUNTER_BITS) - 1)], row))
+                    sizes = np.bincount(row, minlength=piece.rows)
+                    place = np.arange(len(row)) - hashing.first_words(sizes)[row]
+                    size = sizes[row]
+                    some = np.flatnonzero(100 * (size - place) >= percent * size)
+                    at = piece.first + row[some]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x) for x in (value[order][some], size[some], keys[at], groups[at], place[some])],
+                        ["shingle", "size", "id", "component", "place"],
+                    )
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(i).to_numpy() for i in range(5)]
+            if held and held[0][0][0] == rows[0][-1]:  # one shingle goes on
+                held.append(rows)
+                continue
+            rows = [np.concatenate(x) for x in zip(*held, rows, strict=True)]
+            whole = int(np.searchsorted(rows[0], rows[0][-1]))
+            held = [[x[whole:] for x in rows]]
+            yield from pairs([x[:whole] for x in rows])
+        if held:
+            yield from pairs([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """The pairs of rows with the same shingle, by distance in the order of shingle and size."""
+        if not len(rows[0]):
+            return
+        begins = np.flatnonzero(np.concatenate(([True], rows[0][1:] != rows[0][:-1])))
+        mixed = np.minimum.reduceat(rows[3], begins) < np.maximum.reduceat(rows[3], begins)
+        among = np.repeat(mixed, np.diff(np.append(begins, len(rows[0]))))
+        shingle, size, key, component, place = (x[among] for x in rows)
+        one, step = np.arange(len(key)), 1
+        while len(one):
+            one = one[one + step < len(key)]
+            two = one + step
+            least = percent * (size[one] + size[two])
+            # The sizes grow with the distance, and with them what is asked: a row that fails here is done.
+            on = (shingle[one] == shingle[two]) & ((100 + percent) * (size[one] - place[one]) >= least)
+            one, two, least = one[on], two[on], least[on]
+            good = ((100 + percent) * (size[two] - place[two]) >= least) & (component[one] != component[two])
+            if good.any():
+                x, y = key[one[good]], key[two[good]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            step += 1
+
+    rows = docs.select("id", "component", "text").mapInArrow(
+        early, "shingle long, size long, id long, component long, place long"
+    )
+    ordered = rows.repartition("shingle").sortWithinPartitions("shingle", "size")
+    return ordered.mapInArrow(meet, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, words: int = WORDS) -> DataFrame:
     """One row per row of ``docs``: its id, ``n_shingles, component_id, kept``.
 
@@ -230,7 +345,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents with equal sets are one point of the forest, named by their smallest
     id, so exact copies cost one row.  Pairs with the first of a region are
-    confirmed first; of the others only those that would join two components.
+    confirmed first; of the others only those that would join two components.  The
+    exact join then adds the pairs between components that the forest has missed.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = written(signatures(docs, "id", "text", words), "signatures")
@@ -257,7 +373,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "pointed",
     )
     links = grouped.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more).union(_shared_ids(pointed))
-    groups = written(components(links), "groups")
+    met = written(components(links), "met")
+    grouped_points = points.select("id").distinct().join(met.withColumnRenamed("node", "id"), "id", "left")
+    grouped_points = grouped_points.select("id", F.coalesce("component", "id").alias("component"))
+    early = written(
+        early_pairs(docs.join(grouped_points.hint("merge"), "id"), _frequencies(docs, words), percent, words), "early-pairs"
+    )
+    missed = confirmed(early, written(_texts_of(early, docs), "early-texts"), "id", "text", percent, words)
+    groups = written(components(met.select(F.col("component").alias("a"), F.col("node").alias("b")).union(missed)), "groups")
     return (
         pointed.join(groups.withColumnRenamed("node", "point"), "point", "left")
         .withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component", "point", "id")))
