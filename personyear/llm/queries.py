@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from personyear.llm import (
-    bm25, buckets, chunks, decontaminate, near_duplicates, sharding, sql, token_counts, token_files, tool_calls, toxicity,
+    bm25, buckets, chunks, decontaminate, near_duplicates, pieces, sharding, sql, token_counts, token_files, tool_calls, toxicity,
 )
 from personyear.session import new_folder
 
@@ -81,6 +81,17 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    model = _tokenizer("piece_bpe_32k.model")
+    decoded = pieces.decode(pieces.encode(_table(spark, folder, "documents"), model), model)
+    return decoded.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_tool_calls": op2_tool_calls,
@@ -92,6 +103,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_pieces": op12_pieces,
 }
 
 SQL = sql.SQL
