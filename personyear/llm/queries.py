@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from personyear.llm import (
-    bm25, buckets, chunks, decontaminate, near_duplicates, pieces, sharding, sql, token_counts, token_files, tool_calls, toxicity,
+    bm25, buckets, chunks, decontaminate, near_duplicates, pieces, reversed_search, sharding, sql, token_counts,
+    token_files, tool_calls, toxicity,
 )
 from personyear.session import new_folder
 
@@ -92,6 +93,10 @@ def op12_pieces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return reversed_search.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_tool_calls": op2_tool_calls,
@@ -104,6 +109,7 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_substring_dedup": op10_substring_dedup,
     "op12_pieces": op12_pieces,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 SQL = sql.SQL

@@ -170,9 +170,36 @@ SELECT conv_id, call_id, turn, name, status, level, errors, n_results, json,
 FROM rows_
 """
 
+RANKED_SEARCH = rf"""
+WITH doc AS (
+    SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all({_SMALL}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM documents
+),
+item AS (
+    SELECT item_id, term, count(*) AS times
+    FROM (SELECT item_id, unnest(regexp_extract_all({_SMALL}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+    GROUP BY ALL
+),
+totals AS (SELECT count(DISTINCT r) AS docs, count(*) AS words FROM doc),
+lengths AS (SELECT r, 100 - 25 + (25 * count(*) * any_value(docs)) // any_value(words) AS m FROM doc, totals GROUP BY r),
+postings AS (SELECT r, doc_id, term, count(*) AS tf FROM doc WHERE term IN (SELECT term FROM item) GROUP BY ALL),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM postings, totals GROUP BY term
+),
+scored AS (
+    SELECT item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+    FROM item JOIN postings USING (term) JOIN weights USING (term) JOIN lengths USING (r)
+    GROUP BY ALL
+)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 20
+"""
+
 SQL = {
     "op1_decontaminate": DECONTAMINATE,
     "op2_tool_calls": TOOL_CALLS,
     "op4_search": SEARCH,
     "op5_packing": PACKING,
+    "op13_ranked_search": RANKED_SEARCH,
 }
