@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from personyear.llm import (
-    bm25, buckets, chunks, decontaminate, near_duplicates, pieces, reversed_search, sharding, sql, token_counts,
+    bm25, buckets, chunks, decontaminate, near_duplicates, pieces, reversed_search, sharding, spelling, sql, token_counts,
     token_files, tool_calls, toxicity,
 )
 from personyear.session import new_folder
@@ -82,6 +82,10 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(_table(spark, folder, "documents"))
+
+
 def op12_pieces(spark: SparkSession, folder: str) -> DataFrame:
     model = _tokenizer("piece_bpe_32k.model")
     decoded = pieces.decode(pieces.encode(_table(spark, folder, "documents"), model), model)
@@ -108,6 +112,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_spelling": op11_spelling,
     "op12_pieces": op12_pieces,
     "op13_ranked_search": op13_ranked_search,
 }
