@@ -13,7 +13,6 @@ from personyear.operators.sets import union_labeled
 from personyear.operators.windows import drop_last_period, fill_both_ways, group_index
 from personyear.plans import compile as compiling
 from personyear.plans import linkage
-from personyear.session import written
 
 from .panels import CUSTOMER_PANEL_SQL, LINK_PANEL_SQL, YEARS, customer_panel, link_panel, table, tidy, with_sql
 
@@ -28,7 +27,7 @@ ID_NAMES = {"deterministic": "detid", "probabilistic": "flid", "ensemble": "ense
 # panel, and the queries that evaluate them read the written table.  A panel is
 # known by its number of records and a digest of all of them, so that other data
 # in the same folder has links of its own.
-_stages: dict[tuple, DataFrame] = {}
+_stages: dict[tuple, linkage.Linked] = {}
 
 
 def _stage(spark: SparkSession, folder: str, method: str) -> tuple:
@@ -37,24 +36,33 @@ def _stage(spark: SparkSession, folder: str, method: str) -> tuple:
     return (spark.sparkContext.applicationId, method, *panel.agg(F.count("*"), digest).first())
 
 
+def run_stage(spark: SparkSession, folder: str, method: str) -> linkage.Linked:
+    done = LINKERS[method](link_panel(spark, folder))
+    _stages[_stage(spark, folder, method)] = done
+    return done
+
+
 def run_links(spark: SparkSession, folder: str, method: str) -> DataFrame:
-    links = written(LINKERS[method](link_panel(spark, folder)), f"links-{method}")
-    _stages[_stage(spark, folder, method)] = links
-    return links
+    return run_stage(spark, folder, method).links
 
 
-def stage_links(spark: SparkSession, folder: str, method: str) -> DataFrame:
+def stage(spark: SparkSession, folder: str, method: str) -> linkage.Linked:
     known = _stages.get(_stage(spark, folder, method))
-    return run_links(spark, folder, method) if known is None else known
+    return run_stage(spark, folder, method) if known is None else known
+
+
+def stage_links(spark: SparkSession, folder: str, method: str) -> DataFrame:
+    return stage(spark, folder, method).links
 
 
 def linked(spark: SparkSession, folder: str, method: str) -> DataFrame:
     return linkage.with_ids(link_panel(spark, folder), stage_links(spark, folder, method), ID_NAMES[method])
 
 
-def _pair(spark: SparkSession, folder: str, first: int = 1996) -> tuple[DataFrame, DataFrame]:
+def _neighbours(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The panel as earlier and as later year; ``pair`` is the earlier one."""
     panel = link_panel(spark, folder)
-    return panel.where(F.col("year") == first), panel.where(F.col("year") == first + 1)
+    return tuple(panel.withColumn("pair", (F.col("year") - back).cast("string")) for back in (0, 1))
 
 
 # ------------------------------------------------------------------ generated SQL
@@ -137,24 +145,31 @@ METRICS_SQL = """true_match / nullif(true_match + false_match, 0)::DOUBLE AS "pr
 ROUNDED = 'round("precision", 6) AS "precision", round(recall, 6) AS recall, round(f_measure, 6) AS f_measure'
 
 
-def _one_step() -> list[str]:
+def _all_steps(rules: list[list[str]] = matching.RULES) -> list[str]:
+    """Each neighbouring pair of years for itself; a record has one number as a left and another as a right one."""
+    sides = "SELECT * REPLACE (state || '|' || CAST(year - {back} AS VARCHAR) AS state, index * 2 + {back} AS index), CAST(NULL AS BIGINT) AS id FROM panel"
     return [
         LINK_PANEL_SQL,
-        "one AS (SELECT *, CAST(NULL AS BIGINT) AS id FROM panel WHERE year = 1996)",
-        "two AS (SELECT * FROM panel WHERE year = 1997)",
+        f"one AS ({sides.format(back=0)})",
+        f"two AS ({sides.format(back=1)})",
+        *_cascade_sql("c", "one", "two", rules),
     ]
 
 
 # ------------------------------------------------------------------ queries
 
 def match_rule(spark, folder):
-    left, right = _pair(spark, folder)
-    return matching.match_rule(left, right, matching.RULES[0])
+    return matching.match_rule(*_neighbours(spark, folder), matching.RULES[0], ["state", "pair"])
 
 
 def link_cascade(spark, folder):
-    left, right = _pair(spark, folder)
-    return matching.cascade(left, right).select("rule", "index1", "index2")
+    """Every neighbouring pair of years for itself; a record has one number as a left and another as a right one."""
+    left, right = _neighbours(spark, folder)
+    found = matching.cascade(
+        left.withColumn("index", F.col("index") * 2), right.withColumn("index", F.col("index") * 2 + 1), within=["state", "pair"]
+    )
+    half = lambda name: F.floor(F.col(name) / 2).alias(name)
+    return found.select("rule", half("index1"), half("index2"))
 
 
 def _after_first_step(spark, folder):
@@ -331,10 +346,10 @@ def numeric_agreement(spark, folder):
 
 
 def _pair_counts(spark, folder):
-    left, right = _pair(spark, folder)
+    left, right = _neighbours(spark, folder)
     fields = [fuzzy.BACKSTOP_FIELDS[0], fuzzy.BACKSTOP_FIELDS[1], fuzzy.Field("name_middle", partial=False)]
-    agreements = fuzzy.field_agreements(left.unionByName(right), fields)
-    return fuzzy.PairCounts(left, right, fields, agreements)
+    agreements = fuzzy.field_agreements(link_panel(spark, folder), fields)
+    return fuzzy.PairCounts(left, right, fields, agreements, ["state", "pair"])
 
 
 def agreement_patterns(spark, folder):
@@ -342,9 +357,28 @@ def agreement_patterns(spark, folder):
 
 
 def mixture_posteriors(spark, folder):
-    """The fitted match probability of every agreement pattern, one model per state."""
+    """The fitted match probability of every agreement pattern, one model per state and pair of years."""
     scored = fuzzy.pattern_posteriors(_pair_counts(spark, folder))
-    return scored.select("state", "pattern", F.col("pairs").cast("long").alias("pairs"), F.round("posterior", 4).alias("posterior"))
+    return scored.select(
+        "state", "pair", "pattern", F.col("pairs").cast("long").alias("pairs"), F.round("posterior", 4).alias("posterior")
+    )
+
+
+def mixture_fit(spark, folder):
+    """Rounds and likelihood of every model, whether it settled, and its degrees of freedom."""
+    fits = fuzzy.fit_diagnosis(fuzzy.pattern_posteriors(_pair_counts(spark, folder)), ["state", "pair"])
+    return tidy(fits.select("state", "pair", "patterns", "pairs", "rounds", "log_likelihood", "settled", "freedom"))
+
+
+def link_log(spark, folder):
+    """What happened in each state and step of the exact linking."""
+    log = stage(spark, folder, "deterministic").log
+    return tidy(log.select("state", "year", "records", "following", "exact", "probable", "error"))
+
+
+def ensemble_log(spark, folder):
+    """What happened in each state and step of the ensemble, failed fits included."""
+    return tidy(stage(spark, folder, "ensemble").log)
 
 
 def _scored_pairs(spark, folder):
@@ -398,6 +432,9 @@ QUERIES = {
     "numeric_agreement": numeric_agreement,
     "agreement_patterns": agreement_patterns,
     "mixture_posteriors": mixture_posteriors,
+    "mixture_fit": mixture_fit,
+    "link_log": link_log,
+    "ensemble_log": ensemble_log,
     "one_to_one_filter": one_to_one_filter,
     "compile_linked": compile_linked,
 }
@@ -427,66 +464,91 @@ _WORDS_SQL = """words AS MATERIALIZED (SELECT DISTINCT v FROM (
 _SCORED_SQL = """pairs AS MATERIALIZED (SELECT l_partkey AS index1, l_suppkey AS index2, sum(l_quantity) AS posterior
   FROM lineitem GROUP BY ALL)"""
 
-# The agreement pattern of every pair of records of 1996 and 1997 in a state.
+# The agreement pattern of every pair of records of neighbouring years in a state.
 _PAIR_PATTERNS_SQL = """
-level1 AS (SELECT a.state,
+level1 AS (SELECT a.state, CAST(a.year AS VARCHAR) AS pair,
   CASE WHEN jaro_winkler_similarity(a.name_first, b.name_first) >= .92 THEN '2'
        WHEN jaro_winkler_similarity(a.name_first, b.name_first) >= .88 THEN '1' ELSE '0' END
   || CASE WHEN jaro_winkler_similarity(a.name_last, b.name_last) >= .92 THEN '2'
        WHEN jaro_winkler_similarity(a.name_last, b.name_last) >= .88 THEN '1' ELSE '0' END
   || CASE WHEN a.name_middle IS NULL OR b.name_middle IS NULL THEN '-'
        WHEN jaro_winkler_similarity(a.name_middle, b.name_middle) >= .94 THEN '2' ELSE '0' END AS pattern
-  FROM panel a JOIN panel b USING (state) WHERE a.year = 1996 AND b.year = 1997)"""
+  FROM panel a JOIN panel b USING (state) WHERE b.year = a.year + 1)"""
 
 
-def _mixture_sql(fields: int = 3, tolerance: float = 1e-5) -> list[str]:
-    """Expectation and maximisation per state as a recursive CTE over the pattern counts.
+def _mixture_sql(fields: int = 3) -> list[str]:
+    """The accelerated fit per state and pair of years as a recursive CTE over the pattern counts.
 
-    A row is a pattern with the parameters of its state: share, and the chances
-    m (match) and u (other) of each field and level.  ``done`` marks the round in
-    which no parameter moved by the tolerance.
+    A row is a pattern with the parameters of its model: share, and the chances m
+    (match) and u (other) of each field and level.  Letters in front tell the stage
+    of a round: t before it, a and b after one and two plain steps, c extrapolated.
     """
-    cells = [(f, level) for f in range(fields) for level in range(3)]
-    name = lambda kind, f, level: f"{kind}{f}{level}"
-    shown = {(f, level): f"CAST(pattern[{f + 1}] = '{level}' AS INT)" for f, level in cells}
+    cells = [(kind, f, level) for kind in "mu" for f in range(fields) for level in range(3)]
+    names = ["share", *[f"{kind}{f}{level}" for kind, f, level in cells]]
+    shown = lambda f, level: f"CAST(pattern[{f + 1}] = '{level}' AS INT)"
+    window = "WINDOW s AS (PARTITION BY state, pair)"
     start = {"m": (0.05, 0.15, 0.80), "u": (0.80, 0.15, 0.05)}
-    begun = []
-    for kind, chances in start.items():
-        for f, level in cells:
-            possible = [f"max({shown[f, x]}) OVER s * {chances[x]}" for x in range(3)]
-            begun.append(f"{possible[level]} / greatest({' + '.join(possible)}, 1e-12) AS {name(kind, f, level)}")
-    odds = " + ".join(
-        f"{shown[c]} * (ln(greatest({name('u', *c)}, 1e-12)) - ln(greatest({name('m', *c)}, 1e-12)))" for c in cells
-    )
-    values = ", ".join(name(kind, *c) for kind in "mu" for c in cells)
-    moved, changes = [], ["abs(new_share - share)"]
-    for kind, weight in (("m", "w"), ("u", "(part - w)")):
-        for f, level in cells:
+
+    def logs(p: str) -> str:
+        """ln of both classes' parts of a pattern's chance."""
+        part = lambda kind: " + ".join(f"{shown(f, x)} * ln(greatest({p}{k}{f}{x}, 1e-12))" for k, f, x in cells if k == kind)
+        return f"ln(greatest({p}share, 1e-300)) + {part('m')} AS {p}one, ln(greatest(1 - {p}share, 1e-300)) + {part('u')} AS {p}two"
+
+    def both(p: str) -> str:
+        return f"greatest({p}one, {p}two) + ln(1 + exp(-abs({p}one - {p}two))) AS {p}both"
+
+    def likely(source: str, p: str) -> str:
+        """Adds the mean log-likelihood under the parameters ``p``."""
+        return (
+            f"(SELECT * EXCLUDE ({p}one, {p}two, {p}both), sum(part * {p}both) OVER s AS {p}ll"
+            f" FROM (SELECT *, {both(p)} FROM (SELECT *, {logs(p)} FROM {source})) {window})"
+        )
+
+    def step(source: str, p: str, q: str) -> str:
+        """Adds the parameters ``q`` after one plain step from ``p``."""
+        moved = [f"sum(part * g) OVER s AS {q}share"]
+        for kind, f, level in cells:
+            weight = "part * g" if kind == "m" else "(part - part * g)"
             total = f"sum({weight} * CAST(pattern[{f + 1}] <> '-' AS INT)) OVER s"
-            hits = f"sum({weight} * {shown[f, level]}) OVER s"
-            old = name(kind, f, level)
-            moved.append(f"CASE WHEN {total} > 0 THEN {hits} / greatest({total}, 1e-300) ELSE {old} END AS new_{old}")
-            changes.append(f"abs(new_{old} - {old})")
-    fresh = ", ".join(f"new_{name(kind, *c)}" for kind in "mu" for c in cells)
+            hits = f"sum({weight} * {shown(f, level)}) OVER s"
+            moved.append(f"CASE WHEN {total} > 0 THEN {hits} / greatest({total}, 1e-300) ELSE {p}{kind}{f}{level} END AS {q}{kind}{f}{level}")
+        inner = f"(SELECT *, exp({p}one - {p}both) AS g FROM (SELECT *, {both(p)} FROM (SELECT *, {logs(p)} FROM {source})))"
+        return f"(SELECT * EXCLUDE ({p}one, {p}two, {p}both, g), {', '.join(moved)} FROM {inner} {window})"
+
+    def scaled(value, kind: str, f: int, level: int) -> str:
+        of = [f"greatest({value(kind, f, x)}, 1e-12) * p{f}{x}" for x in range(3)]
+        return f"{of[level]} / greatest({' + '.join(of)}, 1e-12)"
+
+    size = lambda term: " + ".join(f"({term(n)}) * ({term(n)})" for n in names)
+    change, bend = (lambda n: f"a{n} - t{n}"), (lambda n: f"b{n} - a{n} - (a{n} - t{n})")
+    ahead = lambda n: f"(t{n} + 2 * len * ({change(n)}) + len * len * ({bend(n)}))"
+    extrapolated = [f"least(greatest({ahead('share')}, 1e-12), 1 - 1e-12) AS cshare"]
+    extrapolated += [f"{scaled(lambda k, f, x: ahead(f'{k}{f}{x}'), *cell)} AS c{cell[0]}{cell[1]}{cell[2]}" for cell in cells]
+    possible = ", ".join(f"max({shown(f, x)}) OVER s AS p{f}{x}" for f in range(fields) for x in range(3))
+    kept = ", ".join(f"p{f}{x}" for f in range(fields) for x in range(3))
+    begun = ", ".join(f"{scaled(lambda k, f, x: str(start[k][x]), *cell)} AS t{cell[0]}{cell[1]}{cell[2]}" for cell in cells)
+    first = f"(SELECT *, 0.1::DOUBLE AS tshare, {begun} FROM (SELECT *, pairs / sum(pairs) OVER s AS part, {possible} FROM counts {window}))"
+    thetas = ", ".join(f"t{n}" for n in names)
+    stepped = step(step("(SELECT * FROM em WHERE gain >= 1e-10 AND round < 500)", "t", "a"), "a", "b")
+    length = f"(SELECT *, CASE WHEN {size(bend)} > 0 THEN greatest(1, sqrt({size(change)}) / sqrt({size(bend)})) ELSE 1 END AS len FROM {stepped})"
+    ended = likely(likely(f"(SELECT *, {', '.join(extrapolated)} FROM {length})", "b"), "c")
+    chosen = ", ".join(f"CASE WHEN cll >= bll THEN c{n} ELSE b{n} END" for n in names)
+    full = " + ".join(f"tm{f}2" for f in range(fields)), " + ".join(f"tu{f}2" for f in range(fields))
+    levels = " + ".join(f"2 * greatest({' + '.join(f'p{f}{x}' for x in range(3))} - 1, 0)" for f in range(fields))
+    last = likely("(SELECT * EXCLUDE (ll) FROM em QUALIFY round = max(round) OVER (PARTITION BY state, pair))", "t")
     return [
-        "counts AS (SELECT state, pattern, count(*) AS pairs FROM level1 GROUP BY ALL)",
-        f"""em(round, done, state, pattern, pairs, part, r, share, {values}) AS (
-  SELECT 0, FALSE, state, pattern, pairs, pairs / sum(pairs) OVER s, 0.0::DOUBLE, 0.1::DOUBLE, {", ".join(begun)}
-  FROM counts WINDOW s AS (PARTITION BY state)
+        "counts AS (SELECT state, pair, pattern, count(*) AS pairs FROM level1 GROUP BY ALL)",
+        f"""em(round, gain, ll, state, pair, pattern, pairs, part, {kept}, {thetas}) AS (
+  SELECT 0, 1e300::DOUBLE, tll, state, pair, pattern, pairs, part, {kept}, {thetas} FROM {likely(first, "t")}
   UNION ALL
-  SELECT round + 1, greatest({", ".join(changes)}) < {tolerance}, state, pattern, pairs, part, r, new_share, {fresh}
-  FROM (SELECT *, sum(w) OVER s AS new_share, {", ".join(moved)} FROM (SELECT * EXCLUDE (r), part * g AS w, g AS r FROM (
-      SELECT *, 1 / (1 + exp(least(greatest(ln(greatest(1 - share, 1e-300)) - ln(greatest(share, 1e-300)) + {odds}, -700), 700))) AS g
-      FROM em WHERE NOT done AND round < 5000)) WINDOW s AS (PARTITION BY state)))""",
+  SELECT round + 1, greatest(cll, bll) - ll, greatest(cll, bll), state, pair, pattern, pairs, part, {kept}, {chosen} FROM {ended})""",
+        f"fitted AS (SELECT *, {full[0]} < {full[1]} AS turned, -({levels}) AS levels, {logs("t")} FROM {last})",
     ]
 
 
 SQL = {
-    "match_rule": with_sql(
-        *_one_step(), *_cascade_sql("c", "one", "two", matching.RULES[:1]),
-        select="SELECT index1, index2 FROM c_links"),
-    "link_cascade": with_sql(
-        *_one_step(), *_cascade_sql("c", "one", "two"), select="SELECT rule, index1, index2 FROM c_links"),
+    "match_rule": with_sql(*_all_steps(matching.RULES[:1]), select="SELECT index1 // 2 AS index1, index2 // 2 AS index2 FROM c_links"),
+    "link_cascade": with_sql(*_all_steps(), select="SELECT rule, index1 // 2 AS index1, index2 // 2 AS index2 FROM c_links"),
     "link_candidates": with_sql(*_FIRST_STEP_SQL, select="""
 SELECT 'left' AS side, state, year, count(*) AS n FROM given WHERE year = 1996 OR (year < 1996 AND id IS NULL) GROUP BY ALL
 UNION ALL SELECT 'right', state, year, count(*) FROM given WHERE year = 1997 GROUP BY ALL"""),
@@ -532,9 +594,16 @@ SELECT v, w, CAST(CASE WHEN s >= .92 THEN 2 ELSE 1 END AS BIGINT) AS level FROM
 SELECT a.v, b.v AS w, CAST(CASE WHEN abs(a.v - b.v) <= 1 THEN 2 ELSE 1 END AS BIGINT) AS level
 FROM p a JOIN p b ON abs(a.v - b.v) <= 2.5""",
     "agreement_patterns": with_sql(LINK_PANEL_SQL, _PAIR_PATTERNS_SQL, select="""
-SELECT state, pattern, count(*) AS pairs FROM level1 GROUP BY ALL"""),
+SELECT state, pair, pattern, count(*) AS pairs FROM level1 GROUP BY ALL"""),
     "mixture_posteriors": "WITH RECURSIVE " + ",".join([LINK_PANEL_SQL, _PAIR_PATTERNS_SQL, *_mixture_sql()]) + """
-SELECT state, pattern, pairs, round(CASE WHEN m02 + m12 + m22 < u02 + u12 + u22 THEN 1 - r ELSE r END, 4) AS posterior FROM em WHERE done""",
+SELECT state, pair, pattern, pairs, round(CASE WHEN turned THEN 1 - r ELSE r END, 4) AS posterior
+FROM (SELECT *, 1 / (1 + exp(least(ttwo - tone, 700))) AS r FROM fitted)""",
+    "mixture_fit": "WITH RECURSIVE " + ",".join([LINK_PANEL_SQL, _PAIR_PATTERNS_SQL, *_mixture_sql()]) + """
+SELECT state, pair, count(*) AS patterns, sum(pairs)::BIGINT AS pairs, any_value(round)::BIGINT AS rounds,
+  round(any_value(ll), 6) AS log_likelihood, any_value(gain) < 1e-10 AS settled,
+  count(*) - count(DISTINCT regexp_replace(pattern, '[012]', 'x', 'g')) - 1 + any_value(levels)::BIGINT AS freedom
+FROM (SELECT f.*, e.ll FROM fitted f JOIN (SELECT DISTINCT state, pair, round, ll FROM em) e USING (state, pair, round))
+GROUP BY state, pair""",
     "one_to_one_filter": with_sql(_SCORED_SQL, """
 best1 AS (SELECT * FROM (SELECT *, max(posterior) OVER (PARTITION BY index1) AS top FROM pairs) WHERE posterior = top
   QUALIFY count(*) OVER (PARTITION BY index1) = 1)""", """
@@ -549,6 +618,13 @@ SELECT index, state, year, CASE WHEN state = 'NATION_1' AND length(source_id) <
   WHEN state IN ('NATION_1', 'NATION_2') THEN source_id ELSE CAST(detid AS VARCHAR) END AS id FROM ids"""),
 }
 
+SQL["link_log"] = with_sql(*_chain_sql(), select=" UNION ALL ".join(
+    f"""SELECT coalesce(l.state, r.state) AS state, {year}::BIGINT AS year, coalesce(l.n, 0) AS records, coalesce(r.n, 0) AS following,
+  coalesce(k.n, 0) AS exact, 0::BIGINT AS probable, CAST(NULL AS VARCHAR) AS error
+FROM (SELECT state, count(*) AS n FROM left{year} GROUP BY 1) l FULL JOIN (SELECT state, count(*) AS n FROM right{year} GROUP BY 1) r ON l.state = r.state
+LEFT JOIN (SELECT p.state, count(*) AS n FROM y{year}_links y JOIN panel p ON p.index = y.index2 GROUP BY 1) k ON k.state = coalesce(l.state, r.state)"""
+    for year in YEARS[:-1]))
+
 SQL["accuracy_transposed"] = with_sql(
     *_chain_sql(),
     "both_ids AS (SELECT *, concat_ws('|', state, name_first, name_last, position, NCES_leaid) AS plainid FROM ids)",

@@ -420,75 +420,150 @@ def pattern_counts(counts: PairCounts) -> DataFrame:
 # ---------------------------------------------------------------- mixture model
 
 
-def fit_mixture(
-    patterns: list[str], pairs: np.ndarray, tolerance: float = 1e-5, rounds: int = 5000
-) -> tuple[np.ndarray, float]:
-    """Posterior match probability per pattern, and the match share, by EM.
+# A fit has settled when a round adds less than this to the mean log-likelihood of a pair.
+GAIN = 1e-10
+ROUNDS = 500
+# Chances stay this far from nothing, so that their logarithms exist.
+LEAST_CHANCE = 1e-12
+
+
+@dataclass(frozen=True)
+class Fit:
+    """A fitted mixture with its diagnosis."""
+
+    posterior: np.ndarray  # match probability per pattern
+    share: float  # of matches among all pairs
+    rounds: int
+    log_likelihood: float  # mean over pairs
+    gain: float  # of the last round
+    settled: bool
+    freedom: int  # pattern shares that are free, less parameters; below 0 the model is not identified
+
+
+def degrees_of_freedom(patterns: list[str]) -> int:
+    """Free pattern shares (per set of missing fields one is fixed) less the free parameters."""
+    missing = {tuple(mark == "-" for mark in pattern) for pattern in patterns}
+    levels = [{mark for mark in marks if mark != "-"} for marks in zip(*patterns)]  # noqa: B905
+    return len(patterns) - len(missing) - 1 - 2 * sum(max(len(seen) - 1, 0) for seen in levels)
+
+
+def fit_mixture(patterns: list[str], pairs: np.ndarray, gain: float = GAIN, rounds: int = ROUNDS) -> Fit:
+    """Fit the two-class mixture by accelerated expectation and maximisation.
 
     Fields are independent given the class; missing comparisons carry no
-    information.  The input has at most 4^K rows.  A model that has not settled
-    after ``rounds`` steps raises instead of giving what it has by then.
+    information.  The input has at most 4^K rows.  A round takes two plain steps and
+    extrapolates their squared change (the SQUAREM scheme of Varadhan and Roland); the
+    extrapolation counts only where it is at least as likely as the two steps.  So the
+    likelihood never falls, and the fit ends when a round adds less than ``gain``, or
+    after ``rounds``, which ``settled`` tells.
     """
     marks = np.array([["012".find(mark) for mark in pattern] for pattern in patterns])
+    fields = marks.shape[1]
     seen = (marks >= 0).astype(float)
     # One 0/1 column per field and level; a missing comparison is 0 in all three.
     shown = np.concatenate([marks == level for level in range(3)], axis=1).astype(float)
-    fields = np.tile(np.eye(marks.shape[1]), 3)
+    same_field = np.tile(np.eye(fields), 3)
     possible = shown.any(axis=0)
     pairs = pairs / pairs.sum()
 
-    def start(chances: list[float]) -> np.ndarray:
-        table = np.repeat(chances, marks.shape[1]) * possible
-        return table / np.maximum(table @ fields.T @ fields, 1e-12)
-
-    def fitted(weight: np.ndarray, before: np.ndarray) -> np.ndarray:
-        total = weight @ seen @ fields
-        return np.where(total > 0, weight @ shown / np.maximum(total, 1e-300), before)
-
-    share, match, other = 0.1, start([0.05, 0.15, 0.80]), start([0.80, 0.15, 0.05])
-    for _ in range(rounds):
-        odds = (
-            math.log(max(1 - share, 1e-300))
-            - math.log(max(share, 1e-300))
-            + shown @ (np.log(np.maximum(other, 1e-12)) - np.log(np.maximum(match, 1e-12)))
-        )
-        posterior = 1 / (1 + np.exp(np.clip(odds, -700, 700)))
-        weight = pairs * posterior
-        new = (float(weight.sum()), fitted(weight, match), fitted(pairs - weight, other))
-        change = max(abs(new[0] - share), np.abs(new[1] - match).max(), np.abs(new[2] - other).max())
-        share, match, other = new
-        if change < tolerance:
-            break
-    else:
-        raise ArithmeticError(f"the mixture has not settled after {rounds} rounds")
-    full = slice(2 * marks.shape[1], None)
-    if match[full].sum() < other[full].sum():
-        return 1 - posterior, 1 - share
-    return posterior, share
-
-
-def pattern_posteriors(counts: PairCounts) -> DataFrame:
-    """(within, pattern, pairs, posterior), one model per ``within`` value."""
+    def scaled(chances: np.ndarray) -> np.ndarray:
+        """Chances of the levels of a field that occur, adding up to one."""
+        chances = np.maximum(chances, LEAST_CHANCE) * possible
+        return chances / np.maximum(chances @ same_field.T @ same_field, LEAST_CHANCE)
+
+    def parted(theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        return theta[0], theta[1 : 1 + 3 * fields], theta[1 + 3 * fields :]
+
+    def expected(theta: np.ndarray) -> tuple[np.ndarray, float]:
+        """Posterior per pattern, and the mean log-likelihood."""
+        share, match, other = parted(theta)
+        logs = [shown @ np.log(np.maximum(chances, LEAST_CHANCE)) for chances in (match, other)]
+        one, two = math.log(max(share, 1e-300)) + logs[0], math.log(max(1 - share, 1e-300)) + logs[1]
+        both = np.logaddexp(one, two)
+        return np.exp(one - both), float(pairs @ both)
+
+    def step(theta: np.ndarray) -> np.ndarray:
+        _, match, other = parted(theta)
+        weight = pairs * expected(theta)[0]
+
+        def chances(weight: np.ndarray, before: np.ndarray) -> np.ndarray:
+            total = weight @ seen @ same_field
+            return np.where(total > 0, weight @ shown / np.maximum(total, 1e-300), before)
+
+        return np.concatenate(([weight.sum()], chances(weight, match), chances(pairs - weight, other)))
+
+    def further(zero: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        change = one - zero
+        bend = two - one - change
+        size = math.sqrt(bend @ bend)
+        length = max(1.0, math.sqrt(change @ change) / size) if size > 0 else 1.0
+        share, match, other = parted(zero + 2 * length * change + length * length * bend)
+        share = min(max(share, LEAST_CHANCE), 1 - LEAST_CHANCE)
+        return np.concatenate(([share], scaled(match), scaled(other)))
+
+    begun = [scaled(np.repeat(chances, fields)) for chances in ([0.05, 0.15, 0.80], [0.80, 0.15, 0.05])]
+    theta = np.concatenate(([0.1], *begun))
+    likelihood, gained, count = expected(theta)[1], math.inf, 0
+    while count < rounds and gained >= gain:
+        one = step(theta)
+        two = step(one)
+        options = [(expected(x)[1], x) for x in (two, further(theta, one, two))]
+        reached, theta = options[1] if options[1][0] >= options[0][0] else options[0]
+        gained, likelihood, count = reached - likelihood, reached, count + 1
+    posterior, _ = expected(theta)
+    share, match, other = parted(theta)
+    if match[2 * fields :].sum() < other[2 * fields :].sum():
+        posterior, share = 1 - posterior, 1 - share
+    return Fit(posterior, float(share), count, likelihood, gained, gained < gain, degrees_of_freedom(patterns))
+
+
+FIT_COLUMNS = {
+    "share": "double", "rounds": "int", "log_likelihood": "double", "gain": "double", "settled": "boolean", "freedom": "int",
+    "error": "string",
+}
+
+
+def pattern_posteriors(counts: PairCounts, fit=fit_mixture) -> DataFrame:
+    """(within, pattern, pairs, posterior) and the fit's diagnosis, one model per ``within`` value.
+
+    A value whose fit fails keeps its patterns, with the failure's text in ``error``
+    and no posterior; all others are fitted as ever.
+    """
     within, width = counts.within, len(counts.names)
+    columns = [*within, "pattern", "pairs", "posterior", *FIT_COLUMNS]
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+    def fitted(rows: pd.DataFrame) -> pd.DataFrame:
         exact = _exact_patterns(rows, width)
         patterns = sorted(exact)
-        pairs = [exact[pattern] for pattern in patterns]
-        posterior, _ = fit_mixture(patterns, np.array(pairs, dtype=float))
-        result = pd.DataFrame({"pattern": patterns, "pairs": pairs, "posterior": posterior})
+        result = pd.DataFrame({"pattern": patterns, "pairs": [exact[pattern] for pattern in patterns]})
         for name in within:
             result[name] = rows[name].iloc[0]
-        return result[[*within, "pattern", "pairs", "posterior"]]
+        result[["posterior", *FIT_COLUMNS]] = None
+        try:
+            found = fit(patterns, np.array(result["pairs"].tolist(), dtype=float))
+        except Exception as failure:  # noqa: BLE001 - one value's failure is a row of the log
+            result["error"] = f"{type(failure).__name__}: {failure}"
+        else:
+            result["posterior"] = found.posterior
+            for name in list(FIT_COLUMNS)[:-1]:
+                result[name] = getattr(found, name)
+        return result[columns]
 
     fields = ", ".join(f"`{name}` string" for name in within)
+    more = ", ".join(f"{name} {kind}" for name, kind in FIT_COLUMNS.items())
     # A stated number of partitions, or the few rows would all meet in one task.
     tasks = counts.left.sparkSession.sparkContext.defaultParallelism
     return counts.totals().repartition(tasks, *within).groupBy(*within).applyInPandas(
-        fit, f"{fields}, pattern string, pairs decimal(38,0), posterior double"
+        fitted, f"{fields}, pattern string, pairs decimal(38,0), posterior double, {more}"
     )
 
 
+def fit_diagnosis(scored: DataFrame, within: list[str]) -> DataFrame:
+    """One row per fitted model: patterns, pairs and the diagnosis columns."""
+    first = [F.first(name).alias(name) for name in FIT_COLUMNS]
+    return scored.groupBy(*within).agg(F.count("*").alias("patterns"), F.sum("pairs").cast("decimal(38,0)").alias("pairs"), *first)
+
+
 # ---------------------------------------------------------------- links
 
 
@@ -532,18 +607,21 @@ def probable_links(
     agreements: dict[str, DataFrame],
     threshold: float,
     within: list[str] = WITHIN,
-) -> DataFrame:
-    """Links with their posterior, which is at least ``threshold``; best partners only, no ties.
+    fit=fit_mixture,
+) -> tuple[DataFrame, DataFrame]:
+    """Links with their posterior, which is at least ``threshold`` (best partners only, no ties), and the fits' diagnosis.
 
     The choice is that of :func:`best_pairs`, made on value combinations: the
     members of a combination have the same partners and scores, so a
     combination of several records is a tie for each of its partners.
     """
     counts = PairCounts(left, right, fields, agreements, within)
-    scored = written(pattern_posteriors(counts), "patterns")
+    scored = written(pattern_posteriors(counts, fit), "patterns")
     accepted = scored.where(F.col("posterior") >= threshold)
+    diagnosis = fit_diagnosis(scored, within)
     if not accepted.take(1):
-        return left.sparkSession.createDataFrame([], "index1 long, index2 long, id long, rule string, posterior double")
+        empty = left.sparkSession.createDataFrame([], "index1 long, index2 long, id long, rule string, posterior double")
+        return empty, diagnosis
     options = counts.per_combination(accepted)
     first = _single_best(options, "one", "posterior", ["n2", "partner", "n1"]).where("n2 = 1")
     chosen = first.select(F.col("partner").cast("long").alias("index2"), "posterior", "n1", "one")
@@ -555,7 +633,7 @@ def probable_links(
         F.lit("probable").alias("rule"),
         "posterior",
     )
-    return written(links.select(*LINK, "posterior"), "links")
+    return written(links.select(*LINK, "posterior"), "links"), diagnosis
 
 
 def open_records(left: DataFrame, right: DataFrame, links: DataFrame, period: int, year: str = "year"):

@@ -65,14 +65,28 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
+def _located(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), folder
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to ``path`` to its end."""
+    files, mark = _located(spark, f"{path}/_SUCCESS")
+    return files.exists(mark)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing unwritten reads any more."""
+    files, folder = _located(spark, path)
+    files.delete(folder, True)
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table that :func:`written` returned, once nothing unwritten reads it."""
     path = getattr(table, "_written_path", None)
-    if path is None:
-        return
-    jvm = table.sparkSession._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+    if path is not None:
+        remove(table.sparkSession, path)
 
 
 def measured(df: DataFrame, label: str) -> DataFrame:

@@ -30,7 +30,7 @@ def ids(df, name="pid"):
 
 def deterministic(spark, people):
     rows = panel(spark, people)
-    return ids(linkage.with_ids(rows, linkage.link_deterministic(rows), "pid"))
+    return ids(linkage.with_ids(rows, linkage.link_deterministic(rows).links, "pid"))
 
 
 def test_rule_needs_one_on_each_side(spark):
@@ -155,7 +155,7 @@ def test_patterns_and_links_against_all_pairs(spark):
 
     # links: best right record of each left one, then best left one of each right one, no ties
     order = sorted(expected)
-    posterior, _ = fuzzy.fit_mixture(order, pd.Series([expected[p] for p in order], dtype=float).to_numpy())
+    posterior = fuzzy.fit_mixture(order, pd.Series([expected[p] for p in order], dtype=float).to_numpy()).posterior
     score = dict(zip(order, posterior))
     for threshold in (0.8, 0.3, 0.05):
         pairs = [(i, j, score[p]) for (i, j), p in pattern.items() if score[p] >= threshold]
@@ -168,7 +168,7 @@ def test_patterns_and_links_against_all_pairs(spark):
                 top = max(p[2] for p in options)
                 tied = [p for p in options if p[2] == top]
                 pairs += tied if len(tied) == 1 else []
-        links = fuzzy.probable_links(one, two, fields, agreements, threshold)
+        links, _ = fuzzy.probable_links(one, two, fields, agreements, threshold)
         assert {(r.index1, r.index2) for r in links.collect()} == {(i, j) for i, j, _ in pairs}
         table = spark.createDataFrame(
             [(i, j, float(score[p])) for (i, j), p in pattern.items() if score[p] >= threshold] or [(0, 0, 0.0)],
@@ -186,7 +186,7 @@ def test_ensemble_links_typos_one_to_one(spark):
         typo = last[:-3] + last[-2:] if i % 5 == 0 else last
         people.append(person(100 + i, 2001, first, typo, position=f"q{i}", salary=1000.0 * i + 300000))
     rows = panel(spark, people)
-    links = linkage.link_ensemble(rows)
+    links = linkage.link_ensemble(rows).links
     pairs = [(r.index1, r.index2) for r in links.collect()]
     assert len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs)
     assert all(b - a == 100 for a, b in pairs)
