@@ -24,6 +24,8 @@ SIZE = 8
 SPAN = (1996, 2001)
 LIMIT = 0.1
 STEP = 0.02
+# Rates of the kernel density: from, to, points of the grid.
+GRID = (0.0, 1.0, 51)
 
 
 def collapse_person_year(spark, folder):
@@ -95,6 +97,12 @@ def turnover_density(spark, folder):
     return tidy(turnover.turnover_density(_series(spark, folder), SIZE, SPAN, LIMIT, STEP, ["state", "year"]))
 
 
+def turnover_kernel(spark, folder):
+    """Density of district rates of each year, one bandwidth per state."""
+    rates = _series(spark, folder).where(turnover.in_scope(1, SPAN))
+    return tidy(turnover.kernel_density(rates, "turnover", ["state"], ["year"], *GRID))
+
+
 def _spells(spark, folder):
     panel = customer_panel(spark, folder)
     return survival.spells(panel, survival.observation_window(panel), ["state", "id"])
@@ -137,6 +145,15 @@ def km_median(spark, folder):
     return tidy(survival.median_survival(_curve(spark, folder), ["state_fmt"]))
 
 
+def km_limits(spark, folder):
+    limited = survival.confidence_limits(_curve(spark, folder))
+    return tidy(limited.select("state_fmt", "time", "survival", "lower", "upper"))
+
+
+def km_median_limits(spark, folder):
+    return tidy(survival.median_limits(_curve(spark, folder), ["state_fmt"]))
+
+
 def km_risk_table(spark, folder):
     return tidy(survival.risk_table(_spells(spark, folder), ["state_fmt"]))
 
@@ -169,12 +186,15 @@ QUERIES = {
     "district_turnover_overall": district_turnover_overall,
     "share_excluded": share_excluded,
     "turnover_density": turnover_density,
+    "turnover_kernel": turnover_kernel,
     "spells": spells,
     "spells_any_job": spells_any_job,
     "spells_district": spells_district,
     "km_curve": km_curve,
     "km_any_job": km_any_job,
     "km_median": km_median,
+    "km_limits": km_limits,
+    "km_median_limits": km_median_limits,
     "km_risk_table": km_risk_table,
     "median_reference": median_reference,
     "median_vs_turnover": median_vs_turnover,
@@ -300,6 +320,20 @@ FROM series WHERE n >= {SIZE} AND year BETWEEN {SPAN[0]} AND {SPAN[1]}"""),
     "turnover_density": with_sql(*_SERIES, select=f"""
 SELECT state, year, CAST(floor(turnover / {STEP}::DOUBLE) AS BIGINT) AS bin, count(*) AS n
 FROM series WHERE n >= {SIZE} AND year BETWEEN {SPAN[0]} AND {SPAN[1]} AND turnover < {LIMIT} GROUP BY ALL"""),
+    "turnover_kernel": with_sql(*_SERIES, f"""
+rates AS (SELECT state, year, turnover AS v FROM series WHERE n >= 1 AND year BETWEEN {SPAN[0]} AND {SPAN[1]})""", """
+own AS (SELECT state, year, count(*) AS n, 0.9 * pow(count(*), -0.2) * coalesce(
+    CASE WHEN least(stddev_samp(v), (quantile_cont(v, .75) - quantile_cont(v, .25)) / 1.34) > 0
+      THEN least(stddev_samp(v), (quantile_cont(v, .75) - quantile_cont(v, .25)) / 1.34) END,
+    CASE WHEN stddev_samp(v) > 0 THEN stddev_samp(v) END, CASE WHEN abs(min(v)) > 0 THEN abs(min(v)) END, 1) AS bw
+  FROM rates GROUP BY ALL HAVING count(*) >= 3)""", """
+sizes AS (SELECT state, year, n, avg(bw) OVER (PARTITION BY state) AS bw FROM own)""", f"""
+placed AS (SELECT state, year, (least(greatest(v, {GRID[0]}), {GRID[1]}) - {GRID[0]}) / ({GRID[1]}::DOUBLE - {GRID[0]}) * {GRID[2] - 1} AS p FROM rates)""", f"""
+halves AS (SELECT state, year, least(floor(p), {GRID[2] - 2}) AS i, 1 - p + least(floor(p), {GRID[2] - 2}) AS w FROM placed
+  UNION ALL SELECT state, year, least(floor(p), {GRID[2] - 2}) + 1, p - least(floor(p), {GRID[2] - 2}) FROM placed)""", f"""
+grid AS (SELECT j, {GRID[0]} + j * ({GRID[1]}::DOUBLE - {GRID[0]}) / {GRID[2] - 1} AS x FROM unnest(range({GRID[2]})) AS t(j))""", select=f"""
+SELECT state, year, round(x, 6) AS x, round(sum(w * exp(-pow((j - i) * ({GRID[1]}::DOUBLE - {GRID[0]}) / {GRID[2] - 1} / bw, 2) / 2)) / any_value(sqrt(2 * pi()) * bw * n), 6) AS density
+FROM (SELECT state, year, i, sum(w) AS w FROM halves GROUP BY ALL) JOIN sizes USING (state, year), grid WHERE w > 0 GROUP BY state, year, x"""),
     "spells": with_sql(*spells_sql(CUSTOMER_PANEL_SQL, "state, id"), select="SELECT * FROM spell"),
     "spells_any_job": with_sql(CUSTOMER_PANEL_SQL, select=_ANY_JOB),
     "spells_district": with_sql(*spells_sql(DISTRICT_PANEL_SQL, "state, NCES_leaid, id"), select="SELECT * EXCLUDE (state_fmt) FROM spell"),
@@ -310,6 +344,20 @@ SELECT state_fmt, time, n_risk, n_event, n_censor, round(survival, 6) AS surviva
 SELECT state_fmt, time, n_risk, n_event, n_censor, round(survival, 6) AS survival,
   CASE WHEN survival > 0 THEN round(survival * sqrt(variance), 6) END AS std_error FROM curve"""),
     "km_median": with_sql(*_STATE_KM, select="SELECT state_fmt, median FROM medians"),
+    "km_limits": with_sql(*_STATE_KM, select="""
+SELECT state_fmt, time, round(survival, 6) AS survival,
+  CASE WHEN survival > 0 THEN round(survival * exp(-1.959963984540054 * sqrt(variance)), 6) END AS lower,
+  CASE WHEN survival > 0 THEN round(least(survival * exp(1.959963984540054 * sqrt(variance)), 1), 6) END AS upper FROM curve"""),
+    "km_median_limits": with_sql(*_STATE_KM, """
+limited AS (SELECT state_fmt, time, survival, CASE WHEN survival > 0 THEN survival * exp(-1.959963984540054 * sqrt(variance)) END AS lower,
+  CASE WHEN survival > 0 THEN least(survival * exp(1.959963984540054 * sqrt(variance)), 1) END AS upper FROM curve)""", """
+long AS (UNPIVOT limited ON survival, lower, upper INTO NAME what VALUE value)""", """
+half AS (SELECT *, max(value) OVER (PARTITION BY state_fmt, what) AS top FROM long WHERE value < .5 + 1.5e-8)""", """
+times AS (SELECT state_fmt, what, CASE WHEN abs(max(top) - .5) < 1.5e-8 AND count(*) FILTER (value < top) > 0
+  THEN (min(time) + min(time) FILTER (value < top)) / 2 ELSE min(time) END::DOUBLE AS at_half FROM half GROUP BY ALL)""", select="""
+SELECT s.state_fmt, max(at_half) FILTER (what = 'survival') AS median, max(at_half) FILTER (what = 'lower') AS lower,
+  max(at_half) FILTER (what = 'upper') AS upper
+FROM (SELECT DISTINCT state_fmt FROM counts) s LEFT JOIN times USING (state_fmt) GROUP BY s.state_fmt"""),
     "km_risk_table": with_sql(*spells_sql(CUSTOMER_PANEL_SQL, "state, id"), select="""
 SELECT g.state_fmt, g.time, count(*) FILTER (s.length >= g.time) AS n_risk
 FROM (SELECT state_fmt, unnest(generate_series(0, max(length))) AS time FROM spell GROUP BY 1) g

@@ -21,6 +21,7 @@ LINKERS = {
     "probabilistic": linkage.link_probabilistic,
     "ensemble": linkage.link_ensemble,
 }
+LEFT_OUT = ["NATION_2", "NATION_3"]
 ID_NAMES = {"deterministic": "detid", "probabilistic": "flid", "ensemble": "ensemble_id"}
 
 # Linking is a stage of its own: its links are written once per session and
@@ -396,6 +397,21 @@ def one_to_one_filter(spark, folder):
     return tidy(union_labeled({"best": best, "single": single}, "choice"))
 
 
+def link_labels(spark, folder):
+    links = stage_links(spark, folder, "deterministic")
+    return linkage.with_labels(link_panel(spark, folder), links).select("index", "link_label", "person_label")
+
+
+def compile_added_back(spark, folder):
+    """Two states are left out of the linking and come back with ids of their own."""
+    panel = link_panel(spark, folder)
+    left_out = panel.where(F.col("state").isin(LEFT_OUT))
+    links = linkage.link_deterministic(panel.join(left_out.select("index"), "index", "left_anti")).links
+    rows = linkage.with_ids(panel.where(~F.col("state").isin(LEFT_OUT)), links, "ensemble_id")
+    done = compiling.compile_links(rows, panel, official=["NATION_1", "NATION_2"], padded={"NATION_1": 6}, unlinked=LEFT_OUT)
+    return tidy(done.select("index", "state", "year", "id", F.col("ensemble_id").alias("linked_id")))
+
+
 def compile_linked(spark, folder):
     links = stage_links(spark, folder, "deterministic")
     rows = linkage.with_ids(link_panel(spark, folder), links, "ensemble_id")
@@ -436,6 +452,8 @@ QUERIES = {
     "link_log": link_log,
     "ensemble_log": ensemble_log,
     "one_to_one_filter": one_to_one_filter,
+    "link_labels": link_labels,
+    "compile_added_back": compile_added_back,
     "compile_linked": compile_linked,
 }
 
@@ -625,6 +643,16 @@ FROM (SELECT state, count(*) AS n FROM left{year} GROUP BY 1) l FULL JOIN (SELEC
 LEFT JOIN (SELECT p.state, count(*) AS n FROM y{year}_links y JOIN panel p ON p.index = y.index2 GROUP BY 1) k ON k.state = coalesce(l.state, r.state)"""
     for year in YEARS[:-1]))
 
+SQL["link_labels"] = with_sql(*_chain_sql(), select="""
+SELECT p.index, CASE WHEN l.index2 IS NOT NULL THEN concat_ws('_', p.state, l.year, l.rule, l.index1) END AS link_label,
+  CASE WHEN b.id IS NOT NULL THEN concat_ws('_', p.state, b.year, b.rule, b.id) ELSE concat_ws('_', p.state, p.year, 'nomatch', p.index) END AS person_label
+FROM ids p LEFT JOIN links l ON l.index2 = p.index LEFT JOIN (SELECT * FROM links WHERE id = index1) b ON b.id = p.detid""")
+
+SQL["compile_added_back"] = with_sql(*_chain_sql(), select="""
+SELECT index, state, year, CASE WHEN state = 'NATION_1' AND length(source_id) < 6 THEN lpad(source_id, 6, '0')
+  WHEN state IN ('NATION_1', 'NATION_2') THEN source_id WHEN state = 'NATION_3' THEN NULL ELSE CAST(detid AS VARCHAR) END AS id,
+  CASE WHEN state NOT IN ('NATION_2', 'NATION_3') THEN detid END AS linked_id FROM ids""")
+
 SQL["accuracy_transposed"] = with_sql(
     *_chain_sql(),
     "both_ids AS (SELECT *, concat_ws('|', state, name_first, name_last, position, NCES_leaid) AS plainid FROM ids)",

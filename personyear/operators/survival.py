@@ -10,6 +10,8 @@ from .joins import attach
 
 # Two survival values closer than this are the same.
 TOLERANCE = 1.5e-8
+# The standard normal quantile of limits that hold in 95 of 100 cases.
+NORMAL_975 = 1.959963984540054
 
 
 def observation_window(df: DataFrame, state: str = "state", year: str = "year") -> DataFrame:
@@ -106,28 +108,53 @@ def kaplan_meier(df: DataFrame, strata: list[str], length: str = "length", statu
     )
 
 
-def median_survival(curve: DataFrame, strata: list[str]) -> DataFrame:
+def confidence_limits(curve: DataFrame, z: float = NORMAL_975) -> DataFrame:
+    """Add ``lower`` and ``upper``, the limits of the survival on the logarithmic scale.
+
+    The error of log survival is Greenwood's error over the survival.  The upper limit
+    is at most one; where survival is 0 there is no limit.
+    """
+    spread = F.exp(z * F.col("std_error") / F.col("survival"))
+    alive = F.col("survival") > 0
+    return curve.withColumns(
+        {
+            "lower": F.when(alive, F.col("survival") / spread),
+            "upper": F.when(alive, F.least(F.col("survival") * spread, F.lit(1.0))),
+        }
+    )
+
+
+def median_survival(curve: DataFrame, strata: list[str], value: str = "survival", name: str = "median") -> DataFrame:
     """First time at which survival is at most one half, NULL if it never is.
 
     A curve that is exactly one half over a stretch has its median in the
     middle between the start of the stretch and the next drop.
     """
     half = F.lit(0.5)
-    reached = F.col("survival") < half + TOLERANCE
+    reached = F.col(value) < half + TOLERANCE
     stratum = Window.partitionBy(*strata)
-    top = F.max(F.when(reached, F.col("survival"))).over(stratum)
+    top = F.max(F.when(reached, F.col(value))).over(stratum)
     folded = (
         curve.withColumn("__top", top)
         .groupBy(*strata)
         .agg(
             F.min(F.when(reached, F.col("time"))).alias("__at"),
-            F.min(F.when(reached & (F.col("survival") < F.col("__top")), F.col("time"))).alias("__drop"),
+            F.min(F.when(reached & (F.col(value) < F.col("__top")), F.col("time"))).alias("__drop"),
             F.max("__top").alias("__top"),
         )
     )
     flat = (F.abs(F.col("__top") - half) < TOLERANCE) & F.col("__drop").isNotNull()
     middle = (F.col("__at") + F.col("__drop")) / 2
-    return folded.select(*strata, F.when(flat, middle).otherwise(F.col("__at").cast("double")).alias("median"))
+    return folded.select(*strata, F.when(flat, middle).otherwise(F.col("__at").cast("double")).alias(name))
+
+
+def median_limits(curve: DataFrame, strata: list[str]) -> DataFrame:
+    """The median with its limits: the times at which the limits of the curve reach one half."""
+    limited = confidence_limits(curve)
+    medians = median_survival(limited, strata)
+    for name in ("lower", "upper"):
+        medians = attach(medians, median_survival(limited, strata, name, name), strata)
+    return medians
 
 
 def risk_table(df: DataFrame, strata: list[str], length: str = "length") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,6 +140,48 @@ def turnover_density(
     return scoped.groupBy(*by, F.floor(F.col("turnover") / step).alias("bin")).agg(F.count("*").alias("n"))
 
 
+def kernel_density(
+    df: DataFrame, value: str, panel: list[str], group: list[str], low: float, high: float, points: int, least: int = 3
+) -> DataFrame:
+    """Gaussian kernel density of each group on a fixed grid: ``x, density``.
+
+    All groups of a panel have one bandwidth, the mean of the rule-of-thumb ones
+    (0.9 times the smaller of standard deviation and interquartile range / 1.34, times
+    n to the power -1/5) of those with at least ``least`` values; smaller groups have no
+    density.  A value's weight is split between the two grid points around it, so the
+    sum runs over grid points and does not grow with the values.  Values beyond the
+    grid count at its ends.
+    """
+    keys, step = [*panel, *group], (high - low) / (points - 1)
+    known = df.where(F.col(value).isNotNull())
+    spread = F.stddev_samp(value)
+    quarters = (F.percentile(value, 0.75) - F.percentile(value, 0.25)) / 1.34
+    positive = lambda x: F.when(x > 0, x)
+    sizes = (
+        known.groupBy(*keys)
+        .agg(F.count("*").alias("n"), spread.alias("sd"), quarters.alias("iqr"), F.abs(F.min(value)).alias("least"))
+        .where(F.col("n") >= least)
+        .withColumn("scale", F.coalesce(positive(F.least("sd", "iqr")), positive(F.col("sd")), positive(F.col("least")), F.lit(1.0)))
+        .withColumn("own", 0.9 * F.col("scale") * F.pow(F.col("n"), F.lit(-0.2)))
+    )
+    whole = Window.partitionBy(*panel) if panel else Window.partitionBy(F.lit(1))
+    sizes = measured(sizes.select(*keys, "n", F.avg("own").over(whole).alias("bandwidth")), "bandwidths")
+    place = (F.greatest(F.least(F.col(value), F.lit(high)), F.lit(low)) - low) / step
+    at = F.least(F.floor(place), F.lit(points - 2))
+    split = F.explode(F.array(F.struct(at.alias("i"), (1 - place + at).alias("w")), F.struct((at + 1).alias("i"), (place - at).alias("w"))))
+    weights = known.select(*keys, split.alias("part")).groupBy(*keys, F.col("part.i").alias("i")).agg(F.sum("part.w").alias("w"))
+    weighed = attach(weights.where("w > 0"), sizes, keys).where("n is not null")
+    gap = (F.col("j") - F.col("i")) * step / F.col("bandwidth")
+    kernel = F.col("w") * F.exp(-gap * gap / 2) / (F.sqrt(F.lit(2 * math.pi)) * F.col("bandwidth") * F.col("n"))
+    grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("j")
+    return (
+        weighed.select("*", grid)
+        .groupBy(*keys, "j")
+        .agg(F.sum(kernel).alias("density"))
+        .select(*keys, (low + F.col("j") * step).alias("x"), "density")
+    )
+
+
 def series_difference(series: DataFrame, label: str, one: str, other: str, year: str = "year") -> DataFrame:
     """Five-number summary and mean of the gap between two yearly series, last year out."""
     pick = lambda name, alias: series.where(F.col(label) == name).select(year, F.col("turnover").alias(alias))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import measured
+from ..session import measured, written
 from .joins import attach
 from .ranks import running_before
 
@@ -46,19 +46,44 @@ def collapse(
 def fill_both_ways(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """Fill NULLs from the nearest earlier value, else from the nearest later one.
 
-    Meant for groups that are small by construction, such as the records of
-    one person or the two rows of one link.
+    Rows are sorted into ranges of keys and order and written with the number of
+    their range, so a key with very many rows lies in many ranges.  A range is filled
+    by itself.  Only its first and its last key can lie in others too; for these the
+    last value of earlier ranges and the first of later ones are carried in, a row or
+    two per range.  Rows equal in keys and order fill each other in any order.
     """
-    ordered = Window.partitionBy(*keys).orderBy(*order)
-    before = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return df.withColumn(
+    ranged = written(
+        df.repartitionByRange(*keys, *order).withColumns({"__range": F.spark_partition_id(), "__key": F.struct(*keys)}), "ranges"
+    )
+    limits = ranged.groupBy("__range").agg(F.min("__key").alias("__low"), F.max("__key").alias("__high"))
+    limits = limits.select("__range", F.explode(F.array_distinct(F.array("__low", "__high"))).alias("__key"))
+    given = F.when(F.col(name).isNotNull(), F.struct(*[F.col(o).alias(f"__o{i}") for i, o in enumerate(order)], F.col(name).alias("__value")))
+    edges = ranged.join(
+        measured(limits.toDF("__at", "__edge"), "limits"),
+        (F.col("__range") == F.col("__at")) & F.col("__key").eqNullSafe(F.col("__edge")),
+        "left_semi",
+    )
+    edges = edges.groupBy("__range", "__key").agg(F.max(given)["__value"].alias("__last"), F.min(given)["__value"].alias("__first"))
+    ranges = Window.partitionBy("__key").orderBy("__range")
+    carried = edges.select(
+        F.col("__range").alias("__at"),
+        F.col("__key").alias("__edge"),
+        F.last("__last", ignorenulls=True).over(ranges.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
+        F.first("__first", ignorenulls=True).over(ranges.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
+    )
+    joined = ranged.join(
+        measured(carried, "carried"), (F.col("__range") == F.col("__at")) & F.col("__key").eqNullSafe(F.col("__edge")), "left"
+    )
+    inside = Window.partitionBy("__range", *keys).orderBy(*order)
+    return joined.withColumn(
         name,
         F.coalesce(
-            F.last(name, ignorenulls=True).over(before),
-            F.first(name, ignorenulls=True).over(after),
+            F.last(name, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+            "__before",
+            F.first(name, ignorenulls=True).over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
+            "__after",
         ),
-    )
+    ).select(*df.columns)
 
 
 def drop_last_period(df: DataFrame, keys: list[str], period: str = "year") -> DataFrame:

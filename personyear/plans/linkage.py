@@ -205,6 +205,32 @@ def link_ensemble(panel: DataFrame, rules: list[list[str]] = RULES, folder: str
     return link_years(rows, years, matcher, folder, f"ensemble {rules} {BACKSTOP_FIELDS} {BACKSTOP_THRESHOLD}")
 
 
+def with_labels(panel: DataFrame, links: DataFrame) -> DataFrame:
+    """Attach readable ids: ``link_label`` of the link that ends in a record, ``person_label`` of the whole chain.
+
+    A label names state, earlier year, rule and left record of a link; a chain bears
+    that of its first link, a record without any link "nomatch" and its own number.
+    """
+    named = links.select(F.col("index1").alias("__index1"), "index2", "rule", F.col("id").alias("__id"), F.col("year").alias("__year"))
+    ends = named.select(F.col("index2").alias("__end"), "__index1", F.col("rule").alias("__rule"), "__year", "__id")
+    starts = named.where("__id = __index1").select("__id", F.col("rule").alias("__first_rule"), F.col("__year").alias("__first_year"))
+    chained = record_ids(links).withColumnsRenamed({"index": "__record", "id": "__chain"})
+    text = lambda year, rule, index: F.concat_ws("_", "state", F.col(year).cast("string"), rule, F.col(index).cast("string"))
+    return (
+        panel.join(ends.drop("__id"), F.col("index") == F.col("__end"), "left")
+        .join(chained, F.col("index") == F.col("__record"), "left")
+        .join(starts, F.col("__chain") == F.col("__id"), "left")
+        .withColumn("link_label", F.when(F.col("__end").isNotNull(), text("__year", "__rule", "__index1")))
+        .withColumn(
+            "person_label",
+            F.when(F.col("__chain").isNotNull(), text("__first_year", "__first_rule", "__chain")).otherwise(
+                F.concat_ws("_", "state", F.col("year").cast("string"), F.lit("nomatch"), F.col("index").cast("string"))
+            ),
+        )
+        .select(*panel.columns, "link_label", "person_label")
+    )
+
+
 def link_summary(links: DataFrame, panel: DataFrame) -> DataFrame:
     """Links per state, year step and rule."""
     states = panel.select(F.col("index").alias("index1"), "state")
