@@ -113,3 +113,36 @@ def repeated(rows, gear, gear_bytes=16, chunk_words=4, least_words=20):
         parts.append(data[at:])
         result.append((key, None if text is None else b"".join(parts).decode(), len(words), removed))
     return result
+
+
+def together(rows, gear, least_words=20):
+    """(id, text, words, words cut): runs of chunks with enough words that stand in one earlier place are cut from later ones.
+
+    Every place of a chunk is held against all earlier places of the same chunk.
+    """
+    texts = []
+    for key, text in sorted(rows, key=lambda r: r[0]):
+        words, bounds = chunk_bounds(text or "", gear, 16, 4)
+        data = (text or "").encode()
+        ends = [b[0] for b in bounds[1:]] + [len(words)]
+        texts.append((key, text, data, words, [data[a:z] for _, a, z in bounds], [b[0] for b in bounds], ends))
+    places, result = {}, []
+    for n, (key, text, data, words, chunks, first, ends) in enumerate(texts):
+        gone = set()
+        for i, chunk in enumerate(chunks):
+            for m, j in places.get(chunk, ()):
+                earlier, k = texts[m][4], 1
+                # A run that goes on further back was seen from there.
+                if i and j and chunks[i - 1] == earlier[j - 1]:
+                    continue
+                while i + k < len(chunks) and j + k < len(earlier) and chunks[i + k] == earlier[j + k]:
+                    k += 1
+                if ends[i + k - 1] - first[i] >= least_words:
+                    gone.update(range(first[i], ends[i + k - 1]))
+            places.setdefault(chunk, []).append((n, i))
+        kept, at = b"", 0
+        for w in sorted(gone):
+            kept += data[at : words[w][0]] if at < words[w][0] else b""
+            at = words[w + 1][0] if w + 1 < len(words) else len(data)
+        result.append((key, None if text is None else (kept + data[at:]).decode(), len(words), len(gone)))
+    return result

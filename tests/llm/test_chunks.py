@@ -17,7 +17,7 @@ def _found(df):
 
 def test_given_documents_match_the_plain_version(documents):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
-    assert sorted(_found(documents)) == sorted(brute.repeated(rows, GEAR))
+    assert sorted(_found(documents)) == sorted(brute.together(rows, GEAR))
 
 
 def test_planted_passages_are_cut_from_later_documents_only(spark):
@@ -53,7 +53,7 @@ def test_many_tasks_agree_with_one(spark):
     rng = random.Random(12)
     passages = [" ".join(words_of(rng, 70)) for _ in range(4)]
     rows = [(k, " ".join([*words_of(rng, 15), rng.choice(passages), *words_of(rng, 15), rng.choice(passages)])) for k in range(120)]
-    expected = sorted(brute.repeated(rows, GEAR))
+    expected = sorted(brute.together(rows, GEAR))
     assert sorted(_found(_frame(spark, rows).repartition(9))) == expected
     assert sorted(_found(_frame(spark, rows).coalesce(1))) == expected
 

@@ -1,7 +1,6 @@
 import public_tokenizers
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
 from personyear.llm import pieces, queries
@@ -29,10 +28,12 @@ def _own(docs, **options):
     return sorted((str(r.doc_id), np.frombuffer(r.ids, dtype="<u4").tolist(), r.text) for r in rows)
 
 
-@pytest.mark.parametrize("characters", [1, 40, 8 << 20])
-def test_edges_in_blocks_of_any_size(spark, characters):
+@pytest.mark.parametrize(("characters", "words"), [(1, 1), (40, 10), (1 << 20, 400_000)])
+def test_edges_in_tables_of_any_size(spark, characters, words, monkeypatch):
+    monkeypatch.setattr(pieces, "CALL_CHARACTERS", characters)
+    monkeypatch.setattr(pieces, "TABLE_WORDS", words)
     rows = list(enumerate([*EDGES, None]))
-    assert _own(spark.createDataFrame(rows, "doc_id long, text string"), block_characters=characters) == _library(rows)
+    assert _own(spark.createDataFrame(rows, "doc_id long, text string")) == _library(rows)
 
 
 def test_odd_rows_and_given_documents(spark, odd, documents):
@@ -45,12 +46,11 @@ def test_without_ends(spark):
     assert _own(spark.createDataFrame(rows, "doc_id long, text string"), ends=False) == _library(rows, ends=False)
 
 
-def test_words_beyond_the_broadcast_and_slices_of_long_texts(spark, documents, monkeypatch):
-    monkeypatch.setattr(pieces, "HEAVY", 3)
+def test_slices_of_long_texts(spark, documents, monkeypatch):
     monkeypatch.setattr(pieces, "SLICE", 50)
     monkeypatch.setattr(pieces, "TOGETHER", 7)
     rows = [(1, "   a  b" * 300), (2, "b" * 5000), (3, " " * 500), *[(r.doc_id, r.text) for r in documents.limit(40).collect()]]
-    assert _own(spark.createDataFrame(rows, "doc_id long, text string"), block_characters=2000) == _library(rows)
+    assert _own(spark.createDataFrame(rows, "doc_id long, text string")) == _library(rows)
 
 
 def test_other_columns_with_clashing_names(spark):
@@ -62,12 +62,21 @@ def test_empty(spark, empty):
     assert _own(empty) == []
 
 
-def test_each_distinct_word_is_segmented_once(spark, documents):
-    blocks = pieces._blocks(documents.select("doc_id", "text"), 1000)
-    words = blocks.select(F.explode("words").alias("word"))
-    assert words.count() > words.distinct().count()
-    counted = words.groupBy("word").agg(F.count("*").alias("blocks"))
-    assert pieces._segmented(counted, PATH).count() == words.distinct().count()
+def test_each_distinct_word_is_segmented_once():
+    class Counting:
+        def __init__(self):
+            self.model, self.asked = SentencePieceProcessor(model_file=PATH), []
+
+        def encode(self, texts, **options):
+            self.asked += texts
+            return self.model.encode(texts, **options)
+
+    table = pieces.Table(Counting())
+    for text in ("one two  one", "two three", "three one"):
+        words = pieces._numbered(text, table.numbers)
+        table.learn()
+        assert np.frombuffer(table.joined(words), dtype="<u4").tolist() == table.model.model.encode(text)
+    assert sorted(table.model.asked) == ["x  one", "x one", "x three", "x two"]
 
 
 def test_models_that_do_not_fall_apart_are_refused(monkeypatch):

@@ -64,7 +64,7 @@ def test_stages_match_plain_versions(spark):
     assert rows(stages["minhash near-dedup"](spark, docs, FOLDER)) == left and len(left) < docs.count()
 
     docs = spark.createDataFrame(left, SCHEMA)
-    cut = {k: (t, n, gone) for k, t, n, gone in brute.repeated([r[:2] for r in left], [int(x) for x in _gear()])}
+    cut = {k: (t, n, gone) for k, t, n, gone in brute.together([r[:2] for r in left], [int(x) for x in _gear()])}
     left = [(k, cut[k][0], lang, source, len(cut[k][0])) for k, _, lang, source, _ in left if not cut[k][2] or cut[k][2] < cut[k][1]]
     assert rows(stages["substring dedup"](spark, docs, FOLDER)) == left
 
