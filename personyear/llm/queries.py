@@ -60,15 +60,14 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     path = new_folder(spark, "shards")
     schema = sharding.write_shards(_table(spark, folder, "documents"), path)
-    return sharding.read_shards(spark, path, schema).select(
-        "doc_id",
+    columns = [
+        F.col("doc_id"),
         sharding.record_bytes("text").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        F.lit(sharding.LAW).alias("law"),
-        "shard",
-        "slot",
-        "grown_shard",
-    )
+        F.col("grown_shard"),
+    ]
+    placed = sharding.read_shards(spark, path, schema, columns)
+    return placed.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", "grown_shard")
 
 
 def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from personyear.session import measured
+
 LAW = "key"
 SHARDS = 40
 SEED = 7
@@ -68,10 +70,16 @@ def write_shards(
     return placed.schema
 
 
-def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The rows of written shards with ``slot``, their gapless position in the shard."""
+def read_shards(spark: SparkSession, path: str, schema: StructType, columns: list[Column] | None = None) -> DataFrame:
+    """The rows of written shards with ``slot``, their gapless position in the shard.
+
+    ``columns`` are computed first, so that only they and the position meet the sizes
+    of the buckets, a row each, which are written so that their true size is known.
+    """
     rows = spark.read.schema(schema).parquet(path)
     earlier = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy("shard", "bucket").count()
     before = sizes.select("shard", "bucket", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
-    return rows.join(before, ["shard", "bucket"]).withColumn("slot", F.col("before") + F.col("place")).drop("before")
+    kept = [F.col(c) for c in rows.columns if c not in ("shard", "bucket", "place")] if columns is None else columns
+    rows = rows.select(*kept, F.col("shard").alias("shard"), "bucket", "place")
+    return rows.join(measured(before, "before"), ["shard", "bucket"]).withColumn("slot", F.col("before") + F.col("place")).drop("before")
