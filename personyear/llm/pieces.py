@@ -3,14 +3,12 @@
 The model writes each blank as a marker, and puts one before the text.  Where no
 piece goes on past a marker that follows something else, a text falls apart before
 every run of markers: such a marked word always has the same ids, whatever stands
-beside it.  So texts are taken apart in blocks, every distinct marked word of the
-corpus is segmented once by the library, and the ids are joined back by position.
-
-A block keeps its texts as numbers into its own list of distinct marked words, so
-the texts themselves are read once and never shuffled.  What is joined are the
-lists: one row per block and distinct word.  Words that stand in most blocks are
-answered from a bounded broadcast table, all others by a join in which no key can
-hold more than a small share of the rows.
+beside it.  So a task keeps a table of the distinct marked words of its texts.  A
+text becomes numbers into that table, words that are new to it are segmented by the
+library, and the ids are joined back by position.
+
+The table is of bounded size and begins anew when it is full.  Tables are not joined
+over tasks: where most distinct words are rare, that moves more than the texts.
 """
 
 from __future__ import annotations
@@ -18,25 +16,19 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from personyear.session import written
-
 MARKER = "▁"
-#: Text of a block, in characters; one longer text is a block of its own.
-BLOCK_CHARACTERS = 8 << 20
-#: Characters that are taken apart at once.
-SLICE = 1 << 20
-#: Words of most blocks that are broadcast: so many at most, of so many bytes each at most.
-HEAVY, HEAVY_BYTES = 20_000, 64
-#: Characters that the library gets at once, and marked words that are put together at once.
-CALL_CHARACTERS, TOGETHER = 1 << 20, 1 << 18
+#: Words and characters of a task's table.
+TABLE_WORDS, TABLE_CHARACTERS = 400_000, 1 << 24
+#: Characters that are taken apart at once, that the library gets at once, and marked words put together at once.
+SLICE, CALL_CHARACTERS, TOGETHER = 1 << 20, 1 << 20, 1 << 18
 ANCHOR = "x"
 
 
@@ -74,127 +66,81 @@ def _numbered(text: str, numbers: dict[str, int]) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def _blocks(texts: DataFrame, block_characters: int) -> DataFrame:
-    """``block, keys, counts, sequence, words`` of ``id, text``."""
-    schema = pa.schema(
-        [("block", pa.int64()), ("keys", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())),
-         ("sequence", pa.binary()), ("words", pa.list_(pa.string()))]
-    )
+class Table:
+    """Distinct marked words and their ids; ``numbers`` gives unknown words the next number."""
+
+    def __init__(self, model) -> None:
+        self.model = model
+        self.numbers: dict[str, int] = defaultdict()
+        self.numbers.default_factory = self.numbers.__len__
+        self.begins, self.ids, self.characters = np.zeros(1, dtype=np.int64), np.zeros(0, dtype="<u4"), 0
+
+    def full(self) -> bool:
+        return len(self.numbers) >= TABLE_WORDS or self.characters >= TABLE_CHARACTERS
+
+    def learn(self) -> None:
+        """Segment the words that are new, each once, behind an anchor."""
+        new = list(islice(self.numbers, len(self.begins) - 1, None))
+        lengths, ids, part, size = [], [self.ids], [], 0
+        for i, word in enumerate(new):
+            part.append(f"{ANCHOR} {word}")
+            size += len(word)
+            if size >= CALL_CHARACTERS or i + 1 == len(new):
+                found = self.model.encode(part, num_threads=1)
+                lengths += [len(x) - 1 for x in found]
+                ids.append(np.array([y for x in found for y in islice(x, 1, None)], dtype="<u4"))
+                self.characters += size
+                part, size = [], 0
+        if new:
+            self.begins = np.append(self.begins, self.begins[-1] + np.cumsum(lengths))
+            self.ids = np.concatenate(ids)
+
+    def joined(self, words: np.ndarray) -> bytes:
+        """The ids of numbered words, one after the other."""
+        parts = []
+        for first in range(0, len(words), TOGETHER):
+            own = words[first : first + TOGETHER]
+            n = self.begins[own + 1] - self.begins[own]
+            at = np.repeat(self.begins[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            parts.append(self.ids[at].tobytes())
+        return b"".join(parts)
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ends: bool = True) -> DataFrame:
+    """``id_col`` (long) and ``ids``, the text's ids as little-endian unsigned 32-bit integers, for every row.
+
+    They are those of the library for the whole text, with begin and end ids if
+    ``ends``.  A null text counts as empty, a null id stays null, repeated rows stay
+    repeated; other columns are not read, so their names do not matter.
+    """
+    check_model(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        keys: list = []
-        held: list[np.ndarray] = []
-        numbers: dict[str, int] = defaultdict()
-        numbers.default_factory = numbers.__len__
-        characters = 0
+        model = _library(path)
+        head, tail = (np.array([x], dtype="<u4").tobytes() if ends else b"" for x in (model.bos_id(), model.eos_id()))
+        table = Table(model)
+        keys, held, characters = [], [], 0
 
         def close() -> pa.RecordBatch:
-            sequence = np.concatenate(held).astype("<u2" if len(numbers) <= 1 << 16 else "<u4")
-            cells = [[block], [keys], [[len(x) for x in held]], [sequence.tobytes()], [list(numbers)]]
-            arrays = [pa.array(cell, type=field.type) for cell, field in zip(cells, schema, strict=True)]
-            return pa.RecordBatch.from_arrays(arrays, schema=schema)
+            table.learn()
+            ids = [b"".join((head, table.joined(words), tail)) for words in held]
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], ["id", "ids"])
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys.append(key)
                 text = text.as_py() or ""
-                held.append(_numbered(text, numbers))
+                keys.append(key)
+                held.append(_numbered(text, table.numbers))
                 characters += len(text)
-                if characters >= block_characters or len(keys) >= 1 << 20:
+                if characters >= CALL_CHARACTERS:
                     yield close()
                     keys, held, characters = [], [], 0
-                    numbers.clear()
-                    block += 1
+                    table = Table(model) if table.full() else table
         if keys:
             yield close()
 
-    return texts.mapInArrow(run, "block long, keys array<long>, counts array<int>, sequence binary, words array<string>")
-
-
-def _segmented(words: DataFrame, path: str) -> DataFrame:
-    """``word, blocks, ids`` of ``word, blocks``: each marked word through the library, behind an anchor."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _library(path)
-        for batch in batches:
-            first, sizes = 0, np.cumsum(pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False))
-            while first < batch.num_rows:
-                before = sizes[first - 1] if first else 0
-                last = max(first + 1, int(np.searchsorted(sizes, before + CALL_CHARACTERS, side="right")))
-                part = batch.slice(first, last - first)
-                found = model.encode([f"{ANCHOR} {word}" for word in part.column(0).to_pylist()], num_threads=1)
-                ids = pa.array([np.array(x[1:], dtype="<u4").tobytes() for x in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids], ["word", "blocks", "ids"])
-                first = last
-
-    return words.mapInArrow(run, "word string, blocks long, ids binary")
-
-
-def _assembled(rows: DataFrame, begin: list[int], end: list[int]) -> DataFrame:
-    """``id, ids`` of blocks with the ids of their words."""
-    head, tail = (np.array(x, dtype="<u4").tobytes() for x in (begin, end))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                keys, counts, sequence, answers = (batch.column(c)[i] for c in range(4))
-                if answers.is_valid:
-                    place = answers.values.field(0).to_numpy(zero_copy_only=False)
-                    found = answers.values.field(1)
-                    lengths = np.zeros(len(place), dtype=np.int64)
-                    lengths[place] = pc.binary_length(found).to_numpy(zero_copy_only=False) // 4
-                    order = np.argsort(place)
-                    table = np.frombuffer(b"".join(found.take(pa.array(order)).to_pylist()), dtype="<u4")
-                else:
-                    lengths, table = np.zeros(0, dtype=np.int64), np.zeros(0, dtype="<u4")
-                begins = np.cumsum(lengths) - lengths
-                of = np.frombuffer(sequence.as_py(), dtype="<u2" if len(lengths) <= 1 << 16 else "<u4")
-                key_list, at, out, out_keys, size = keys.as_py(), 0, [], [], 0
-                for key, count in zip(key_list, counts.as_py(), strict=True):
-                    parts = [head]
-                    for first in range(at, at + count, TOGETHER):
-                        own = of[first : min(first + TOGETHER, at + count)]
-                        n = lengths[own]
-                        where = np.repeat(begins[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                        parts.append(table[where].tobytes())
-                    at += count
-                    out.append(b"".join([*parts, tail]))
-                    out_keys.append(key)
-                    size += len(out[-1])
-                    if size >= 4 * CALL_CHARACTERS:
-                        yield pa.RecordBatch.from_arrays([pa.array(out_keys, pa.int64()), pa.array(out, pa.binary())], ["id", "ids"])
-                        out, out_keys, size = [], [], 0
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(out_keys, pa.int64()), pa.array(out, pa.binary())], ["id", "ids"])
-
-    return rows.mapInArrow(run, "id long, ids binary")
-
-
-def encode(
-    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ends: bool = True, block_characters: int = BLOCK_CHARACTERS
-) -> DataFrame:
-    """``id_col`` (long) and ``ids``, the text's ids as little-endian unsigned 32-bit integers, for every row.
-
-    They are those of the library for the whole text, with begin and end ids if
-    ``ends``.  A null text counts as empty, a null id stays null, repeated rows stay
-    repeated; other columns are not read, so their names do not matter.
-    """
-    check_model(path)
-    model = _library(path)
     texts = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    blocks = written(_blocks(texts, block_characters), "pieces-blocks")
-    asked = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    counted = asked.groupBy("word").agg(F.count("*").alias("blocks"))
-    table = written(_segmented(counted, path), "pieces-words")
-    often = table.where((F.col("blocks") > 1) & (F.octet_length("word") <= HEAVY_BYTES))
-    often = F.broadcast(often.orderBy(F.desc("blocks"), "word").limit(HEAVY).select("word", "ids"))
-    near = asked.join(often, "word")
-    far = asked.join(often.drop("ids"), "word", "left_anti").join(table.select("word", "ids"), "word")
-    answers = near.unionByName(far).groupBy("block").agg(F.collect_list(F.struct("place", "ids")).alias("answers"))
-    rows = blocks.select("block", "keys", "counts", "sequence").join(answers, "block", "left")
-    begin, end = ([model.bos_id()], [model.eos_id()]) if ends else ([], [])
-    return _assembled(rows.select("keys", "counts", "sequence", "answers"), begin, end).withColumnRenamed("id", id_col)
+    return texts.mapInArrow(run, "id long, ids binary").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
