@@ -38,7 +38,7 @@ CELL_QUESTIONS = 1 << 17
 #: Words of a trie node that are compared without going deeper, and candidates verified at once.
 LEAF_WORDS, TOGETHER = 8, 1 << 16
 #: Words up to this length are compared as rows of bytes, longer ones one by one.
-ROW_LENGTH = 64
+ROW_LENGTH = 32
 #: Distinct words and their letters that a task counts before it hands them on.
 HELD_WORDS, HELD_LETTERS = 1 << 17, 1 << 24
 
@@ -99,11 +99,16 @@ def letter_groups(words: DataFrame) -> np.ndarray:
     return group_of
 
 
-def vectors(words: list[bytes], group_of: np.ndarray) -> np.ndarray:
+def letters_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of words one after the other, all below 256, and the lengths of the words."""
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    return np.frombuffer("".join(words).encode("latin-1"), dtype=np.uint8), lengths
+
+
+def vectors(data: np.ndarray, lengths: np.ndarray, group_of: np.ndarray) -> np.ndarray:
     """Letters of each group, one row per word."""
-    data = np.frombuffer(b"".join(words), dtype=np.uint8)
-    row = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    counts = np.bincount(row * GROUPS + group_of[data], minlength=len(words) * GROUPS)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    counts = np.bincount(row * GROUPS + group_of[data], minlength=len(lengths) * GROUPS)
     return np.minimum(counts.reshape(-1, GROUPS), (1 << BITS) - 1)
 
 
@@ -115,16 +120,12 @@ def prefix_keys(counts: np.ndarray, depth: int) -> np.ndarray:
     return key | depth
 
 
-def _bytes(words: pa.Array) -> list[bytes]:
-    return [w.encode("latin-1") for w in words.to_pylist()]
-
-
 def heavy_prefixes(words: DataFrame, group_of: np.ndarray, cell_words: int) -> np.ndarray:
     """Prefixes with more than ``cell_words`` words, sorted; at most one in ``cell_words`` words at each depth."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = vectors(_bytes(batch.column(0)), group_of)
+            own = vectors(*letters_of(batch.column(0).to_pylist()), group_of)
             keys = np.concatenate([prefix_keys(own, depth) for depth in range(GROUPS)])
             found, n = np.unique(keys, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["prefix", "n"])
@@ -172,7 +173,7 @@ def asked_under(counts: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def one_apart(a: bytes, b: bytes) -> bool:
+def one_apart(a: str, b: str) -> bool:
     """Whether ``b`` is ``a`` with one letter replaced or one put in."""
     if len(a) == len(b):
         return sum(x != y for x, y in zip(a, b, strict=True)) == 1
@@ -183,19 +184,22 @@ def one_apart(a: bytes, b: bytes) -> bool:
 class Words:
     """Words with their vectors and, for comparison, their letters from either end."""
 
-    def __init__(self, words: list[bytes], n: np.ndarray, group_of: np.ndarray, sort: bool = False) -> None:
-        counts = vectors(words, group_of)
+    def __init__(self, words: list[str], n: np.ndarray, group_of: np.ndarray, sort: bool = False) -> None:
         if sort:
-            order = np.lexsort(counts.T[::-1])
-            words, n, counts = [words[i] for i in order], n[order], counts[order]
-        self.words, self.n, self.counts = words, n, counts
-        self.length = np.array([len(w) for w in words], dtype=np.int64)
-        short = [w if len(w) <= ROW_LENGTH else b"" for w in words]
-        self.left = np.array([w.ljust(ROW_LENGTH, b"\0") for w in short], dtype=f"S{ROW_LENGTH}")
-        self.right = np.array([w[::-1].ljust(ROW_LENGTH, b"\0") for w in short], dtype=f"S{ROW_LENGTH}")
-
-    def rows(self, which: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return which[at].view(np.uint8).reshape(-1, ROW_LENGTH)
+            order = np.lexsort(vectors(*letters_of(words), group_of).T[::-1])
+            words, n = [words[i] for i in order], n[order]
+        data, length = letters_of(words)
+        self.words, self.n, self.length = words, n, length
+        self.counts = vectors(data, length, group_of)
+        # Longer words keep empty rows; they are compared one by one.
+        row = np.repeat(np.arange(len(words)), length)
+        column = np.arange(len(data)) - np.repeat(np.cumsum(length) - length, length)
+        short = (length <= ROW_LENGTH)[row]
+        row, column, data = row[short], column[short], data[short]
+        self.left = np.zeros((len(words), ROW_LENGTH), dtype=np.uint8)
+        self.right = np.zeros((len(words), ROW_LENGTH), dtype=np.uint8)
+        self.left[row, column] = data
+        self.right[row, length[row] - 1 - column] = data
 
 
 def verified(asked: Words, filed: Words, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,15 +208,18 @@ def verified(asked: Words, filed: Words, a: np.ndarray, b: np.ndarray) -> tuple[
     a, b = a[fits], b[fits]
     equal = asked.length[a] == filed.length[b]
     long = filed.length[b] > ROW_LENGTH
-    other = asked.rows(asked.left, a) != filed.rows(filed.left, b)
+    one, two = asked.left[a], filed.left[b]
+    other = one != two
     first = np.where(other.any(axis=1), other.argmax(axis=1), ROW_LENGTH)
-    back = asked.rows(asked.right, a) != filed.rows(filed.right, b)
+    near = equal & (other.sum(axis=1) == 1)
+    put_in = np.flatnonzero(~equal)
+    back = asked.right[a[put_in]] != filed.right[b[put_in]]
     last = np.where(back.any(axis=1), back.argmax(axis=1), ROW_LENGTH)
-    near = np.where(equal, other.sum(axis=1) == 1, first + last >= asked.length[a])
+    near[put_in] = first[put_in] + last >= asked.length[a[put_in]]
+    at = np.minimum(first, ROW_LENGTH - 1)[:, None]
+    smaller = np.take_along_axis(one, at, 1)[:, 0] < np.take_along_axis(two, at, 1)[:, 0]
     for i in np.flatnonzero(long):
         near[i] = one_apart(asked.words[a[i]], filed.words[b[i]])
-    smaller = asked.left[a] < filed.left[b]
-    for i in np.flatnonzero(long & equal & near):
         smaller[i] = asked.words[a[i]] < filed.words[b[i]]
     near &= ~equal | smaller
     return a[near], b[near]
@@ -252,7 +259,7 @@ def _routed(words: DataFrame, sent) -> DataFrame:
         for batch in batches:
             for first in range(0, batch.num_rows, 1 << 14):
                 part = batch.slice(first, 1 << 14)
-                own = vectors(_bytes(part.column(0)), group_of)
+                own = vectors(*letters_of(part.column(0).to_pylist()), group_of)
                 row, prefix = asked_under(own, heavy)
                 for asks, at, key in ((False, np.arange(len(own)), filed_under(own, heavy)), (True, row, prefix)):
                     taken = part.take(pa.array(at))
@@ -295,7 +302,7 @@ def near_pairs(words: DataFrame, cell_words: int = CELL_WORDS, cell_questions: i
 
             def check() -> pa.RecordBatch:
                 a, b = verified(asked, filed, *(np.concatenate(x) for x in zip(*held, strict=True)))
-                one, two = [asked.words[i].decode("latin-1") for i in a], [filed.words[i].decode("latin-1") for i in b]
+                one, two = [asked.words[i] for i in a.tolist()], [filed.words[i] for i in b.tolist()]
                 n, m = asked.n[a], filed.n[b]
                 cells = [one + two, np.concatenate((n, m)), two + one, np.concatenate((m, n))]
                 types = [pa.string(), pa.int64()] * 2
@@ -318,7 +325,7 @@ def near_pairs(words: DataFrame, cell_words: int = CELL_WORDS, cell_questions: i
                 if (prefix[first], cell[first]) != at:
                     at, filed, parts, sizes = (prefix[first], cell[first]), None, [], []
                 own = batch.slice(first, last - first)
-                letters, n = _bytes(own.column(3)), own.column(4).to_numpy()
+                letters, n = own.column(3).to_pylist(), own.column(4).to_numpy()
                 if not asks[first]:
                     parts += letters
                     sizes.append(n)
