@@ -36,7 +36,7 @@ GROUPS, BITS, DEPTH_BITS = 10, 5, 4
 CELL_WORDS, HEAVY_PREFIXES = 1 << 14, 1 << 12
 CELL_QUESTIONS = 1 << 17
 #: Words of a trie node that are compared without going deeper, and candidates verified at once.
-LEAF_WORDS, TOGETHER = 8, 1 << 16
+LEAF_WORDS, TOGETHER = 4, 1 << 16
 #: Words up to this length are compared as rows of bytes, longer ones one by one.
 ROW_LENGTH = 32
 #: Distinct words and their letters that a task counts before it hands them on.
@@ -109,7 +109,7 @@ def vectors(data: np.ndarray, lengths: np.ndarray, group_of: np.ndarray) -> np.n
     """Letters of each group, one row per word."""
     row = np.repeat(np.arange(len(lengths)), lengths)
     counts = np.bincount(row * GROUPS + group_of[data], minlength=len(lengths) * GROUPS)
-    return np.minimum(counts.reshape(-1, GROUPS), (1 << BITS) - 1)
+    return np.minimum(counts.reshape(-1, GROUPS), (1 << BITS) - 1).astype(np.int8)
 
 
 def prefix_keys(counts: np.ndarray, depth: int) -> np.ndarray:
@@ -200,14 +200,17 @@ class Words:
         self.right = np.zeros((len(words), ROW_LENGTH), dtype=np.uint8)
         self.left[row, column] = data
         self.right[row, length[row] - 1 - column] = data
+        # Numbers in the order of the first letters, and sets of the letters as bits (of two letters some share one).
+        self.begin = self.left[:, :8].copy().view(">u8")[:, 0].astype(np.uint64)
+        self.letters = np.bitwise_or.reduce(np.where(self.left > 0, np.uint64(1) << (self.left % 64).astype(np.uint64), np.uint64(0)), axis=1)
 
 
 def verified(asked: Words, filed: Words, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Those candidates that are one letter apart; each pair from its shorter or else smaller word alone."""
-    fits = (filed.length[b] == asked.length[a]) | (filed.length[b] == asked.length[a] + 1)
-    a, b = a[fits], b[fits]
-    equal = asked.length[a] == filed.length[b]
+    more = filed.length[b] - asked.length[a]
+    fits = (more == 1) | ((more == 0) & (asked.begin[a] <= filed.begin[b]))
     long = filed.length[b] > ROW_LENGTH
+    a, b, equal, long = a[fits], b[fits], more[fits] == 0, long[fits]
     one, two = asked.left[a], filed.left[b]
     other = one != two
     first = np.where(other.any(axis=1), other.argmax(axis=1), ROW_LENGTH)
@@ -226,29 +229,60 @@ def verified(asked: Words, filed: Words, a: np.ndarray, b: np.ndarray) -> tuple[
 
 
 def search_trie(filed: Words, asked: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidates by depth-first search: filed words within a surplus and a deficit of one of asked words."""
-    stack = [(0, 0, len(filed.words), np.arange(len(asked.words)), np.zeros(len(asked.words), dtype=np.int64), np.zeros(len(asked.words), dtype=np.int64))]
+    """Candidates by depth-first search: filed words within a surplus and a deficit of one of asked words, none shorter than its asking word."""
+    leaves, size = [], 0
+
+    def compared() -> tuple[np.ndarray, np.ndarray]:
+        who = np.concatenate([leaf for leaf, *_ in leaves])
+        low, high = (np.repeat([leaf[i] for leaf in leaves], [len(leaf[0]) for leaf in leaves]) for i in (1, 2))
+        n = high - low
+        a, b = np.repeat(who, n), np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        # Shorter words find the longer ones, not the other way round.
+        longer = filed.length[b] - asked.length[a]
+        fits = np.flatnonzero((longer == 0) | (longer == 1))
+        a, b = a[fits], b[fits]
+        # One letter apart, sets of letters differ by two letters at most; words without a row have none.
+        alike = (np.bitwise_count(asked.letters[a] ^ filed.letters[b]) <= 2) | (filed.length[b] > ROW_LENGTH)
+        a, b = a[alike], b[alike]
+        gap = filed.counts[b] - asked.counts[a]
+        fits = (np.maximum(gap, 0).sum(axis=1) <= 1) & (np.maximum(-gap, 0).sum(axis=1) <= 1)
+        return a[fits], b[fits]
+
+    by_depth = np.ascontiguousarray(asked.counts.T)
+    unspent = np.zeros(len(asked.words), dtype=bool)
+    stack = [(0, 0, len(filed.words), np.arange(len(asked.words)), unspent, unspent)]
     while stack:
         depth, low, high, who, surplus, deficit = stack.pop()
-        if not len(who):
-            continue
         if depth == GROUPS or high - low <= LEAF_WORDS:
             for first in range(0, len(who), max(1, TOGETHER // (high - low))):
-                some = slice(first, first + max(1, TOGETHER // (high - low)))
-                a, b = np.repeat(who[some], high - low), np.tile(np.arange(low, high), len(who[some]))
-                gap = filed.counts[b, depth:] - asked.counts[a, depth:]
-                more = np.maximum(gap, 0).sum(axis=1) + np.repeat(surplus[some], high - low)
-                less = np.maximum(-gap, 0).sum(axis=1) + np.repeat(deficit[some], high - low)
-                fits = (more <= 1) & (less <= 1)
-                yield a[fits], b[fits]
+                some = who[first : first + max(1, TOGETHER // (high - low))]
+                leaves.append((some, low, high))
+                size += len(some) * (high - low)
+                if size >= TOGETHER:
+                    yield compared()
+                    leaves, size = [], 0
             continue
+        # In order of their own count, the words that a child takes are three slices: with its count, and one less or more if unspent.
+        own = by_depth[depth][who]
+        turn = np.argsort(own, kind="stable")
+        who, surplus, deficit, own = who[turn], surplus[turn], deficit[turn], own[turn]
+        more, less = np.flatnonzero(~surplus), np.flatnonzero(~deficit)
+        steps = np.arange(-1, (1 << BITS) + 2)
+        at, at_more, at_less = (np.searchsorted(x, steps) for x in (own, own[more], own[less]))
         level = filed.counts[low:high, depth]
         begins = np.flatnonzero(np.diff(level, prepend=-1))
-        for first, last in zip(begins, np.append(begins[1:], len(level)), strict=True):
-            gap = level[first] - asked.counts[who, depth]
-            more, less = surplus + np.maximum(gap, 0), deficit + np.maximum(-gap, 0)
-            fits = (more <= 1) & (less <= 1)
-            stack.append((depth + 1, low + int(first), low + int(last), who[fits], more[fits], less[fits]))
+        for first, last in zip(begins.tolist(), [*begins[1:].tolist(), len(level)], strict=True):
+            # Places in ``steps`` are counts plus one.
+            count = int(level[first]) + 1
+            same = slice(at[count], at[count + 1])
+            up, down = more[at_more[count - 1] : at_more[count]], less[at_less[count + 1] : at_less[count + 2]]
+            taken = np.concatenate((who[same], who[up], who[down]))
+            if len(taken):
+                spent_up = np.concatenate((surplus[same], np.ones(len(up), dtype=bool), surplus[down]))
+                spent_down = np.concatenate((deficit[same], deficit[up], np.ones(len(down), dtype=bool)))
+                stack.append((depth + 1, low + first, low + last, taken, spent_up, spent_down))
+    if size:
+        yield compared()
 
 
 def _routed(words: DataFrame, sent) -> DataFrame:
