@@ -29,6 +29,8 @@ from .matching import LINK, WITHIN, without_linked
 MEASURED_CHARACTERS = 512
 # A further occurrence of a character is as rare as one so many places down the list.
 OCCURRENCE_STEP = 6
+# Records of a value that meet its similar values in one place, unless this share of all records is more.
+CELL_ROWS, CELL_SHARE = 1 << 14, 0.001
 
 
 @dataclass(frozen=True)
@@ -223,12 +225,39 @@ def agreeing_values(values: DataFrame, field: Field) -> DataFrame:
     return graded.unionByName(same)
 
 
-def field_agreements(panel: DataFrame, fields: list[Field]) -> dict[str, DataFrame]:
+class Agreements(dict):
+    """Agreeing values by field name; ``cells`` has, by field, the values of very many records and into how many parts these are dealt."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.cells: dict[str, DataFrame] = {}
+
+
+def field_agreements(panel: DataFrame, fields: list[Field]) -> Agreements:
     """Agreeing values of every field over a whole panel, found once for all years."""
-    return {
-        field.name: written(agreeing_values(panel.select(field.name), field), f"agree-{field.name}")
-        for field in fields
-    }
+    found, spark = Agreements(), panel.sparkSession
+    cell = max(CELL_ROWS, math.ceil(CELL_SHARE * panel.count()))
+    for field in fields:
+        found[field.name] = written(agreeing_values(panel.select(field.name), field), f"agree-{field.name}")
+        counted = panel.where(F.col(field.name).isNotNull()).groupBy(F.col(field.name).alias("v")).agg(F.count("*").alias("n"))
+        heavy = counted.where(F.col("n") > cell).select("v", F.ceil(F.col("n") / cell).cast("int").alias("cells"))
+        # Fewer values than 1 / CELL_SHARE, as each has more than that share of the records.
+        rows = heavy.collect()
+        if rows:
+            found.cells[field.name] = spark.createDataFrame(rows, heavy.schema)
+    return found
+
+
+def meet_similar(ours: DataFrame, similar: DataFrame, name: str, cells: DataFrame | None) -> DataFrame:
+    """Join on ``name``, with the rows of a value in ``cells`` dealt over as many places, each with a copy of its similar values."""
+    if cells is None:
+        return ours.join(similar, name)
+    cells = F.broadcast(cells.toDF(name, "__cells"))
+    parts = F.coalesce("__cells", F.lit(1))
+    dealt = ours.join(cells, name, "left").select(*ours.columns, F.pmod(F.xxhash64(*ours.columns), parts).alias("__cell"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))
+    copied = similar.join(cells, name, "left").select(*similar.columns, every.alias("__cell"))
+    return dealt.join(copied, [name, "__cell"]).drop("__cell")
 
 
 # ---------------------------------------------------------------- pattern counts
@@ -266,6 +295,7 @@ class PairCounts:
         self.names = [field.name for field in fields]
         self.within = within
         self.agreements = agreements
+        self.cells = getattr(agreements, "cells", {})
         known = F.col("id") if "id" in left.columns else F.lit(None).cast("long")
         keys = [*within, *self.names]
         self.left = written(
@@ -300,7 +330,7 @@ class PairCounts:
             similar = self.agreements[name].select(
                 F.col("v").alias(name), F.col("w").alias(target[name]), F.col("level").alias(f"level_{name}")
             )
-            ours = ours.join(similar, name)
+            ours = meet_similar(ours, similar, name, self.cells.get(name))
             if i == 1 and len(names) > 2:
                 so_far = [*self.within, *[target[n] for n in names[:2]]]
                 ours = ours.join(present.select(*so_far).distinct(), so_far, "left_semi")
