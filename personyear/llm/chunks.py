@@ -2,8 +2,11 @@
 
 A gear hash rolls over the bytes of a text; a chunk ends before a word where the
 hash of the last 16 bytes falls under a threshold, so boundaries depend on nearby
-content only and an insertion moves none but its own.  Neighbouring chunks are
-taken together until they have enough words, onwards from each chunk and back
+content only and an insertion moves none but its own.  A passage that repeats a few
+words over and over has few different hashes, often none under the threshold; where
+the last words have none, the smallest hash among them ends a chunk, each time it
+comes, so such a passage is cut once a period, at the same words in every copy.
+Neighbouring chunks are taken together until they have enough words, onwards from each chunk and back
 from each, and such a stretch carries a digest of its chunks.  The first copy of a
 digest, by id and place, stays; later copies are cut from the text.
 
@@ -11,6 +14,9 @@ So all chunks of a stretch stood together in one earlier place.  A run of chunks
 with enough words that stands in an earlier place is the union of its stretches:
 those onwards from its first chunk and back from each later one lie inside it.
 
+Words are what stands between blanks: a text without blanks is one word, and
+nothing inside it is found.
+
 Digests are compared as 64-bit hashes.
 """
 
@@ -30,6 +36,8 @@ from personyear.session import written
 GEAR_BYTES = 16
 #: One word in so many begins a chunk.
 CHUNK_WORDS = 4
+#: Where so many words together begin no chunk, one with the smallest hash among them does.
+CALM_WORDS = 12
 #: Shortest run of repeats that is cut.
 LEAST_WORDS = 20
 #: Digests that one task compares before it hands them on.
@@ -44,6 +52,16 @@ def _gear() -> np.ndarray:
     return (hashing.odd_constants(256, 77) >> np.uint64(20)).astype(np.uint32)
 
 
+def _smallest(values: np.ndarray, count: int) -> np.ndarray:
+    """The smallest of each value and the ``count - 1`` before it, fewer at the beginning."""
+    found, reach = values.copy(), 1
+    while reach < count:
+        step = min(reach, count - reach)
+        found[step:] = np.minimum(found[step:], found[:-step])
+        reach += step
+    return found
+
+
 def _chunks(piece: hashing.Piece, gear: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per chunk: row, index of its first word, and digest of its words with the blanks between them."""
     starts, row = piece.starts, piece.row
@@ -52,7 +70,11 @@ def _chunks(piece: hashing.Piece, gear: np.ndarray) -> tuple[np.ndarray, np.ndar
     for back in range(1, GEAR_BYTES + 1):
         at = starts - back
         rolled += np.where(at >= begin, gear[piece.data[np.maximum(at, 0)]] << np.uint32(back - 1), np.uint32(0))
-    cut = (rolled & np.uint32(0xFFFF)) < np.uint32(0x10000 // CHUNK_WORDS)
+    low = rolled & np.uint32(0xFFFF)
+    cut = low < np.uint32(0x10000 // CHUNK_WORDS)
+    smallest = _smallest(low, CALM_WORDS)
+    inside = np.arange(len(starts)) - hashing.first_words(piece.counts())[row] >= CALM_WORDS - 1
+    cut |= inside & (low == smallest)
     if len(cut):
         cut[0] = True
         cut[1:] |= row[1:] != row[:-1]

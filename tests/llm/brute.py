@@ -64,16 +64,18 @@ def contamination(rows, items, window=10):
     return found
 
 
-def chunk_bounds(text, gear, gear_bytes, chunk_words):
+def chunk_bounds(text, gear, gear_bytes, chunk_words, calm_words=12):
     """Byte ranges of the chunks of a text, rolling over one byte at a time."""
     data = text.encode()
     words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
-    bounds = []
+    bounds, seen = [], []
     for number, (start, end) in enumerate(words):
         rolled = 0
         for byte in data[max(0, start - gear_bytes) : start]:
             rolled = (rolled * 2 + gear[byte]) % (1 << 32)
-        if number == 0 or (rolled & 0xFFFF) < 0x10000 // chunk_words:
+        seen.append(rolled & 0xFFFF)
+        calm = number + 1 >= calm_words and seen[-1] == min(seen[-calm_words:])
+        if number == 0 or seen[-1] < 0x10000 // chunk_words or calm:
             bounds.append([number, start, end])
         bounds[-1][2] = end
     return words, bounds

@@ -2,7 +2,9 @@
 
 import random
 
-from personyear.llm.chunks import _gear, repeated_passages
+import numpy as np
+
+from personyear.llm.chunks import _gear, _smallest, repeated_passages
 from tests.llm import brute
 from tests.llm.conftest import SCHEMA, words_of
 
@@ -65,3 +67,31 @@ def test_repeats_in_a_small_vocabulary_match_all_pairs(spark):
     assert 0 < sum(r[3] for r in expected) < sum(r[3] for r in brute.repeated(rows, GEAR))
     assert _found(spark, rows) == expected
     assert _found(spark, rows, 1) == expected
+
+
+def test_periodic_passages_are_found(spark):
+    """Passages of a few words over and over, in two documents each with text of its own around."""
+    rng = random.Random(23)
+    rows, sizes = [], {}
+    for period in (1, 2, 3, 4, 5, 6, 7, 8, 10, 12):
+        for number in range(40):
+            size = 60 + rng.randint(0, 20)
+            passage = (words_of(rng, period) * size)[:size]
+            for copy in range(2):
+                key = 10_000 * copy + 100 * period + number
+                rows.append((key, " ".join([*words_of(rng, rng.randint(5, 40)), *passage, *words_of(rng, rng.randint(5, 40))])))
+            sizes[key] = (period, size)
+    found = _found(spark, rows)
+    assert found == sorted(brute.together(rows, GEAR))
+    removed = {k: n for k, _, _, n in found}
+    for period in sorted({p for p, _ in sizes.values()}):
+        caught = [removed[k] >= 20 for k, (p, _) in sizes.items() if p == period]
+        assert sum(caught) >= 0.9 * len(caught), (period, sum(caught))
+    # What stands around them stays.
+    assert all(removed[k] <= size for k, (_, size) in sizes.items())
+
+
+def test_smallest_of_the_words_before():
+    values = np.array([5, 3, 9, 9, 9, 1, 7], dtype=np.uint32)
+    for count in range(1, 9):
+        assert list(_smallest(values, count)) == [min(values[max(0, i - count + 1) : i + 1]) for i in range(len(values))]
