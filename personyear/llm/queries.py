@@ -28,8 +28,8 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
-    calls, results = tool_calls.calls_and_results(_table(spark, folder, "conversations"))
-    linked = tool_calls.link_tool_calls(calls, results, tool_calls.SCHEMAS)
+    calls, results, others = tool_calls.calls_and_results(_table(spark, folder, "conversations"))
+    linked = tool_calls.link_tool_calls(calls, results, tool_calls.SCHEMAS, others)
     return linked.withColumn("errors", F.array_join("errors", "; "))
 
 

@@ -164,6 +164,10 @@ rows_ AS (
     SELECT conv_id, call_id, turn, NULL, 'orphan', NULL, '', 0,
            '{"id":"' || call_id || '","result":' || to_json(output) || ',"status":"orphan"}', 2147483647
     FROM results r WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = r.conv_id AND c.call_id = r.call_id)
+    UNION ALL
+    SELECT conv_id, NULL, turn, NULL, 'message', NULL, '', 0,
+           '{' || concat_ws(',', '"role":' || to_json(role), '"status":"message"', '"text":' || to_json(text)) || '}', 2147483648
+    FROM conversations WHERE coalesce(role NOT IN ('assistant', 'user'), true)
 )
 SELECT conv_id, call_id, turn, name, status, level, errors, n_results, json,
        row_number() OVER (PARTITION BY conv_id ORDER BY rank, turn, call_id, json) - 1 AS position

@@ -101,18 +101,22 @@ def levels(calls: DataFrame) -> DataFrame:
     return found.join(unknown, "key", "left").select("key", "level", F.coalesce("unknown", F.lit(False)).alias("unknown"))
 
 
-def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, dict[str, Any]]]) -> DataFrame:
-    """One row per call and per result without a call, in topological order of its conversation.
+def link_tool_calls(
+    calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, dict[str, Any]]], others: DataFrame | None = None
+) -> DataFrame:
+    """One row per call, per result without a call and per other message, in topological order of its conversation.
 
     ``calls`` has ``conv_id, turn, call_id, name, arguments`` (JSON text) and
-    ``depends_on`` (call ids); ``results`` has ``conv_id, turn, call_id, output``.
+    ``depends_on`` (call ids); ``results`` has ``conv_id, turn, call_id, output``;
+    ``others``, messages that are neither, has ``conv_id, turn, role, text``.
     Other columns are not read.
 
     Returned: ``conv_id, call_id, turn, name, status, level, position, errors,
     n_results, json``.  ``status`` is ``answered``, ``unanswered``, ``cycle`` (the
-    call is on or behind a cycle of dependencies) or ``orphan`` (a result without a
-    call).  ``position`` counts a conversation's rows by level (cycles, then
-    orphans, last), turn and id, from 0.  Of several results the first by turn and
+    call is on or behind a cycle of dependencies), ``orphan`` (a result without a
+    call) or ``message`` (one of ``others``, with its role and text as ``json``).
+    ``position`` counts a conversation's rows by level (cycles, then orphans, then
+    messages, last), turn and id, from 0.  Of several results the first by turn and
     output is the answer.  Calls that share an id share level and answer.  A call
     without id has no result and nothing waits for it; a result without id is an
     orphan.  Conversations without id are one conversation.
@@ -157,9 +161,22 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
         F.to_json(F.struct(F.col("call_id").alias("id"), F.col("output").alias("result"), F.lit("orphan").alias("status"))).alias("json"),
     )
     every = rows.unionByName(orphans)
+    if others is not None:
+        every = every.unionByName(
+            others.select(
+                "conv_id", F.lit(None).cast("string").alias("call_id"), F.col("turn").cast("long").alias("turn"),
+                F.lit(None).cast("string").alias("name"),
+                F.lit("message").alias("status"),
+                F.lit(None).cast("int").alias("level"),
+                F.array().cast("array<string>").alias("errors"),
+                F.lit(0).cast("long").alias("n_results"),
+                F.to_json(F.struct("role", F.lit("message").alias("status"), "text")).alias("json"),
+            )
+        )
     # Conversations of any size: positions come from a running count over ranges of the order.
     group = F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))
-    last = F.when(F.col("status") == "orphan", F.lit(2**31 - 1)).otherwise(F.coalesce("level", F.lit(2**31 - 2)))
+    behind = F.when(F.col("status") == "message", 2).when(F.col("status") == "orphan", 1).otherwise(0)
+    last = F.when(behind > 0, F.lit(2**31 - 2) + behind.cast("long")).otherwise(F.coalesce("level", F.lit(2**31 - 2)))
     every = written(every.withColumns({"group": group, "rank": last}), "linked")
     # Equal rows need an order too; any will do, as they are equal.
     every = every.withColumn("row", F.monotonically_increasing_id())
@@ -172,9 +189,11 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     )
 
 
-def calls_and_results(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def calls_and_results(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Tool traffic derived from plain conversations: assistant turns are calls, user turns the results of the turn before.
 
+    Messages of any other role, or of none, are the third table.
+
     The tool and its arguments follow from turn, length and text, so some arguments
     break their schema, some calls have no result and some results no call.  A call
     depends on the one at half its turn, if it is not the same.
@@ -197,7 +216,8 @@ def calls_and_results(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     results = messages.where("role = 'user'").select(
         "conv_id", "turn", call_id(F.col("turn") - 1).alias("call_id"), F.col("text").alias("output")
     )
-    return calls, results
+    known = F.coalesce(F.col("role").isin("assistant", "user"), F.lit(False))
+    return calls, results, messages.where(~known).select("conv_id", "turn", "role", "text")
 
 
 #: Schemas of the derived tools.

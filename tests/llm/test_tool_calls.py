@@ -86,3 +86,27 @@ def test_long_conversation_and_plan(spark):
     assert all(r.level == r.turn.bit_length() - 1 for r in rows)
     plan = linked._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_other_messages_stay(spark):
+    names = "conv_id long, turn long, role string, text string, level int"
+    others = spark.createDataFrame([(1, 0, "system", 'say "a"', 7), (1, 9, None, None, 7), (None, None, "", "", 7), (2, 1, "tool", "x" * 200_000, 7)], names)
+    calls = spark.createDataFrame([(1, 1, "a", "add", '{"a":1}', [], None)], CALLS)
+    results = spark.createDataFrame([(1, 5, "z", "lost", None)], RESULTS)
+    rows = tool_calls.link_tool_calls(calls, results, SCHEMAS, others).collect()
+    assert [(r.status, r.turn) for r in sorted(rows, key=lambda r: r.position) if r.conv_id == 1] == [
+        ("unanswered", 1), ("orphan", 5), ("message", 0), ("message", 9),
+    ]
+    found = {(r.conv_id, r.turn): r for r in rows if r.status == "message"}
+    assert found[1, 0].json == '{"role":"system","status":"message","text":"say \\"a\\""}'
+    assert found[1, 9].json == '{"status":"message"}'
+    assert found[None, None].json == '{"role":"","status":"message","text":""}'
+    assert len(json.loads(found[2, 1].json)["text"]) == 200_000
+    assert all((r.level, r.call_id, r.errors, r.n_results) == (None, None, [], 0) for r in found.values())
+
+
+def test_every_message_of_a_table_enters(spark):
+    names = "conv_id long, turn long, role string, text string"
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (1, 3, None, None), (1, 4, "tool", "t")]
+    parts = tool_calls.calls_and_results(spark.createDataFrame(rows, names))
+    assert [p.count() for p in parts] == [1, 1, 3]
