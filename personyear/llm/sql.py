@@ -158,7 +158,7 @@ rows_ AS (
                ELSE '{"body":' || to_json(text) || ',"pinned":' || (size % 2 = 0) || '}' END
            || ',"depends_on":[' || coalesce('"call_' || half || '"', '') || '],"id":"' || call_id || '","name":"' || name || '"'
            || coalesce(',"result":' || to_json(answer.output), '') || ',"status":"' || status || '"}' AS json,
-           level AS rank
+           level::BIGINT AS rank
     FROM checked
     UNION ALL
     SELECT conv_id, call_id, turn, NULL, 'orphan', NULL, '', 0,
