@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from personyear.operators.ranks import running_before
 from personyear.plans import fixed_values as v
 from personyear.plans import states
-from personyear.session import written
+from personyear.session import new_folder, written
 
 from .panels import order_years, table, tidy, with_sql
 
@@ -401,34 +401,89 @@ def state_mi(spark, folder):
 
 WI_CODES, WI_POSITIONS = ("53", "09", "88"), ("53 - Teacher", "88 - Aide")
 WI_RACES, WI_NEW_RACES = ("W", "A", "?"), ("W - White", "H - Hispanic/Latino", "Two or More Races")
+#: The years of the tables stand for one year of each layout: five of fixed width, a spreadsheet, a CSV file.
+WI_YEARS = (1995, 1999, 2004, 2008, 2013, 2016, 2018)
+#: Two-digit first year of a layout, its header of sex, race, degree, pay, fringe, agency and school.
+WI_HEADERS = {
+    95: ("Sex", "Race", "Highest Degree", "Salary", "Fringe", "Agency of Work Location", "School of Work Location"),
+    99: ("Sex/Gender", "Race/Primary Ethnic Origin", "Highest Degree", "Salary", "Fringe", "Agency of Work Location", "School of Work Location"),
+    4: ("Sex/Gender", "Race/Primary Ethnic Origin", "Highest Degree", "Salary", "Fringe", "Agency of Work Location", "School of Work Location"),
+    8: ("Sex/Gender", "Race/Primary Ethnic Origin", "Highest Degree", "Salary", "Fringe", "Agency of Work Location", "School of Work Location"),
+    12: ("Gender", "Race/Ethnicity", "Highest Degree Code", "Total Salary", "Total Fringe - Employee Benefits", "Agency of Work Location Code",
+         "School of Work Location Code"),
+}
+
+
+def _wi_formats() -> list[tuple[int, str, int, int]]:
+    """The documented layouts: two-digit year, variable, start, length."""
+    rows = []
+    for era, (sex, race, degree, pay, fringe, agency, school) in WI_HEADERS.items():
+        fields = [
+            ("ID Number", 9), ("Year and Session", 5), ("Last Name", 20), ("Name First", 20), ("Birth Year", 4), (sex, 1), (race, 1),
+            (degree, 1), (pay, 12), (fringe, 12), ("Local Experience in Education", 5), ("Total Experience in Education", 5),
+            ("Filler", 36), ("Filler", 15), ("Position Code", 2), (agency, 4), (school, 4),
+        ]
+        begin = 1
+        for variable, length in fields:
+            rows.append((era, variable, begin, length))
+            begin += length
+    return rows
+
+
+def _wi_text(spark: SparkSession, rows: DataFrame) -> dict[int, str]:
+    """Fixed-width files by year, as they come: a quote leads the lines of the last era, and one filler is shorter than documented."""
+    padded = lambda column, length: F.rpad(F.coalesce(column, F.lit("")), length, " ")
+    line = F.concat(
+        F.when(F.col("y") >= 2012, '"').otherwise(""), padded(F.col("person"), 9), padded(F.concat(F.col("y").cast("string"), F.lit("A")), 5),
+        padded(F.upper("last"), 20), padded(F.upper("first"), 20), F.lit("1960"), F.col("sex"), F.col("race"), F.col("degree"),
+        padded(F.col("pay"), 12), padded(F.col("fringe"), 12), padded(F.col("local_years"), 5), padded(F.col("total_years"), 5),
+        F.repeat(F.lit(" "), F.lit(36)), F.repeat(F.lit(" "), F.when(F.col("y").between(2004, 2007), 14).otherwise(15)),
+        F.col("code"), F.col("place"), F.col("school"),
+    )
+    path = new_folder(spark, "staff")
+    rows.select("y", line.alias("value")).write.partitionBy("y").text(path)
+    return {r.y: f"{path}/y={r.y}" for r in rows.select("y").distinct().collect()}
 
 
 def state_wi(spark, folder):
-    """A fixed-width vintage and a late one with headers of its own, whose years are moved to where it holds."""
-    records, key = _records(spark, folder), F.col("o_orderkey")
-    pay = F.concat(F.lit("$"), F.format_number("o_totalprice", 2))
-    place = F.lpad(F.col("n_nationkey").cast("string"), 4, "0")
+    """The fixed-width files of all five layouts, a spreadsheet's and a CSV file's headers, whose years are moved to where each holds."""
+    key = F.col("o_orderkey")
     person = F.col("o_custkey").cast("string")
-    old = records.where("year < 2000").select(
-        F.concat(F.col("year").cast("string"), F.lit("A")).alias("year_and_session"), F.upper("last").alias("last_name"),
-        F.upper("first").alias("name_first"), F.lit("1960").alias("birth_year"), person.alias("id_number"),
-        _choose(key, "F", "M").alias("sex"), _choose(key, "F", "M").alias("sexgender"),
-        _choose(F.col("p_size"), *WI_RACES).alias("race"), _choose(F.col("p_size"), *WI_RACES).alias("raceprimary_ethnic_origin"),
-        _choose(F.col("p_size"), "4", "5", "9").alias("highest_degree"), pay.alias("salary"),
-        _choose(key, *WI_CODES).alias("position_code"), place.alias("agency_of_work_location"),
+    rows = _records(spark, folder).select(
+        F.element_at(F.array(*[F.lit(y) for y in WI_YEARS]), (F.pmod(F.col("year") - 1995, F.lit(len(WI_YEARS))) + 1).cast("int")).alias("y"),
+        "first", "last", "n_name", person.alias("person"),
+        F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("pay"), (key % 1000).cast("string").alias("fringe"),
+        F.col("p_size").cast("string").alias("local_years"), (F.col("p_size") + key % 3).cast("string").alias("total_years"),
+        _choose(key, "F", "M").alias("sex"), _choose(F.col("p_size"), *WI_RACES).alias("race"),
+        _choose(F.col("p_size"), *WI_NEW_RACES).alias("new_race"), _choose(F.col("p_size"), "4", "5", "9").alias("degree"),
+        _choose(F.col("p_size"), "4 - Bachelor", "5 - Masters").alias("new_degree"), _choose(key, *WI_CODES).alias("code"),
+        _choose(key, *WI_POSITIONS).alias("title"), F.lpad(F.col("n_nationkey").cast("string"), 4, "0").alias("place"),
+        F.lpad((F.col("o_custkey") % 97).cast("string"), 4, "0").alias("school"),
     )
-    new = records.where("year >= 2000").select(
-        (F.col("year") + 17).alias("year"), F.initcap("last").alias("last_name"), F.initcap("first").alias("name_first"),
-        F.lit("1970").alias("birth_year"), person.alias("research_id"), F.concat(F.lit("e"), person).alias("entity_id"),
-        _choose(key, "F", "M").alias("gender"), _choose(F.col("p_size"), *WI_NEW_RACES).alias("raceethnicity"),
-        _choose(F.col("p_size"), "4 - Bachelor", "5 - Masters").alias("contract_high_degree"), pay.alias("total_salary"),
-        _choose(key, *WI_POSITIONS).alias("assignment_position"), F.concat(place, F.lit(" - "), "n_name").alias("assignment_work_agency"),
+    rows = written(rows, "wi-records")
+    text = states.read_wi_text(spark, _wi_text(spark, rows.where("y < 2015")), _wi_formats())
+    sheet = rows.where("y between 2015 and 2016").select(
+        F.col("y").alias("year"), F.upper("last").alias("last_name"), F.upper("first").alias("name_first"), F.lit("1960").alias("birth_year"),
+        F.col("person").alias("id_nbr"), F.concat(F.lit("f"), "person").alias("file_number"), F.col("sex").alias("gndr"),
+        F.col("race").alias("raceethn"), F.col("degree").alias("high_degree"), F.col("pay").alias("tot_salary"),
+        F.col("fringe").alias("tot_fringe"), F.col("local_years").alias("local_exp"), F.col("total_years").alias("total_exp"),
+        F.col("code").alias("position_cd"), F.col("place").alias("work_agncy_cd"), F.col("school").alias("school_cd"),
+    )
+    late = rows.where("y >= 2017").select(
+        F.col("y").alias("year"), F.initcap("last").alias("last_name"), F.initcap("first").alias("name_first"),
+        F.lit("1970").alias("birth_year"), F.col("person").alias("research_id"), F.concat(F.lit("e"), "person").alias("entity_id"),
+        F.col("sex").alias("gender"), F.col("new_race").alias("raceethnicity"), F.col("new_degree").alias("contract_high_degree"),
+        F.col("pay").alias("total_salary"), F.col("fringe").alias("total_fringe"), F.col("local_years").alias("contract_local_experience"),
+        F.col("total_years").alias("contract_total_experience"), F.col("title").alias("assignment_position"),
+        F.concat("place", F.lit(" - "), "n_name").alias("assignment_work_agency"),
+        F.concat("school", F.lit(" - school")).alias("assignment_work_school"),
     )
     # The code list is made of the codes in use.
-    used = old.select(F.regexp_replace("position_code", "^0", "").alias("Code")).distinct()
+    used = rows.where("y < 2017").select(F.regexp_replace("code", "^0", "").alias("Code")).distinct()
     codes = used.select(F.lit("position_code").alias("Variable"), "Code", F.concat(F.lit("Title "), "Code").alias("Description"))
+    place = F.lpad(F.col("n_nationkey").cast("string"), 4, "0")
     dim = _dim(spark, folder, "WI", F.initcap("n_name"), place).where("NCES_leaid like '%a'")
-    return tidy(states.clean_wi({"old": states.wi_fixed_width_year(old), "new": new}, codes, dim))
+    return tidy(states.clean_wi({"text": text, "sheet": sheet, "late": late}, codes, dim))
 
 
 QUERIES = {
@@ -578,18 +633,21 @@ long AS (SELECT CAST(o_custkey AS VARCHAR) AS deid, year, first, last, place, c_
 FROM long LEFT JOIN known ON known.NCES_name = CASE WHEN c_nationkey % 2 = 0 THEN place || ' PUBLIC' ELSE place END"""),
     "state_wi": with_sql(
         RECORDS_SQL, f"""
-k AS (SELECT *, year < 2000 AS old, CASE WHEN year < 2000 THEN year ELSE year + 17 END AS y,
-    CASE WHEN year < 2000 THEN {_choose_sql("o_orderkey", *WI_CODES)} ELSE {_choose_sql("o_orderkey", "53", "88")} END AS code,
-    lpad(CAST(c_nationkey AS VARCHAR), 4, '0') AS local FROM r
+k AS (SELECT * REPLACE ([{", ".join(map(str, WI_YEARS))}][(year - 1995) % {len(WI_YEARS)} + 1] AS year),
+    lpad(CAST(c_nationkey AS VARCHAR), 4, '0') AS local FROM r)""", f"""
+best AS (SELECT *, CASE WHEN year < 2017 THEN {_choose_sql("o_orderkey", *WI_CODES)} ELSE {_choose_sql("o_orderkey", "53", "88")} END AS code FROM k
   QUALIFY row_number() OVER (PARTITION BY o_custkey, year ORDER BY o_totalprice DESC) = 1)""",
-        select=f"""SELECT y AS year, lower(last) AS name_last, lower(first) AS name_first, CASE WHEN old THEN '1960' ELSE '1970' END AS birth_year,
-  {_choose_sql("o_orderkey", "F", "M")} AS gender, CASE WHEN old THEN {_choose_sql("p_size", "4", "5", "9")} ELSE {_choose_sql("p_size", "4", "5")} END AS degree,
-  round(o_totalprice, 2) AS salary, NULL::DOUBLE AS salary_fringe, NULL AS experience_local, NULL AS experience_total, code AS position_code,
-  CASE WHEN code <> '88' THEN 'Title ' || ltrim(code, '0') END AS position_title, local AS localid, NULL AS school_id,
-  CASE WHEN NOT old THEN 'e' || o_custkey END AS source_id, CAST(o_custkey AS VARCHAR) AS other_id,
-  CASE WHEN old THEN (['White', 'Asian', NULL])[p_size % 3 + 1] ELSE (['White', 'Hispanic', 'TwoOrMore'])[p_size % 3 + 1] END AS race,
-  CASE WHEN old THEN (['Bachelor', 'Masters', NULL])[p_size % 3 + 1] ELSE (['Bachelor', 'Masters'])[p_size % 2 + 1] END AS degree_title,
+        select=f"""SELECT CAST(year AS BIGINT) AS year, lower(last) AS name_last, lower(first) AS name_first,
+  CASE WHEN year < 2017 THEN '1960' ELSE '1970' END AS birth_year, {_choose_sql("o_orderkey", "F", "M")} AS gender,
+  CASE WHEN year < 2017 THEN {_choose_sql("p_size", "4", "5", "9")} ELSE {_choose_sql("p_size", "4", "5")} END AS degree,
+  round(o_totalprice, 2) AS salary, CAST(o_orderkey % 1000 AS DOUBLE) AS salary_fringe, CAST(p_size AS VARCHAR) AS experience_local,
+  CAST(p_size + o_orderkey % 3 AS VARCHAR) AS experience_total, code AS position_code,
+  CASE WHEN code <> '88' THEN 'Title ' || ltrim(code, '0') END AS position_title, local AS localid,
+  lpad(CAST(o_custkey % 97 AS VARCHAR), 4, '0') AS school_id,
+  CASE WHEN year >= 2017 THEN 'e' || o_custkey WHEN year >= 2015 THEN 'f' || o_custkey END AS source_id, CAST(o_custkey AS VARCHAR) AS other_id,
+  CASE WHEN year < 2017 THEN (['White', 'Asian', NULL])[p_size % 3 + 1] ELSE (['White', 'Hispanic', 'TwoOrMore'])[p_size % 3 + 1] END AS race,
+  CASE WHEN year < 2017 THEN (['Bachelor', 'Masters', NULL])[p_size % 3 + 1] ELSE (['Bachelor', 'Masters'])[p_size % 2 + 1] END AS degree_title,
   code = '53' AS teacher, CASE WHEN c_nationkey % 5 <> 4 THEN place END AS NCES_name,
   CASE WHEN c_nationkey % 5 <> 4 THEN lpad(CAST(c_nationkey AS VARCHAR), 6, '0') || 'a' END AS NCES_leaid, 'WI' AS state,
-  '{v.SOURCES["WI"]}' AS source FROM k"""),
+  '{v.SOURCES["WI"]}' AS source FROM best"""),
 }

@@ -76,6 +76,8 @@ WI_DEGREE_CODES = {
     "Other": ["8"],
 }
 WI_CHANGED_POSITION_CODES = ["88", "92"]
+#: Lengths that the layouts of a (two-digit year, start) give wrongly: a quote leads the line; a filler is shorter.
+WI_CORRECTED_LENGTHS = {(12, 1): 10, (4, 132): 14}
 NY_BAD_YEARS = [2008, 2009]
 
 # ---- spellings of district names

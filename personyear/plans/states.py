@@ -6,7 +6,9 @@ the district reference table, and returns records in the common schema.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import keyword_flag, lacks_pattern, member, mentions, not_member
@@ -36,6 +38,7 @@ from ..operators.reshape import unpivot_aliases, unpivot_years
 from ..operators.sets import union_labeled
 from ..operators.windows import group_index
 from ..session import measured
+from ..sources.fixed_width import Slot, layout, read_fixed_width
 from . import fixed_values as v
 from .standardize import Collapse, District, SourceSpec, standardize
 
@@ -600,6 +603,31 @@ def _wi_choices(df: DataFrame) -> dict[str, Column]:
     }
 
 
+def wi_layouts(formats: list[tuple[int, str, int, int]]) -> dict[int, list[Slot]]:
+    """Layout of each era by its first year, from the documented ``(two-digit year, variable, start, length)``.
+
+    Fields stand one after another in the order of their starts, so a corrected
+    length moves those behind it.
+    """
+    eras: dict[int, list[tuple[str, int, int]]] = {}
+    for era, variable, start, length in sorted(formats, key=lambda row: (row[0], row[2])):
+        year = era + (1900 if era > 50 else 2000)
+        fields = eras.setdefault(year, [])
+        begin = fields[-1][1] + fields[-1][2] if fields else 1
+        fields.append((variable, begin, v.WI_CORRECTED_LENGTHS.get((era, start), length)))
+    return {year: layout(fields) for year, fields in eras.items()}
+
+
+def read_wi_text(spark: SparkSession, files: dict[int, str], formats: list[tuple[int, str, int, int]]) -> DataFrame:
+    """The fixed-width files by year as one source; a file has the layout of the last era that began by its year."""
+    layouts = wi_layouts(formats)
+    by_era: dict[int, list[str]] = {}
+    for year, path in sorted(files.items()):
+        by_era.setdefault(max(first for first in layouts if first <= year), []).append(path)
+    read = [read_fixed_width(spark, paths, layouts[era]) for era, paths in by_era.items()]
+    return wi_fixed_width_year(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read))
+
+
 def wi_fixed_width_year(df: DataFrame) -> DataFrame:
     """Year of the fixed-width files; those of 2012 to 2014 have a quote before the id."""
     dated = df.withColumn("year", F.substring("year_and_session", 1, 4).try_cast("int"))

@@ -215,6 +215,32 @@ def test_wi(spark):
     assert (rows["bo"].salary, rows["bo"].localid, rows["bo"].position_title, rows["bo"].race, rows["bo"].source_id) == (1000.0, "0009", "Teacher", "Hispanic", "e8")
 
 
+def test_wi_layouts_follow_corrected_lengths(spark, tmp_path):
+    fields = [("ID Number", 4), ("Year and Session", 5), ("Filler", 122), ("Filler", 15), ("Position Code", 2), ("Salary", 6)]
+    formats = []
+    for era in (95, 99, 4, 8, 12):
+        begin = 1
+        for variable, length in fields:
+            formats.append((era, variable, begin, 9 if (era, begin) == (12, 1) else length))
+            begin += length
+    found = states.wi_layouts(formats)
+    assert sorted(found) == [1995, 1999, 2004, 2008, 2012]
+    assert [(s.variable, s.start, s.length) for s in found[2004][2:]] == [
+        ("filler", 10, 122), ("filler.1", 132, 14), ("position_code", 146, 2), ("salary", 148, None),
+    ]
+    assert [(s.start, s.length) for s in found[2012][:2]] == [(1, 10), (11, 5)]
+    files = {}
+    for year, quote, gap in ((1998, "", 137), (2003, "", 137), (2007, "", 136), (2011, "", 137), (2014, '"', 137)):
+        size = 9 if year > 2011 else 4
+        files[year] = str(tmp_path / f"{year}.txt")
+        lines = [f"{quote}{who:{size}}{year}A{' ' * gap}53{pay}" for who, pay in (("7", "100"), ("8", "  2500.75"))]
+        (tmp_path / f"{year}.txt").write_text("\n".join(lines) + "\n")
+    rows = states.read_wi_text(spark, files, formats).collect()
+    assert sorted((r.year, r.id_number, r.position_code, r.salary) for r in rows) == [
+        (year, who, "53", pay) for year in sorted(files) for who, pay in (("7", "100"), ("8", "2500.75"))
+    ]
+
+
 def test_compile_links_and_guard(spark):
     names = "state string, year int, source_id string, index long"
     original = spark.createDataFrame([("OK", 2010, "12", 1), ("ND", 2010, "9", 2), ("IL", 2010, None, 3)], names)
