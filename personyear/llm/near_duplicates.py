@@ -30,12 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from personyear.llm import hashing
 from personyear.llm.components import components
-from personyear.session import written
+from personyear.session import discard, written
 
 WORDS = 5
 PERMUTATIONS = 96
@@ -46,6 +46,8 @@ REACH = 4
 #: Counters of shingles, by the low bits of the hash; written by the task in rows of so many.
 COUNTER_BITS = 20
 COUNTER_ROW = 1 << 14
+#: Bits of the table of marked ids that every task holds, by the hash of the id.
+MARK_BITS = 24
 
 
 def _shingles(piece: hashing.Piece, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -347,6 +349,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id, so exact copies cost one row.  Pairs with the first of a region are
     confirmed first; of the others only those that would join two components.  The
     exact join then adds the pairs between components that the forest has missed.
+    Texts are shuffled only where a pair or a component needs them; intermediate
+    tables are deleted once the next ones are written.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = written(signatures(docs, "id", "text", words), "signatures")
@@ -367,20 +371,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .join(grouped.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
         .where("coalesce(ca, a) <> coalesce(cb, b)")
     )
-    more = confirmed(written(rest.select("a", "b"), "other-pairs"), texts, "id", "text", percent, words)
+    other = written(rest.select("a", "b"), "other-pairs")
+    more = confirmed(other, texts, "id", "text", percent, words)
     pointed = written(
         known.join(points.select("set_key", F.col("id").alias("point")), "set_key", "left").select("id", "n_shingles", "point"),
         "pointed",
     )
     links = grouped.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more).union(_shared_ids(pointed))
     met = written(components(links), "met")
-    grouped_points = points.select("id").distinct().join(met.withColumnRenamed("node", "id"), "id", "left")
-    grouped_points = grouped_points.select("id", F.coalesce("component", "id").alias("component"))
-    early = written(
-        early_pairs(docs.join(grouped_points.hint("merge"), "id"), _frequencies(docs, words), percent, words), "early-pairs"
-    )
-    missed = confirmed(early, written(_texts_of(early, docs), "early-texts"), "id", "text", percent, words)
+    for done in (known, pairs, texts, grouped, other):
+        discard(done)
+    early = written(early_pairs(_with_components(docs, points, pointed, met), _frequencies(docs, words), percent, words), "early-pairs")
+    texts = written(_texts_of(early, docs), "early-texts")
+    missed = confirmed(early, texts, "id", "text", percent, words)
     groups = written(components(met.select(F.col("component").alias("a"), F.col("node").alias("b")).union(missed)), "groups")
+    for done in (points, met, early, texts):
+        discard(done)
     return (
         pointed.join(groups.withColumnRenamed("node", "point"), "point", "left")
         .withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component", "point", "id")))
@@ -393,11 +399,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` with ``marked``: true for every id in ``ids``, and for few others.
+
+    A table of ``2^MARK_BITS`` bits by the hash of the id is broadcast, so rows can be
+    kept from a shuffle without moving them.  Of very many ids it tells fewer apart.
+    """
+
+    def place() -> Column:
+        return F.pmod(F.xxhash64("id"), F.lit(1 << MARK_BITS))
+
+    lines = ids.groupBy(F.bitmap_bucket_number(place()).alias("line")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place())).alias("bits"))
+    joined = docs.withColumn("line", F.bitmap_bucket_number(place())).join(F.broadcast(lines), "line", "left")
+    at = F.bitmap_bit_position(place())
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return joined.withColumn("marked", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("line", "bits")
+
+
+def _with_components(docs: DataFrame, points: DataFrame, pointed: DataFrame, met: DataFrame) -> DataFrame:
+    """``id, component, text`` of the rows whose id names a point.
+
+    Most texts are a point without links, which is its own component, and stay where
+    they are; the others, and the few marked with them, are joined with theirs.
+    """
+    own = met.select(F.col("node").alias("id")).union(pointed.where("id <> point").select("id"))
+    marked = _marked(docs.where("id is not null"), own)
+    grouped = points.select("id").distinct().join(met.withColumnRenamed("node", "id"), "id", "left")
+    grouped = grouped.select("id", F.coalesce("component", "id").alias("component"))
+    found = marked.where("marked").join(grouped.hint("merge"), "id").select("id", "component", "text")
+    return found.union(marked.where("not marked").select("id", F.col("id").alias("component"), "text"))
+
+
 def _texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The distinct texts of the ids that are in a pair."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     # One plan whatever the number of ids: broadcast would hold all of a small table's.
-    found = docs.join(ids.hint("merge"), "id", "left_semi")
+    found = _marked(docs, ids).where("marked").drop("marked").join(ids.hint("merge"), "id", "left_semi")
     return found.groupBy("id", F.xxhash64("text")).agg(F.first("text").alias("text")).select("id", "text")
 
 
