@@ -26,7 +26,7 @@ from personyear.llm import hashing
 from personyear.session import new_folder, written
 
 END_ID = 1
-#: Units that a task remembers before it begins anew.
+#: Units that a worker remembers before it begins anew.
 REMEMBERED = 1 << 21
 #: Units of plain letters that are encoded as one line of text.
 LINE_UNITS = 256
@@ -62,7 +62,10 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         # Lower-case letters with blanks between them are what normalising and splitting would make of them.
-        self.letters = Tokenizer.from_file(path)
+        self.letters = Tokenizer(self.tokenizer.model)  # one model in memory for both
+        added = [t for _, t in sorted(self.tokenizer.get_added_tokens_decoder().items())]
+        self.letters.add_special_tokens([t for t in added if t.special])
+        self.letters.add_tokens([t for t in added if not t.special])
         self.letters.normalizer = normalizers.Sequence([])
         by_blanks = [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         self.letters.pre_tokenizer = pre_tokenizers.Sequence(by_blanks)
@@ -75,7 +78,7 @@ class WordEncoder:
     def forget(self) -> None:
         # Unit 0 is empty; keys are sorted and name the other units.
         self.keys = np.zeros(0, dtype=np.uint64)
-        self.units = np.zeros(0, dtype=np.int64)
+        self.units = np.zeros(0, dtype=np.int32)
         self.count = 1
         self.unit_from = np.zeros(1025, dtype=np.int64)
         self.ids = np.zeros(1 << 14, dtype=np.uint32)
@@ -92,9 +95,10 @@ class WordEncoder:
         order = np.argsort(~plain, kind="stable")
         letters = int(plain.sum())
         lengths, ids = [], []
-        for first in range(0, letters, LINE_UNITS):
-            line = [texts[i] for i in order[first : min(first + LINE_UNITS, letters)]]
-            found = np.array(self.letters.encode(" ".join(line), add_special_tokens=False).ids, dtype=np.uint32)
+        lines = [[texts[i] for i in order[first : min(first + LINE_UNITS, letters)]] for first in range(0, letters, LINE_UNITS)]
+        results = self.letters.encode_batch_fast([" ".join(line) for line in lines], add_special_tokens=False)
+        for line, result in zip(lines, results, strict=True):
+            found = np.array(result.ids, dtype=np.uint32)
             cuts = np.flatnonzero(self.ends[found]) + 1
             if len(cuts) == len(line):
                 lengths.append(np.diff(cuts, prepend=0))
@@ -109,10 +113,11 @@ class WordEncoder:
         self.unit_from[self.count + 1 : last + 1] = ends
         self.ids = self._grown(self.ids, int(ends[-1]))
         self.ids[ends[0] - size[0] : ends[-1]] = np.concatenate(ids)
-        keys = np.concatenate((self.keys, keys[order]))
-        units = np.concatenate((self.units, np.arange(self.count, last)))
-        turn = np.argsort(keys, kind="stable")
-        self.keys, self.units, self.count = keys[turn], units[turn], last
+        keys, units = keys[order], np.arange(self.count, last, dtype=np.int32)
+        turn = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[turn])
+        self.keys, self.units = np.insert(self.keys, at, keys[turn]), np.insert(self.units, at, units[turn])
+        self.count = last
 
     def _whole(self, texts: list[str], lengths: list[np.ndarray], ids: list[np.ndarray]) -> None:
         """Encode units with all that the vocabulary's file says."""
@@ -136,7 +141,7 @@ class WordEncoder:
         first = np.where(plain, folded.spans(starts, core), piece.spans(starts, ends) ^ np.uint64(0x5555555555555555))
         marks = np.flatnonzero(plain & (core < ends))
         second = folded.spans(core[marks], ends[marks])
-        hashes, at, place = np.unique(np.concatenate((first, second)), return_index=True, return_inverse=True)
+        hashes, at, place = _distinct(np.concatenate((first, second)))
         found = np.minimum(np.searchsorted(self.keys, hashes), max(len(self.keys) - 1, 0))
         new = np.flatnonzero(self.keys[found] != hashes) if len(self.keys) else np.arange(len(hashes))
         if len(new):
@@ -163,6 +168,25 @@ class WordEncoder:
         return ids, np.diff(total[2 * words])
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in ascending order, where one of each stands, and the number of each value's own."""
+    coded = pa.array(values).dictionary_encode()
+    found, place = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    at = np.zeros(len(found), dtype=np.int64)
+    at[place] = np.arange(len(values))
+    turn = np.argsort(found)
+    number = np.empty(len(found), dtype=np.int64)
+    number[turn] = np.arange(len(found))
+    return found[turn], at[turn], number[place]
+
+
+def _worker_encoder(kept: dict, path: str) -> WordEncoder:
+    """The encoder that this worker has kept, or a new one."""
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
+
+
 def _texts(which: np.ndarray, begin: np.ndarray, end: np.ndarray, *buffers: np.ndarray) -> list[str]:
     """The text of each span of one of the buffers; spans hold no blank and are whole characters."""
     lengths = end - begin
@@ -213,9 +237,11 @@ def unpack_numbers(control: list[bytes], data: list[bytes], counts: np.ndarray)
 
 def _texts_to_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """``id, n_tokens, ids`` with the ids of each text and the end id as little-endian 16- or 32-bit numbers."""
+    # A worker has a broadcast value of its own for as long as it runs, so its later tasks know the units of earlier ones.
+    kept = docs.sparkSession.sparkContext.broadcast({})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, powers = WordEncoder(tokenizer), hashing.Powers()
+        encoder, powers = _worker_encoder(kept.value, tokenizer), hashing.Powers()
         kind = "<u2" if max(len(encoder.ends) - 1, end_id) < 1 << 16 else "<u4"
         with np.errstate(over="ignore"):
             for batch in batches:

@@ -88,3 +88,37 @@ def test_frequent_ids_take_one_byte(spark, documents):
     total = sum(r.n for r in ranking)
     size = spark.read.parquet(f"{path}/records").selectExpr("sum(length(data)) as n").first().n
     assert size == sum(r.n * (1 + (r["rank"] > 255)) for r in ranking) < 2 * total
+
+
+def test_the_later_tasks_of_a_worker_know_its_units(spark, documents):
+    """More tasks than workers: a task with the same texts as an earlier one of its worker learns nothing."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from personyear.llm import hashing
+
+    kept = spark.sparkContext.broadcast({})
+    text = "the same few words, in every task of it. naïve x2"
+
+    def run(batches):
+        rows = sum(batch.num_rows for batch in batches)
+        encoder = token_files._worker_encoder(kept.value, PATH)
+        before = encoder.count
+        with np.errstate(over="ignore"):
+            for piece in hashing.pieces(pa.array([text]), hashing.NOT_BLANK, False, hashing.Powers()):
+                ids, _ = encoder.encode(piece)
+        yield pa.RecordBatch.from_arrays([pa.array([before]), pa.array([ids.tolist()], pa.list_(pa.int64())), pa.array([rows])], ["before", "ids", "rows"])
+
+    found = spark.range(64, numPartitions=64).select(F.col("id")).mapInArrow(run, "before long, ids array<long>, rows long").collect()
+    assert len(found) == 64
+    assert sum(r.before == 1 for r in found) < 64
+    expected = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert all(r.ids == expected for r in found)
+
+
+def test_distinct_values_are_those_of_numpy():
+    values = np.array([5, 2**64 - 1, 5, 0, 7, 0], dtype=np.uint64)
+    found, at, number = token_files._distinct(values)
+    assert found.tolist() == sorted(set(values.tolist()))
+    assert (values[at] == found).all() and (found[number] == values).all()
+    assert [len(x) for x in token_files._distinct(values[:0])] == [0, 0, 0]
