@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,8 +52,16 @@ def similarity(left: pd.Series, right: pd.Series) -> np.ndarray:
     return np.where(jaro > 0.7, jaro + PREFIX_WEIGHT * prefix * (1 - jaro), jaro)
 
 
-@F.pandas_udf(T.DoubleType())
-def jaro_winkler(left: pd.Series, right: pd.Series) -> pd.Series:
+def _batch(left: pd.Series, right: pd.Series) -> pd.Series:
     if len(left) == 0:
         return pd.Series([], dtype="float64")
     return pd.Series(similarity(left, right))
+
+
+def jaro_winkler(left: Column | str, right: Column | str) -> Column:
+    """Similarity of two text columns.
+
+    The function is made anew on each call: one that was used holds a handle of
+    the driver, and no module that names it could travel with tasks.
+    """
+    return F.pandas_udf(_batch, T.DoubleType())(left, right)

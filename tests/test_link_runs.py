@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
+import personyear
 from personyear.operators import fuzzy
 from personyear.plans import linkage
 from personyear.session import new_folder
@@ -117,6 +119,20 @@ def test_a_failing_state_is_a_row_of_the_log_and_stops_no_other(spark):
     assert sum(r.exact + r.probable for r in log.values()) == good.links.count()
 
 
+def test_the_module_travels_with_tasks_after_its_similarity_was_used(spark):
+    """As when the entry point is loaded: the package is pickled by value."""
+    names = spark.createDataFrame([("martha", "marhta"), (None, "a"), ("", "")], "a string, b string")
+    found = names.where("a is not null").select(fuzzy.jaro_winkler("a", "b").alias("s")).collect()
+    assert [round(r.s, 4) for r in found] == [0.9611, 0.0]
+    registered = "personyear" in cloudpickle.list_registry_pickle_by_value()
+    cloudpickle.register_pickle_by_value(personyear)
+    try:
+        assert cloudpickle.dumps(lambda patterns, pairs: fuzzy.fit_mixture(patterns, pairs))
+    finally:
+        if not registered:
+            cloudpickle.unregister_pickle_by_value(personyear)
+
+
 def test_a_run_goes_on_after_the_last_finished_step(spark, monkeypatch):
     rows = panel(spark, people(years=(2000, 2001, 2002, 2003, 2004)))
     want = sorted(tuple(r) for r in linkage.link_deterministic(rows).links.collect())
