@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from personyear.operators.sets import union_labeled
 from personyear.operators.windows import drop_last_period, fill_both_ways, group_index
 from personyear.plans import compile as compiling
 from personyear.plans import linkage
+from personyear.session import written
 
 from .panels import CUSTOMER_PANEL_SQL, LINK_PANEL_SQL, YEARS, customer_panel, link_panel, table, tidy, with_sql
 
@@ -31,33 +35,52 @@ ID_NAMES = {"deterministic": "detid", "probabilistic": "flid", "ensemble": "ense
 _stages: dict[tuple, linkage.Linked] = {}
 
 
-def _stage(spark: SparkSession, folder: str, method: str) -> tuple:
-    panel = link_panel(spark, folder)
+def _mark(panel: DataFrame) -> tuple:
     digest = F.sum(F.xxhash64(*panel.columns).cast("decimal(38,0)"))
-    return (spark.sparkContext.applicationId, method, *panel.agg(F.count("*"), digest).first())
+    return (panel.sparkSession.sparkContext.applicationId, *panel.agg(F.count("*"), digest).first())
 
 
-def run_stage(spark: SparkSession, folder: str, method: str) -> linkage.Linked:
-    done = LINKERS[method](link_panel(spark, folder))
-    _stages[_stage(spark, folder, method)] = done
+def run_stage(panel: DataFrame, method: str, mark: tuple | None = None) -> linkage.Linked:
+    done = LINKERS[method](panel)
+    _stages[method, *(mark or _mark(panel))] = done
     return done
 
 
-def run_links(spark: SparkSession, folder: str, method: str) -> DataFrame:
-    return run_stage(spark, folder, method).links
+def written_panel(spark: SparkSession, folder: str) -> DataFrame:
+    """The panel written once, for a query that reads it several times."""
+    return written(link_panel(spark, folder), "panel")
+
+
+def run_links(panel: DataFrame, method: str) -> DataFrame:
+    return run_stage(panel, method).links
+
+
+def stages(panel: DataFrame, *methods: str) -> list[linkage.Linked]:
+    """What the methods leave of a panel; those not known yet run side by side, as each has many short steps."""
+    mark = _mark(panel)
+    missing = [method for method in methods if (method, *mark) not in _stages]
+    with ThreadPoolExecutor(max(1, len(missing))) as pool:
+        run = inheritable_thread_target(panel.sparkSession)(lambda method: run_stage(panel, method, mark))
+        list(pool.map(run, missing))
+    return [_stages[method, *mark] for method in methods]
 
 
 def stage(spark: SparkSession, folder: str, method: str) -> linkage.Linked:
-    known = _stages.get(_stage(spark, folder, method))
-    return run_stage(spark, folder, method) if known is None else known
+    return stages(written_panel(spark, folder), method)[0]
 
 
 def stage_links(spark: SparkSession, folder: str, method: str) -> DataFrame:
     return stage(spark, folder, method).links
 
 
+def linked_by(spark: SparkSession, folder: str, *methods: str) -> list[DataFrame]:
+    """The panel with the ids of each method."""
+    panel = written_panel(spark, folder)
+    return [linkage.with_ids(panel, done.links, ID_NAMES[m]) for m, done in zip(methods, stages(panel, *methods), strict=True)]
+
+
 def linked(spark: SparkSession, folder: str, method: str) -> DataFrame:
-    return linkage.with_ids(link_panel(spark, folder), stage_links(spark, folder, method), ID_NAMES[method])
+    return linked_by(spark, folder, method)[0]
 
 
 def _neighbours(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -191,20 +214,22 @@ def link_propagate(spark, folder):
 
 
 def link_deterministic(spark, folder):
-    links = run_links(spark, folder, "deterministic")
-    panel = link_panel(spark, folder)
+    panel = written_panel(spark, folder)
+    links = run_links(panel, "deterministic")
     return linkage.with_ids(panel, links, "detid").select("index", "detid")
 
 
 def link_probabilistic(spark, folder):
-    links = run_links(spark, folder, "probabilistic")
-    linked = linkage.with_posteriors(linkage.with_ids(link_panel(spark, folder), links, "flid"), links)
+    panel = written_panel(spark, folder)
+    links = run_links(panel, "probabilistic")
+    linked = linkage.with_posteriors(linkage.with_ids(panel, links, "flid"), links)
     return tidy(linked.select("index", "flid", "posterior"))
 
 
 def link_ensemble(spark, folder):
-    links = run_links(spark, folder, "ensemble")
-    return linkage.with_ids(link_panel(spark, folder), links, "ensemble_id").select("index", "ensemble_id")
+    panel = written_panel(spark, folder)
+    links = run_links(panel, "ensemble")
+    return linkage.with_ids(panel, links, "ensemble_id").select("index", "ensemble_id")
 
 
 def link_summary(spark, folder):
@@ -236,15 +261,12 @@ def accuracy_transposed(spark, folder):
 
 def method_accuracy(spark, folder):
     """The accuracy table of all three linkage methods."""
+    labels = {"Deterministic Link": "deterministic", "Probabilistic Link": "probabilistic", "Ensemble": "ensemble"}
     return tidy(
         quality.method_columns(
             {
-                label: quality.confusion(linked(spark, folder, method), "source_id", ID_NAMES[method])
-                for label, method in (
-                    ("Deterministic Link", "deterministic"),
-                    ("Probabilistic Link", "probabilistic"),
-                    ("Ensemble", "ensemble"),
-                )
+                label: quality.confusion(rows, "source_id", ID_NAMES[method])
+                for (label, method), rows in zip(labels.items(), linked_by(spark, folder, *labels.values()), strict=True)
             }
         )
     )
@@ -264,10 +286,9 @@ def id_fragmentation(spark, folder):
 
 
 def _methods(spark, folder):
-    result = linked(spark, folder, "deterministic")
-    for method in ("probabilistic", "ensemble"):
-        name = ID_NAMES[method]
-        result = attach(result, linked(spark, folder, method).select("source_id", "year", name), ["source_id", "year"])
+    result, *others = linked_by(spark, folder, *LINKERS)
+    for name, rows in zip(("flid", "ensemble_id"), others, strict=True):
+        result = attach(result, rows.select("source_id", "year", name), ["source_id", "year"])
     return result
 
 

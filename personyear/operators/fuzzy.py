@@ -226,11 +226,16 @@ def agreeing_values(values: DataFrame, field: Field) -> DataFrame:
 
 
 class Agreements(dict):
-    """Agreeing values by field name; ``cells`` has, by field, the values of very many records and into how many parts these are dealt."""
+    """Agreeing values by field name; ``cells`` has, by field, the values of very many records and into how many parts these are dealt.
+
+    ``spread`` has agreeing values per value, and the number of values less than zero: in this order a field
+    comes first that makes few rows and, among such fields, tells most records apart.
+    """
 
     def __init__(self) -> None:
         super().__init__()
         self.cells: dict[str, DataFrame] = {}
+        self.spread: dict[str, tuple[float, int]] = {}
 
 
 def field_agreements(panel: DataFrame, fields: list[Field]) -> Agreements:
@@ -239,6 +244,8 @@ def field_agreements(panel: DataFrame, fields: list[Field]) -> Agreements:
     cell = max(CELL_ROWS, math.ceil(CELL_SHARE * panel.count()))
     for field in fields:
         found[field.name] = written(agreeing_values(panel.select(field.name), field), f"agree-{field.name}")
+        pairs, values = found[field.name].agg(F.count("*"), F.count_distinct("v")).first()
+        found.spread[field.name] = (pairs / max(values, 1), -values)
         counted = panel.where(F.col(field.name).isNotNull()).groupBy(F.col(field.name).alias("v")).agg(F.count("*").alias("n"))
         heavy = counted.where(F.col("n") > cell).select("v", F.ceil(F.col("n") / cell).cast("int").alias("cells"))
         # Fewer values than 1 / CELL_SHARE, as each has more than that share of the records.
@@ -296,6 +303,7 @@ class PairCounts:
         self.within = within
         self.agreements = agreements
         self.cells = getattr(agreements, "cells", {})
+        self.spread = getattr(agreements, "spread", {})
         known = F.col("id") if "id" in left.columns else F.lit(None).cast("long")
         keys = [*within, *self.names]
         self.left = written(
@@ -319,20 +327,22 @@ class PairCounts:
 
         Values are replaced field by field by their similar values and then
         meet the right side, added up per value combination, in an equi join: a
-        row is made per similar combination, never per pair of records.  Once
-        two fields are replaced only combinations known on the right go on.
+        row is made per similar combination, never per pair of records.  Fields with
+        few similar values come first, and from the second on only combinations
+        known on the right go on, so few are left for those with many.
         """
         target = {name: f"__{name}" for name in names}
         present = self.right.where(_present(names)).select(
             *self.within, *[F.col(name).alias(target[name]) for name in names], "mask2", "n2", "partner"
         )
-        for i, name in enumerate(names):
+        order = sorted(names, key=lambda name: self.spread.get(name, (0.0, 0)))
+        for i, name in enumerate(order):
             similar = self.agreements[name].select(
                 F.col("v").alias(name), F.col("w").alias(target[name]), F.col("level").alias(f"level_{name}")
             )
             ours = meet_similar(ours, similar, name, self.cells.get(name))
-            if i == 1 and len(names) > 2:
-                so_far = [*self.within, *[target[n] for n in names[:2]]]
+            if 1 <= i < len(names) - 1:
+                so_far = [*self.within, *[target[n] for n in order[: i + 1]]]
                 ours = ours.join(present.select(*so_far).distinct(), so_far, "left_semi")
         side = present.groupBy(*self.within, *target.values(), "mask2").agg(
             F.sum("n2").alias("n2"), F.sum("partner").cast("decimal(38,0)").alias("partner")

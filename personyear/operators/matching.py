@@ -34,13 +34,30 @@ def rule_columns(rules: list[list[str]]) -> list[str]:
 
 
 def _sides(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
-    """Both periods in one frame; ``id`` is the id a left record already has."""
+    """Both periods in one frame: records and their number on either side; ``id`` is the id a left record already has."""
     known = F.col("id") if "id" in left.columns else F.lit(None).cast("long").alias("id")
-    one = left.select(*names, "index", known, F.lit(True).alias("__left"))
-    two = right.select(*names, "index", F.lit(None).cast("long").alias("id"), F.lit(False).alias("__left"))
+    none = lambda name: F.lit(None).cast("long").alias(name)
+    count = lambda n1, n2: (F.lit(n1).cast("long").alias("n1"), F.lit(n2).cast("long").alias("n2"))
+    one = left.select(*names, "index", *count(1, 0), F.col("index").alias("index1"), known, none("index2"))
+    two = right.select(*names, "index", *count(0, 1), none("index1"), none("id"), F.col("index").alias("index2"))
     return one.unionByName(two)
 
 
+def _counted(rows: DataFrame, keys: list[str]) -> DataFrame:
+    sums = [F.sum(name).alias(name) for name in ("n1", "n2")]
+    return rows.groupBy(*keys).agg(*sums, *[F.max(name).alias(name) for name in ("index1", "id", "index2")])
+
+
+def _folded(rows: DataFrame, names: list[str]) -> DataFrame:
+    """One row per combination of ``names``, with the index of one of its records.
+
+    A link takes all records of its group, one on either side, so a combination is
+    linked as a whole or, where it has several records of a side, not at all.  This asks for
+    an index of its own for every record: else a linked record would take others with it.
+    """
+    return _counted(rows, names).withColumn("index", F.coalesce("index1", "index2"))
+
+
 def _single_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of records alone with their key on both sides.
 
@@ -50,19 +67,8 @@ def _single_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
     so that the aggregate is a hash aggregate; a group that survives has one record
     on either side, whose number and id are the maxima.
     """
-    left = F.col("__left")
-    return (
-        rows.groupBy(*keys)
-        .agg(
-            F.count_if(left).alias("n1"),
-            F.count_if(~left).alias("n2"),
-            F.max(F.when(left, F.col("index"))).alias("index1"),
-            F.max(F.when(left, F.col("id"))).alias("id"),
-            F.max(F.when(~left, F.col("index"))).alias("index2"),
-        )
-        .where("n1 = 1 and n2 = 1")
-        .select("index1", "index2", F.coalesce("id", "index1").alias("id"))
-    )
+    single = _counted(rows, keys).where("n1 = 1 and n2 = 1")
+    return single.select("index1", "index2", F.coalesce("id", "index1").alias("id"))
 
 
 def match_rule(left: DataFrame, right: DataFrame, keys: list[str], within: list[str] = WITHIN) -> DataFrame:
@@ -76,15 +82,20 @@ def cascade(
     right: DataFrame,
     rules: list[list[str]] = RULES,
     within: list[str] = WITHIN,
+    numbered: bool = False,
 ) -> DataFrame:
     """Links found by trying the rules in order on the records still open.
 
     The id of a link is the id of its left record, or that record's index if
-    it has none yet.  Links and open records are written after the first rule,
+    it has none yet.  With ``numbered`` (no two records have the same index, and none
+    is missing) all rules run over the distinct combinations of their columns.  Links and open records are written after the first rule,
     which takes most records, and after every third rule from then on, so that
     plans stay short and each stretch starts from the records still open.
     """
-    rows = _sides(left, right, [*within, *rule_columns(rules)])
+    names = [*within, *rule_columns(rules)]
+    rows = _sides(left, right, names)
+    if numbered:
+        rows = written(_folded(rows, names), "open")
     found, stretch, start = [], [], rows
     for number, rule in enumerate(rules, start=1):
         links = _single_pairs(rows, [*within, *rule]).withColumn("rule", F.lit(str(number)))
@@ -102,6 +113,12 @@ def cascade(
     return reduce(lambda a, b: a.unionByName(b), found)
 
 
+def numbered_once(rows: DataFrame) -> bool:
+    """Whether every record has an index of its own."""
+    repeated = rows.groupBy("index").agg(F.count("*").alias("n")).where("n > 1 or index is null")
+    return not repeated.take(1)
+
+
 def linked_indexes(links: DataFrame) -> DataFrame:
     return links.select(F.explode(F.array("index1", "index2")).alias("index"))
 

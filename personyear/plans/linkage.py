@@ -21,7 +21,7 @@ from ..operators.fuzzy import (
     open_records,
     probable_links,
 )
-from ..operators.matching import RULES, WITHIN, cascade, rule_columns
+from ..operators.matching import RULES, WITHIN, cascade, numbered_once, rule_columns
 from ..operators.project import fold_case
 from ..session import finished, new_folder, remove
 
@@ -170,7 +170,8 @@ def with_ids(panel: DataFrame, links: DataFrame, name: str) -> DataFrame:
 def link_deterministic(panel: DataFrame, rules: list[list[str]] = RULES, folder: str | None = None) -> Linked:
     """Links by the exact rules alone."""
     rows, years = by_year(prepare(panel), rule_columns(rules))
-    return link_years(rows, years, lambda left, right, _: (cascade(left, right, rules), None), folder, f"exact {rules}")
+    numbered = numbered_once(rows)
+    return link_years(rows, years, lambda left, right, _: (cascade(left, right, rules, numbered=numbered), None), folder, f"exact {rules}")
 
 
 def with_posteriors(df: DataFrame, links: DataFrame) -> DataFrame:
@@ -194,10 +195,10 @@ def link_probabilistic(panel: DataFrame, folder: str | None = None, fit=fit_mixt
 def link_ensemble(panel: DataFrame, rules: list[list[str]] = RULES, folder: str | None = None, fit=fit_mixture) -> Linked:
     """Exact rules first, then the probabilistic model on what they leave open."""
     rows, years = by_year(prepare(panel), rule_columns(rules))
-    agreements = field_agreements(rows, BACKSTOP_FIELDS)
+    agreements, numbered = field_agreements(rows, BACKSTOP_FIELDS), numbered_once(rows)
 
     def matcher(left: DataFrame, right: DataFrame, period: int) -> tuple[DataFrame, DataFrame]:
-        exact = cascade(left, right, rules)
+        exact = cascade(left, right, rules, numbered=numbered)
         open_left, open_right = open_records(left, right, exact, period)
         probable, fits = probable_links(open_left, open_right, BACKSTOP_FIELDS, agreements, BACKSTOP_THRESHOLD, fit=fit)
         return exact.unionByName(probable, allowMissingColumns=True), fits
