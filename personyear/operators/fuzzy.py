@@ -308,8 +308,9 @@ class PairCounts:
         keys = [*within, *self.names]
         self.left = written(
             left.groupBy(*keys)
-            .agg(F.count("*").alias("n1"), F.max(F.struct("index", known.alias("id"))).alias("one"))
-            .withColumn("mask1", _mask(self.names)),
+            # Numbers alone are carried, so that the aggregate is a hash aggregate.
+            .agg(F.count("*").alias("n1"), F.max("index").alias("index"), F.max_by(known, "index").alias("id"))
+            .select(*keys, "n1", F.struct("index", "id").alias("one"), _mask(self.names).alias("mask1")),
             "combinations",
         )
         self.right = written(

@@ -32,12 +32,13 @@ def confusion(df: DataFrame, official: str, constructed: str, year: str = "year"
     are the minimum and maximum of one aggregate: no id, not even a missing one
     that many records share, is gathered anywhere.
     """
-    value = F.struct(F.col(constructed).alias("constructed"))
     pairs = measured(year_pairs(df, year), "pairs")
+    # A missing id is the smallest.  Without structs numbers are added up in a hash aggregate.
+    least = F.when(F.count(constructed) == F.count("*"), F.min(constructed))
     officials = (
         df.join(pairs, F.col(year) == F.col("__year"))
         .groupBy("pair_year", official)
-        .agg(F.count("*").alias("same"), F.min(value).alias("a"), F.max(value).alias("b"))
+        .agg(F.count("*").alias("same"), least.alias("a"), F.max(constructed).alias("b"))
         .where("same <= 2")
     )
     records = officials.select(

@@ -108,7 +108,8 @@ def link_years(rows: DataFrame, years: list[int], matcher: Matcher, folder: str
     spark = rows.sparkSession
     kept = folder is not None
     folder = folder or new_folder(spark, "steps")
-    digests = _year_digests(rows)
+    # A folder of this run alone has no earlier steps to tell from these.
+    digests = _year_digests(rows) if kept else dict.fromkeys(years, "")
     done = digests.get(years[0], "") if years else ""
     links, logs, before = [], [], None
     for period, following in zip(years, years[1:]):

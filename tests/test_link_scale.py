@@ -3,8 +3,10 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from entry import linking
-from personyear.operators import fuzzy, matching
+from personyear.operators import fuzzy, matching, quality
 from personyear.plans import linkage
 from tests.test_linking import brute_cascade, panel, person
 
@@ -81,3 +83,44 @@ def test_fields_with_few_similar_values_are_replaced_first(spark, monkeypatch):
     assert order == ["salary", "name_first", "name_last"]
     totals = [Counter(map(tuple, fuzzy.PairCounts(one, two, fields, x).totals().collect())) for x in (dict(agreements), agreements)]
     assert totals[0] == totals[1] and len(totals[0]) > 4
+
+
+def test_combinations_of_records_are_hashed_and_not_sorted(spark, monkeypatch):
+    rows = panel(spark, crowd(7, 0, 2000, 40) + crowd(8, 100, 2001, 40)).withColumn("id", F.when(F.col("index") % 3 == 0, F.col("index")))
+    plans, write = [], fuzzy.written
+
+    def kept(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(fuzzy, "written", kept)
+    counts = fuzzy.PairCounts(rows.where("year = 2000"), rows.where("year = 2001"), fuzzy.BACKSTOP_FIELDS, {})
+    assert len(plans) == 2 and not any("SortAggregate" in plan for plan in plans)
+    got = {(r.name_first, r.name_last): (r.n1, tuple(r.one)) for r in counts.left.collect()}
+    want = {}
+    for r in rows.where("year = 2000").collect():
+        n, one = want.get((r.name_first, r.name_last), (0, (-1, None)))
+        want[r.name_first, r.name_last] = (n + 1, max(one, (r["index"], r.id), key=lambda pair: pair[0]))
+    assert got == want
+
+
+def test_a_folder_of_one_run_is_not_digested(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "_year_digests", None)
+    rows = crowd(1, 0, 2000, 20) + crowd(2, 100, 2001, 20)
+    assert linkage.link_deterministic(panel(spark, rows)).log.count() == 1
+
+
+def test_link_quality_hashes_numbers_and_counts_missing_ids_as_one(spark):
+    """Per pair of years: records by how many share their official id, then the constructed one, missing or not."""
+    rng = random.Random(3)
+    rows = [(2000 + i % 3, str(rng.randint(1, 25)), rng.choice([None, 1, 2, 3, 4, 5, 6])) for i in range(60)]
+    got = quality.confusion(spark.createDataFrame(rows, "year int, official string, constructed long"), "official", "constructed")
+    want = []
+    for later in (2001, 2002):
+        own = [r for r in rows if later - 1 <= r[0] <= later]
+        same = Counter(r[1] for r in own)
+        shared = Counter((same[r[1]], r[2]) for r in own)
+        classes = Counter((same[r[1]], min(shared[same[r[1]], r[2]], 3)) for r in own)
+        want.append((later, classes[2, 2], classes[2, 1] + classes[2, 3], classes[1, 2], classes[1, 1]))
+    assert sorted(map(tuple, got.collect())) == want
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
